@@ -24,10 +24,14 @@ def stage_dimension(spark: SparkSession, stages: Sequence[str] = STAGES) -> Data
 
 def user_stage_flags(events: DataFrame, dims: Sequence[str] = (), stages: Sequence[str] = STAGES,
                      user: str = "user_id", stage_col: str = "event_type") -> DataFrame:
-    """One row per (dims, user) with an int flag column per stage (1 = reached)."""
-    e = events.where(F.col(stage_col).isin(*stages)).where(F.col(user).isNotNull())
-    flags = [F.max(F.when(F.col(stage_col) == s, F.lit(1)).otherwise(F.lit(0))).alias(s) for s in stages]
-    return e.groupBy(*dims, user).agg(*flags)
+    """One row per (dims, user) with an int flag column per stage (1 = reached).
+
+    Every event row keeps its group (as ``COUNT(DISTINCT CASE ...)`` does): rows of
+    other event types or without a user give all-zero flags."""
+    known = F.col(user).isNotNull()
+    flags = [F.max(F.when(known & (F.col(stage_col) == s), F.lit(1)).otherwise(F.lit(0))).alias(s)
+             for s in stages]
+    return events.groupBy(*dims, user).agg(*flags)
 
 
 def stage_user_counts(events: DataFrame, dims: Sequence[str] = (), stages: Sequence[str] = STAGES,

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from shopmetrics.oracle import revenue_sql
+from shopmetrics.oracle import funnel_sql, revenue_sql
 
 
 def all_sql() -> dict[str, str]:
     out: dict[str, str] = {}
+    out.update(funnel_sql.sql())
     out.update(revenue_sql.sql())
     return out

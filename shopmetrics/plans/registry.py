@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shopmetrics.plans import funnel as Fn
 from shopmetrics.plans import revenue as R
 from shopmetrics.sources.adapters import DriverTables
 
@@ -47,7 +48,29 @@ def revenue_queries() -> dict[str, Query]:
     }
 
 
+def funnel_queries() -> dict[str, Query]:
+    return {
+        "funnel_overall": _q(lambda t: Fn.funnel_overall(t.events)),
+        "funnel_rates": _q(lambda t: Fn.funnel_rates(t.events)),
+        "funnel_share_of_max": _q(lambda t: Fn.funnel_share_of_max(t.events)),
+        "funnel_transitions": _q(lambda t: Fn.funnel_transitions(t.events)),
+        "funnel_by_device": _q(lambda t: Fn.funnel_by_device(t.events, t.sessions)),
+        "funnel_by_channel": _q(lambda t: Fn.funnel_by_channel(t.events, t.sessions)),
+        "funnel_by_device_nb": _q(lambda t: Fn.funnel_by_dimension(t.events, t.sessions, "device_type",
+                                                                    style="nb")),
+        "funnel_by_channel_nb": _q(lambda t: Fn.funnel_by_dimension(t.events, t.sessions, "channel", style="nb")),
+        "funnel_by_device_long": _q(lambda t: Fn.funnel_by_device_long(t.events, t.sessions)),
+        "funnel_weekly": _q(lambda t: Fn.funnel_weekly(t.events)),
+        "funnel_weekly_nb": _q(lambda t: Fn.funnel_weekly(t.events, style="nb")),
+        "funnel_by_age": _q(lambda t: Fn.funnel_by_age(t.events, t.users)),
+        "cart_abandonment": _q(lambda t: Fn.cart_abandonment(t.events, t.order_items, t.orders, t.products)),
+        "cart_abandonment_nb": _q(lambda t: Fn.cart_abandonment(t.events, t.order_items, t.orders, t.products,
+                                                                k=15, dp=1, rate_col="abandonment_pct")),
+    }
+
+
 def all_queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
+    out.update(funnel_queries())
     out.update(revenue_queries())
     return out
