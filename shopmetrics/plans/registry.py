@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shopmetrics.plans import cohort as C
 from shopmetrics.plans import funnel as Fn
 from shopmetrics.plans import revenue as R
 from shopmetrics.sources.adapters import DriverTables
@@ -69,8 +70,16 @@ def funnel_queries() -> dict[str, Query]:
     }
 
 
+def cohort_queries() -> dict[str, Query]:
+    names = ["cohort_sizes", "cohort_retention", "cohort_base", "cohort_revenue", "cohort_user_value",
+             "cohort_engagement", "retention_matrix", "revenue_matrix", "ltv_curve", "ltv_latest",
+             "retention_matrix_wide", "revenue_matrix_wide", "ltv_matrix_wide"]
+    return {n: _q(lambda t, fn=getattr(C, n): fn(t.orders)) for n in names}
+
+
 def all_queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
+    out.update(cohort_queries())
     out.update(funnel_queries())
     out.update(revenue_queries())
     return out
