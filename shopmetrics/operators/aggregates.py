@@ -35,42 +35,38 @@ def value_counts(df: DataFrame, key: str, name: str = "count") -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
 
 
-def equal_width_histogram(df: DataFrame, value: str | Column, bins: int, spark=None) -> DataFrame:
+def equal_width_histogram(df: DataFrame, value: str | Column, bins: int) -> DataFrame:
     """Equal-width histogram over [min, max] with the last bin right-closed.
 
-    Two passes: one global min/max aggregate (a single row), then one grouped count
-    keyed by bin number; the bin frame of ``bins`` rows supplies empty bins.  A
-    degenerate range (min == max) is widened to [min-0.5, max+0.5].
-    Columns: bin (0-based), lo, hi, count.
+    The range is one global min/max aggregate used as a scalar subquery (a single row
+    evaluated once); the values then need one grouped count keyed by bin number, and a
+    ``bins``-row frame supplies the empty bins.  A degenerate range (min == max) is
+    widened to [min-0.5, max+0.5].  Columns: bin (0-based), lo, hi, count.
     """
     v = col(value).cast("double")
     vals = df.select(v.alias("v")).where(F.col("v").isNotNull())
     rng = vals.agg(F.min("v").alias("mn"), F.max("v").alias("mx")).select(
-        F.when(F.col("mn") == F.col("mx"), F.col("mn") - 0.5).otherwise(F.col("mn")).alias("lo0"),
-        F.when(F.col("mn") == F.col("mx"), F.col("mx") + 0.5).otherwise(F.col("mx")).alias("hi0"),
-    )
-    # rng has exactly one row: the join below is a broadcast of one row, not a product.
-    rng_b = F.broadcast(rng.withColumn("_k", F.lit(1)))
-    binned = (
-        vals.withColumn("_k", F.lit(1))
-        .join(rng_b, "_k")
-        .select(
-            F.least(
-                F.floor((F.col("v") - F.col("lo0")) * F.lit(float(bins)) / (F.col("hi0") - F.col("lo0"))),
-                F.lit(bins - 1),
-            ).cast("int").alias("bin")
+        F.struct(
+            F.when(F.col("mn") == F.col("mx"), F.col("mn") - 0.5).otherwise(F.col("mn")).alias("lo"),
+            F.when(F.col("mn") == F.col("mx"), F.col("mx") + 0.5).otherwise(F.col("mx")).alias("hi"),
         )
-        .groupBy("bin")
-        .agg(F.count(F.lit(1)).alias("count"))
-    )
-    session = spark or df.sparkSession
-    frame = session.range(bins).select(F.col("id").cast("int").alias("bin"), F.lit(1).alias("_k"))
-    edges = frame.join(rng_b, "_k").select(
+    ).scalar()
+    lo0, hi0 = rng.getField("lo"), rng.getField("hi")
+    width = (hi0 - lo0) / F.lit(float(bins))
+    # Bin index as numpy computes it: scaled offset, clamped, then nudged by one so that
+    # every value lies within the edges of its bin (edges = lo + i * width).
+    norm = F.lit(float(bins)) / (hi0 - lo0)
+    b0 = F.least(F.floor((F.col("v") - lo0) * norm), F.lit(bins - 1)).cast("int")
+    b1 = F.when(F.col("v") < lo0 + F.col("b0") * width, F.col("b0") - 1).otherwise(F.col("b0"))
+    b2 = F.when((F.col("v") >= lo0 + (F.col("b1") + 1) * width) & (F.col("b1") != bins - 1), F.col("b1") + 1) \
+        .otherwise(F.col("b1"))
+    binned = vals.withColumn("b0", b0).withColumn("b1", b1).select(b2.alias("bin")) \
+        .groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
+    frame = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    edges = frame.select(
         "bin",
-        (F.col("lo0") + F.col("bin") * ((F.col("hi0") - F.col("lo0")) / F.lit(float(bins)))).alias("lo"),
-        F.when(F.col("bin") == bins - 1, F.col("hi0"))
-        .otherwise(F.col("lo0") + (F.col("bin") + 1) * ((F.col("hi0") - F.col("lo0")) / F.lit(float(bins))))
-        .alias("hi"),
+        (lo0 + F.col("bin") * width).alias("lo"),
+        F.when(F.col("bin") == bins - 1, hi0).otherwise(lo0 + (F.col("bin") + 1) * width).alias("hi"),
     )
     return edges.join(binned, "bin", "left").select(
         "bin", "lo", "hi", F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count")

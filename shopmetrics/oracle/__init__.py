@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from shopmetrics.oracle import cohort_sql, funnel_sql, revenue_sql
+from shopmetrics.oracle import cohort_sql, dashboard_sql, funnel_sql, profile_sql, revenue_sql
 
 
 def all_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(cohort_sql.sql())
+    out.update(dashboard_sql.sql())
+    out.update(profile_sql.sql())
     out.update(funnel_sql.sql())
     out.update(revenue_sql.sql())
     return out

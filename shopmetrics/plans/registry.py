@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shopmetrics.plans import cohort as C
+from shopmetrics.plans import dashboard as D
 from shopmetrics.plans import funnel as Fn
+from shopmetrics.plans import profile as P
 from shopmetrics.plans import revenue as R
 from shopmetrics.sources.adapters import DriverTables
 
@@ -77,8 +79,52 @@ def cohort_queries() -> dict[str, Query]:
     return {n: _q(lambda t, fn=getattr(C, n): fn(t.orders)) for n in names}
 
 
+def profile_queries() -> dict[str, Query]:
+    return {
+        "table_profile": _q(lambda t: P.table_profile(t.as_dict())),
+        "null_profile": _q(lambda t: P.null_profile(t.as_dict())),
+        "duplicate_keys": _q(lambda t: P.duplicate_keys(t.as_dict())),
+        "date_ranges": _q(lambda t: P.date_ranges(t.sessions, t.orders)),
+        "status_split": _q(lambda t: P.status_split(t.orders)),
+        "user_demographics": _q(lambda t: P.user_demographics(t.users)),
+        "sessions_daily": _q(lambda t: P.sessions_daily(t.sessions)),
+        "sessions_hourly": _q(lambda t: P.sessions_hourly(t.sessions)),
+        "price_histogram": _q(lambda t: P.price_histogram(t.products)),
+        "avg_price_by_subcategory": _q(lambda t: P.avg_price_by_subcategory(t.products)),
+        "order_value_histogram": _q(lambda t: P.order_value_histogram(t.orders)),
+        "payment_method_counts": _q(lambda t: P.payment_method_counts(t.orders)),
+        "project_summary": _q(lambda t: P.project_summary(t.users, t.sessions, t.events, t.orders)),
+        "event_type_counts": _q(lambda t: P.event_type_counts(t.events)),
+        "products_per_subcategory": _q(lambda t: P.products_per_subcategory(t.products)),
+        "rule_violations": _q(lambda t: P.rule_violations(t.as_dict())),
+    }
+
+
+def dashboard_queries() -> dict[str, Query]:
+    def enriched(t: DriverTables) -> DataFrame:
+        return D.orders_enriched(t.orders, t.sessions, t.users)
+
+    return {
+        "orders_enriched": _q(lambda t: D.orders_enriched_output(t.orders, t.sessions, t.users)),
+        "kpi_orders": _q(lambda t: D.kpi_orders(t.orders)),
+        "kpi_revenue": _q(lambda t: D.kpi_revenue(t.orders)),
+        "kpi_customers": _q(lambda t: D.kpi_customers(t.orders)),
+        "kpi_aov": _q(lambda t: D.kpi_aov(t.orders)),
+        "trend_month_part": _q(lambda t: D.trend_month_part(t.orders)),
+        "revenue_by_payment": _q(lambda t: D.revenue_by_payment(t.orders)),
+        "revenue_by_acq_channel": _q(lambda t: D.revenue_by_acq_channel(enriched(t))),
+        "revenue_by_country": _q(lambda t: D.revenue_by_country(enriched(t))),
+        "revenue_by_device_all": _q(lambda t: D.revenue_by_device_all(enriched(t))),
+        "retention_lod": _q(lambda t: D.retention_lod(t.orders)),
+        "kpi_conversion": _q(lambda t: D.kpi_conversion(t.events)),
+        "kpi_repeat_rate": _q(lambda t: D.kpi_repeat_rate(t.orders)),
+    }
+
+
 def all_queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
+    out.update(profile_queries())
+    out.update(dashboard_queries())
     out.update(cohort_queries())
     out.update(funnel_queries())
     out.update(revenue_queries())
