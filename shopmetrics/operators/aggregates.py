@@ -23,6 +23,14 @@ def share_of_total(part: str | Column, n: int | None = 2) -> Column:
     return v if n is None else round_n(v, n)
 
 
+def ordered(*cols):
+    """Total order for a small, key-bounded result (per month, stage, channel, cohort...):
+    ``df.transform(ordered(...))`` moves it to one partition and sorts it in place, which
+    avoids the sampling job and extra stage of a range-partitioned ``orderBy``.  Not for
+    results that grow with the data."""
+    return lambda df: df.repartition(1).sortWithinPartitions(*cols)
+
+
 def top_k(df: DataFrame, k: int, order: Sequence[Column]) -> DataFrame:
     """``ORDER BY ... LIMIT k``; the caller ends ``order`` with a unique key so ties are
     broken the same way every run.  Planned as TakeOrderedAndProject: each partition keeps

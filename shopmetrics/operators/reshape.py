@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shopmetrics.operators.aggregates import ordered
+
 
 def pivot_wide(long: DataFrame, row_key: str, col_key: str, value: str, prefix: str = "") -> DataFrame:
     """One row per ``row_key``, one column ``<prefix><col_key value>`` per observed value.
@@ -12,7 +14,7 @@ def pivot_wide(long: DataFrame, row_key: str, col_key: str, value: str, prefix:
     The column values are collected first: their number is bounded by the domain (e.g.
     months of history), never by the data volume.  Cells absent from ``long`` are NULL.
     """
-    keys = [r[0] for r in long.select(col_key).distinct().orderBy(col_key).collect()]
+    keys = sorted(r[0] for r in long.select(col_key).distinct().collect() if r[0] is not None)
     labels = [f"{prefix}{k}" for k in keys]
     labelled = long.select(row_key, F.concat(F.lit(prefix), F.col(col_key).cast("string")).alias("_label"), value)
-    return labelled.groupBy(row_key).pivot("_label", labels).agg(F.first(value)).orderBy(row_key)
+    return labelled.groupBy(row_key).pivot("_label", labels).agg(F.first(value)).transform(ordered(row_key))

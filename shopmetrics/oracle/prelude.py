@@ -7,8 +7,8 @@ tables are named ``c_users, c_products, c_events, c_sessions, c_orders, c_items`
 
 from __future__ import annotations
 
-_M2 = "CAST(ROUND(CAST({x} AS DECIMAL(38,10)), 2) AS DECIMAL(18,2))"
-_M4 = "CAST(ROUND(CAST({x} AS DECIMAL(38,10)), 4) AS DECIMAL(18,4))"
+_M2 = "CAST(ROUND(CAST({x} AS DECIMAL(18,8)), 2) AS DECIMAL(18,2))"
+_M4 = "CAST(ROUND(CAST({x} AS DECIMAL(18,8)), 4) AS DECIMAL(18,4))"
 
 PRELUDE_CTES = f"""
 c_users AS (

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from shopmetrics.functions.exprs import exact_avg, month_diff, month_key, month_start, pct, ratio, round_n
 from shopmetrics.model import COMPLETED
+from shopmetrics.operators.aggregates import ordered
 from shopmetrics.operators.reshape import pivot_wide
 
 
@@ -52,7 +53,7 @@ def cohort_sizes(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
     g = a.groupBy("cohort_start").agg(F.count(F.lit(1)).alias("cohort_size"),
                                       F.count("user_id").alias("users_in_cohort"))
     return g.select(month_key("cohort_start").alias("cohort_month"), "cohort_size", "users_in_cohort") \
-        .orderBy("cohort_month")
+        .transform(ordered("cohort_month"))
 
 
 def cohort_retention(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
@@ -66,7 +67,7 @@ def cohort_retention(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
         F.col("users").alias("retained_users"),
         pct("users", "cohort_size", 2).alias("retention_pct"),
         "month_number",
-    ).orderBy("cohort_month", "month_number")
+    ).transform(ordered("cohort_month", "month_number"))
 
 
 def cohort_base(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
@@ -97,7 +98,7 @@ def cohort_revenue(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
         F.col("orders").alias("total_orders"),
         round_n("revenue", 2).alias("cohort_revenue"),
         round_n(ratio("revenue", "amounts"), 2).alias("avg_order_value"),
-    ).orderBy("cohort_month", "month_number")
+    ).transform(ordered("cohort_month", "month_number"))
 
 
 def _per_user(orders: DataFrame, status: str) -> DataFrame:
@@ -125,7 +126,7 @@ def cohort_user_value(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
         round_n("_rev", 2).alias("total_revenue"),
         round_n("_rpu", 2).alias("avg_revenue_per_user"),
         round_n(ratio("_rev", "total_orders"), 2).alias("avg_order_value"),
-    ).orderBy("cohort_month")
+    ).transform(ordered("cohort_month"))
 
 
 def cohort_engagement(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
@@ -137,7 +138,7 @@ def cohort_engagement(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
         exact_avg("user_order_count").alias("_avg"),
     )
     return g.select(month_key("cohort_start").alias("cohort_month"), "cohort_size", "total_orders",
-                    round_n("_avg", 2).alias("avg_orders")).orderBy("cohort_month")
+                    round_n("_avg", 2).alias("avg_orders")).transform(ordered("cohort_month"))
 
 
 def retention_matrix(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
@@ -145,14 +146,14 @@ def retention_matrix(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
     c = _cells(cohort_activity(orders, status))
     r = F.col("users").cast("double") / F.col("cohort_size").cast("double") * F.lit(100.0)
     return c.select(month_key("cohort_start").alias("cohort_month"), "month_number",
-                    round_n(r, 1).alias("retention_pct")).orderBy("cohort_month", "month_number")
+                    round_n(r, 1).alias("retention_pct")).transform(ordered("cohort_month", "month_number"))
 
 
 def revenue_matrix(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
     """C6 long form: cohort_month, month_number, revenue rounded to whole currency."""
     c = _cells(cohort_activity(orders, status))
     return c.select(month_key("cohort_start").alias("cohort_month"), "month_number",
-                    round_n("revenue", 0).alias("revenue")).orderBy("cohort_month", "month_number")
+                    round_n("revenue", 0).alias("revenue")).transform(ordered("cohort_month", "month_number"))
 
 
 def ltv_curve(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
@@ -164,13 +165,13 @@ def ltv_curve(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
     cum = F.sum("cell").over(w)
     return c.select(month_key("cohort_start").alias("cohort_month"), "month_number",
                     round_n(cum / F.col("cohort_size").cast("double"), 2).alias("ltv")) \
-        .orderBy("cohort_month", "month_number")
+        .transform(ordered("cohort_month", "month_number"))
 
 
 def ltv_latest(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
     """cohort_month, ltv at the cohort's last observed month."""
     lt = ltv_curve(orders, status)
-    return lt.groupBy("cohort_month").agg(F.max_by("ltv", "month_number").alias("ltv")).orderBy("cohort_month")
+    return lt.groupBy("cohort_month").agg(F.max_by("ltv", "month_number").alias("ltv")).transform(ordered("cohort_month"))
 
 
 def retention_matrix_wide(orders: DataFrame, status: str = COMPLETED) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from shopmetrics.functions.exprs import exact_avg, month_diff, month_key, month_start, ratio, round_n
 from shopmetrics.model import COMPLETED
+from shopmetrics.operators.aggregates import ordered
 
 
 def orders_enriched(orders: DataFrame, sessions: DataFrame, users: DataFrame) -> DataFrame:
@@ -61,13 +62,13 @@ def trend_month_part(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
     """T5: month (1–12, years merged), revenue, aov of completed orders."""
     g = _completed(orders, status).groupBy(F.month("order_date").alias("month")).agg(
         F.sum("total_amount").alias("_rev"), exact_avg("total_amount").alias("_aov"))
-    return g.select("month", round_n("_rev", 2).alias("revenue"), round_n("_aov", 2).alias("aov")).orderBy("month")
+    return g.select("month", round_n("_rev", 2).alias("revenue"), round_n("_aov", 2).alias("aov")).transform(ordered("month"))
 
 
 def revenue_by_payment(orders: DataFrame) -> DataFrame:
     """payment_method, revenue over all orders (no status filter)."""
     g = orders.groupBy("payment_method").agg(F.sum("total_amount").alias("_rev"))
-    return g.select("payment_method", round_n("_rev", 2).alias("revenue")).orderBy(F.col("revenue").desc())
+    return g.select("payment_method", round_n("_rev", 2).alias("revenue")).transform(ordered(F.col("revenue").desc()))
 
 
 def revenue_by_acq_channel(enriched: DataFrame, status: str = COMPLETED) -> DataFrame:
@@ -77,19 +78,19 @@ def revenue_by_acq_channel(enriched: DataFrame, status: str = COMPLETED) -> Data
         F.sum("total_amount").alias("_rev"), exact_avg("total_amount").alias("_aov"))
     line = F.avg(F.col("_rev").cast("double")).over(Window.partitionBy())
     return g.select("acquisition_channel", round_n("_rev", 2).alias("revenue"), round_n("_aov", 2).alias("aov"),
-                    round_n(line, 2).alias("avg_line")).orderBy(F.col("revenue").desc(), "acquisition_channel")
+                    round_n(line, 2).alias("avg_line")).transform(ordered(F.col("revenue").desc(), "acquisition_channel"))
 
 
 def revenue_by_country(enriched: DataFrame) -> DataFrame:
     """Country, revenue over all orders (no status filter)."""
     g = enriched.groupBy("country").agg(F.sum("total_amount").alias("_rev"))
-    return g.select("country", round_n("_rev", 2).alias("revenue")).orderBy(F.col("revenue").desc())
+    return g.select("country", round_n("_rev", 2).alias("revenue")).transform(ordered(F.col("revenue").desc()))
 
 
 def revenue_by_device_all(enriched: DataFrame) -> DataFrame:
     """device_type (session device), revenue over all orders, descending."""
     g = enriched.groupBy("device_type").agg(F.sum("total_amount").alias("_rev"))
-    return g.select("device_type", round_n("_rev", 2).alias("revenue")).orderBy(F.col("revenue").desc())
+    return g.select("device_type", round_n("_rev", 2).alias("revenue")).transform(ordered(F.col("revenue").desc()))
 
 
 def retention_lod(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
@@ -111,7 +112,7 @@ def retention_lod(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
     c = cells.withColumn("cohort_size", size).where(F.col("retained_users") > 0)
     return c.select(month_key("cohort_start").alias("cohort_month"), "month_number", "retained_users",
                     "cohort_size", ratio("retained_users", "cohort_size").alias("retention")) \
-        .orderBy("cohort_month", "month_number")
+        .transform(ordered("cohort_month", "month_number"))
 
 
 def kpi_conversion(events: DataFrame) -> DataFrame:

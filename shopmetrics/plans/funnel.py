@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from shopmetrics.functions.exprs import monday_week_key, pct, round_n
 from shopmetrics.model import COMPLETED, STAGES
-from shopmetrics.operators.aggregates import top_k
+from shopmetrics.operators.aggregates import ordered, top_k
 from shopmetrics.operators.funnel_ops import stage_dimension, stage_user_counts, user_stage_flags, wide_to_long
 
 
@@ -52,7 +52,7 @@ def funnel_rates(events: DataFrame, stages: Sequence[str] = STAGES) -> DataFrame
         .alias("dropoff_from_prev_pct"),
         F.when(F.col("ordinal") == 0, F.lit(0).cast("long")).otherwise(prev - F.col("unique_users"))
         .alias("dropped_users"),
-    ).orderBy("ordinal").drop("ordinal")
+    ).transform(ordered("ordinal")).drop("ordinal")
 
 
 def funnel_share_of_max(events: DataFrame, stages: Sequence[str] = STAGES) -> DataFrame:
@@ -109,7 +109,7 @@ def funnel_by_dimension(events: DataFrame, sessions: DataFrame, dim: str, stages
         default_order = last
     out = c.select(dim, *cols, rate)
     key = order_by or default_order
-    return out.orderBy(F.col(key).desc_nulls_last(), F.col(dim))
+    return out.transform(ordered(F.col(key).desc_nulls_last(), F.col(dim)))
 
 
 def funnel_by_device(events: DataFrame, sessions: DataFrame, stages: Sequence[str] = STAGES) -> DataFrame:
@@ -138,7 +138,7 @@ def funnel_weekly(events: DataFrame, stages: Sequence[str] = STAGES, style: str
         c = c.withColumn("purchase_conv_pct",
                          round_n(F.col(stages[-1]).cast("double") / F.nullif(F.col(stages[0]).cast("double"),
                                                                                F.lit(0.0)) * F.lit(100.0), 2))
-    return c.orderBy("week")
+    return c.transform(ordered("week"))
 
 
 def funnel_by_age(events: DataFrame, users: DataFrame, stages: Sequence[str] = ("page_view", "purchase")) -> DataFrame:
@@ -153,7 +153,7 @@ def funnel_by_age(events: DataFrame, users: DataFrame, stages: Sequence[str] = (
     first, last = stages[0], stages[-1]
     return g.select("age_group", *stages,
                     round_n(F.col(last).cast("double") / F.nullif(F.col(first).cast("double"), F.lit(0.0))
-                            * F.lit(100.0), 2).alias("conv_pct")).orderBy(F.col("age_group").asc_nulls_first())
+                            * F.lit(100.0), 2).alias("conv_pct")).transform(ordered(F.col("age_group").asc_nulls_first()))
 
 
 def cart_abandonment(events: DataFrame, order_items: DataFrame, orders: DataFrame, products: DataFrame,

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from shopmetrics.functions.exprs import exact_avg, pct, round_n
 from shopmetrics.model import CHECKS, COMPLETED, FOREIGN_KEYS, NOT_NULL, PRIMARY_KEYS
 from shopmetrics.operators import quality as Q
-from shopmetrics.operators.aggregates import equal_width_histogram, value_counts
+from shopmetrics.operators.aggregates import equal_width_histogram, ordered, value_counts
 from shopmetrics.operators.funnel_ops import wide_to_long
 
 
@@ -46,7 +46,7 @@ def status_split(orders: DataFrame) -> DataFrame:
     vc = value_counts(orders.where(F.col("status").isNotNull()), "status", "n")
     total = F.sum("n").over(Window.partitionBy())
     return vc.select("status", round_n(F.col("n").cast("double") / total.cast("double") * F.lit(100.0), 1)
-                     .alias("pct")).orderBy(F.col("pct").desc(), "status")
+                     .alias("pct")).transform(ordered(F.col("pct").desc(), "status"))
 
 
 DEMOGRAPHIC_DIMENSIONS = ["acquisition_channel", "country", "device_type", "age_group"]
@@ -63,32 +63,32 @@ def user_demographics(users: DataFrame, top_countries: int = 10) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("dimension").orderBy(F.col("users").desc(), F.col("value")))
     ranked = counts.withColumn("_rank", rank)
     return ranked.where((F.col("dimension") != "country") | (F.col("_rank") <= top_countries)) \
-        .select("dimension", "value", "users").orderBy("dimension", F.col("users").desc(), "value")
+        .select("dimension", "value", "users").transform(ordered("dimension", F.col("users").desc(), "value"))
 
 
 def sessions_daily(sessions: DataFrame) -> DataFrame:
     """session_date, sessions."""
     s = sessions.where(F.col("session_date").isNotNull())
     return value_counts(s, "session_date", "sessions").select(
-        F.col("session_date").cast("string").alias("session_date"), "sessions").orderBy("session_date")
+        F.col("session_date").cast("string").alias("session_date"), "sessions").transform(ordered("session_date"))
 
 
 def sessions_hourly(sessions: DataFrame) -> DataFrame:
     """session_hour, sessions."""
     s = sessions.where(F.col("session_hour").isNotNull())
-    return value_counts(s, "session_hour", "sessions").orderBy("session_hour")
+    return value_counts(s, "session_hour", "sessions").transform(ordered("session_hour"))
 
 
 def price_histogram(products: DataFrame, bins: int = 30) -> DataFrame:
     """Bin, lo, hi, count of product prices."""
-    return equal_width_histogram(products, "price", bins).orderBy("bin")
+    return equal_width_histogram(products, "price", bins).transform(ordered("bin"))
 
 
 def avg_price_by_subcategory(products: DataFrame) -> DataFrame:
     """Subcategory, avg_price (2 dp), ascending by price."""
     p = products.where(F.col("subcategory").isNotNull())
     g = p.groupBy("subcategory").agg(exact_avg("price").alias("_avg"))
-    return g.select("subcategory", round_n("_avg", 2).alias("avg_price")).orderBy("avg_price", "subcategory")
+    return g.select("subcategory", round_n("_avg", 2).alias("avg_price")).transform(ordered("avg_price", "subcategory"))
 
 
 def order_value_histogram(orders: DataFrame, bins: int = 40, status: str = COMPLETED) -> DataFrame:
@@ -97,25 +97,25 @@ def order_value_histogram(orders: DataFrame, bins: int = 40, status: str = COMPL
     h = equal_width_histogram(done, "total_amount", bins)
     mean = done.agg(round_n(exact_avg("total_amount"), 2).alias("mean_order_value"))
     # A one-row, one-column aggregate used as a scalar subquery: evaluated once.
-    return h.withColumn("mean_order_value", mean.scalar()).orderBy("bin")
+    return h.withColumn("mean_order_value", mean.scalar()).transform(ordered("bin"))
 
 
 def payment_method_counts(orders: DataFrame) -> DataFrame:
     """payment_method, orders (all statuses)."""
     o = orders.where(F.col("payment_method").isNotNull())
-    return value_counts(o, "payment_method", "orders").orderBy(F.col("orders").desc(), "payment_method")
+    return value_counts(o, "payment_method", "orders").transform(ordered(F.col("orders").desc(), "payment_method"))
 
 
 def event_type_counts(events: DataFrame) -> DataFrame:
     """event_type, events."""
     e = events.where(F.col("event_type").isNotNull())
-    return value_counts(e, "event_type", "events").orderBy(F.col("events").desc(), "event_type")
+    return value_counts(e, "event_type", "events").transform(ordered(F.col("events").desc(), "event_type"))
 
 
 def products_per_subcategory(products: DataFrame) -> DataFrame:
     """Subcategory, products, descending."""
     p = products.where(F.col("subcategory").isNotNull())
-    return value_counts(p, "subcategory", "products").orderBy(F.col("products").desc(), "subcategory")
+    return value_counts(p, "subcategory", "products").transform(ordered(F.col("products").desc(), "subcategory"))
 
 
 def project_summary(users: DataFrame, sessions: DataFrame, events: DataFrame, orders: DataFrame,

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from shopmetrics.functions.exprs import exact_avg, month_key, pct, round_n
 from shopmetrics.model import COMPLETED, MONEY
-from shopmetrics.operators.aggregates import share_of_total, top_k
+from shopmetrics.operators.aggregates import ordered, share_of_total, top_k
 
 
 def _zero():
@@ -49,7 +49,7 @@ def revenue_monthly(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
         round_n("_rev", 2).alias("total_revenue"),
         round_n("_aov", 2).alias("avg_order_value"),
         round_n("_disc", 2).alias("total_discounts"),
-    ).orderBy("month")
+    ).transform(ordered("month"))
 
 
 def revenue_monthly_completed(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
@@ -59,7 +59,7 @@ def revenue_monthly_completed(orders: DataFrame, status: str = COMPLETED) -> Dat
         .groupBy(month_key("order_date").alias("month"))
         .agg(F.sum("total_amount").alias("_rev"))
     )
-    return g.select("month", round_n("_rev", 2).alias("revenue")).orderBy("month")
+    return g.select("month", round_n("_rev", 2).alias("revenue")).transform(ordered("month"))
 
 
 def _orders_by_session_dim(orders: DataFrame, sessions: DataFrame, dim: str, status: str) -> DataFrame:
@@ -84,7 +84,7 @@ def revenue_by_session_dim(orders: DataFrame, sessions: DataFrame, dim: str, sta
     out = g.select(*cols)
     if share == "rounded":
         out = out.withColumn("revenue_share_pct", round_n("_share", 1)).drop("_share")
-    return out.orderBy(F.col("total_revenue").desc(), F.col(dim))
+    return out.transform(ordered(F.col("total_revenue").desc(), F.col(dim)))
 
 
 def revenue_by_channel(orders: DataFrame, sessions: DataFrame, status: str = COMPLETED) -> DataFrame:
@@ -133,7 +133,7 @@ def revenue_by_subcategory(order_items: DataFrame, products: DataFrame, orders:
         round_n("_rev", 2).alias("gross_revenue"),
         round_n("_avg_price", 2).alias("avg_unit_price"),
         round_n("_profit", 2).alias("gross_profit"),
-    ).orderBy(F.col("gross_revenue").desc(), "subcategory")
+    ).transform(ordered(F.col("gross_revenue").desc(), "subcategory"))
 
 
 def revenue_by_subcategory_margin(order_items: DataFrame, products: DataFrame, orders: DataFrame,
@@ -149,7 +149,7 @@ def revenue_by_subcategory_margin(order_items: DataFrame, products: DataFrame, o
         "gross_profit",
         round_n(F.col("gross_profit") / F.nullif(F.col("gross_revenue"), F.lit(0.0)) * F.lit(100.0), 1)
         .alias("margin_pct"),
-    ).orderBy(F.col("gross_revenue").desc(), "subcategory")
+    ).transform(ordered(F.col("gross_revenue").desc(), "subcategory"))
 
 
 def top_products(order_items: DataFrame, products: DataFrame, orders: DataFrame, k: int = 10,
@@ -202,7 +202,7 @@ def discount_impact(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
         round_n("_rev", 2).alias("total_revenue"),
         round_n("_avg_disc", 2).alias("avg_discount"),
         pct("_avg_disc", "_avg_gross", 2).alias("avg_discount_pct"),
-    ).orderBy("discount_group")
+    ).transform(ordered("discount_group"))
 
 
 def discount_monthly(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
@@ -220,7 +220,7 @@ def discount_monthly(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
         pct("discounted_orders", "total_orders", 2).alias("discount_rate_pct"),
         round_n("_disc", 2).alias("total_discounts_given"),
         round_n("_rev", 2).alias("revenue_after_discounts"),
-    ).orderBy("month")
+    ).transform(ordered("month"))
 
 
 def discount_trend(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
@@ -232,7 +232,7 @@ def discount_trend(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
         F.sum("discount_amount").alias("_disc"),
     )
     return g.select("month", pct("_d", "_n", 1).alias("discount_rate_pct"),
-                    round_n("_disc", 0).alias("total_discounts")).orderBy("month")
+                    round_n("_disc", 0).alias("total_discounts")).transform(ordered("month"))
 
 
 def user_order_counts(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
@@ -263,5 +263,6 @@ def orders_per_buyer(orders: DataFrame, status: str = COMPLETED, first: int | No
     u = user_order_counts(orders, status)
     g = u.groupBy(F.col("order_count").alias("orders_placed")).agg(F.count(F.lit(1)).alias("num_users"))
     out = g.select("orders_placed", "num_users", share_of_total("num_users", 2).alias("pct_of_buyers"))
-    out = out.orderBy("orders_placed")
-    return out.limit(first) if first else out
+    if first:
+        return top_k(out, first, [F.col("orders_placed").asc()])
+    return out.transform(ordered("orders_placed"))

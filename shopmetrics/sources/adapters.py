@@ -45,8 +45,10 @@ COST_RATIO = "0.55"
 
 
 def decimal_of(c: Column, dtype) -> Column:
-    """double -> decimal with half-up rounding that does not depend on binary noise."""
-    return F.round(c.cast("decimal(38,10)"), dtype.scale).cast(dtype)
+    """double -> decimal, rounded half-up on 8 decimals first so binary noise of the
+    double (x.xx4999999 for x.xx5) cannot flip the rounding.  Precision 18 keeps the
+    per-row arithmetic on 64-bit unscaled values (row values below 10^10)."""
+    return F.round(c.cast("decimal(18,8)"), dtype.scale).cast(dtype)
 
 
 def _relabel(c: Column, mapping: dict[str, str]) -> Column:
