@@ -47,6 +47,18 @@ FROM (SELECT cohort, {month_diff('cohort', 'om')} AS month_number,
 JOIN (SELECT cohort, COUNT(DISTINCT user_id) AS cohort_size FROM fp GROUP BY cohort) s ON c.cohort = s.cohort
 WHERE c.retained_users > 0""", "fp AS (SELECT user_id, date_trunc('month', MIN(order_date)) AS cohort "
                                "FROM c_orders GROUP BY user_id)")
+    q["retention_lod_month_part"] = with_prelude(f"""
+SELECT CAST(month(c.cohort) AS INTEGER) AS cohort_month, c.month_number,
+       SUM(c.retained_users) AS retained_users, MIN(s.cohort_size) AS cohort_size,
+       {div('SUM(c.retained_users)', 'MIN(s.cohort_size)')} AS retention
+FROM (SELECT cohort, {month_diff('cohort', 'om')} AS month_number,
+             COUNT(DISTINCT CASE WHEN o.{COMPLETED} THEN o.user_id END) AS retained_users
+      FROM (SELECT *, date_trunc('month', order_date) AS om FROM c_orders) o JOIN fp ON o.user_id = fp.user_id
+      GROUP BY 1, 2) c
+JOIN (SELECT cohort, COUNT(DISTINCT user_id) AS cohort_size FROM fp GROUP BY cohort) s ON c.cohort = s.cohort
+WHERE c.retained_users > 0
+GROUP BY 1, 2""", "fp AS (SELECT user_id, date_trunc('month', MIN(order_date)) AS cohort "
+                  "FROM c_orders GROUP BY user_id)")
     q["kpi_conversion"] = with_prelude(
         "SELECT purchases, page_views, " + div("purchases", "page_views") + " AS conversion_rate FROM "
         "(SELECT COUNT(*) FILTER (WHERE event_type = 'purchase') AS purchases, "

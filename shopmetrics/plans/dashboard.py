@@ -34,6 +34,23 @@ def orders_enriched_output(orders: DataFrame, sessions: DataFrame, users: DataFr
         .withColumn("discount_amount", F.col("discount_amount").cast("double"))
 
 
+def write_orders_enriched(orders: DataFrame, sessions: DataFrame, users: DataFrame, path: str,
+                          fmt: str = "parquet", mode: str = "overwrite") -> None:
+    """IO5: export X1 for dashboards (parquet, or CSV with a header)."""
+    from shopmetrics.sources.io import write_table
+
+    write_table(orders_enriched_output(orders, sessions, users), path, fmt, mode)
+
+
+def filter_by_acquisition_channel(orders: DataFrame, users: DataFrame, channel: str | None) -> DataFrame:
+    """PF14: the dashboard's filter action — keep the orders of users acquired through
+    ``channel`` (a left semi join on user_id; unchanged when ``channel`` is None)."""
+    if channel is None:
+        return orders
+    u = users.where(F.col("acquisition_channel") == channel).select("user_id")
+    return orders.join(u, "user_id", "left_semi")
+
+
 def _completed(df: DataFrame, status: str = COMPLETED) -> DataFrame:
     return df.where(F.col("status") == status)
 
@@ -93,13 +110,18 @@ def revenue_by_device_all(enriched: DataFrame) -> DataFrame:
     return g.select("device_type", round_n("_rev", 2).alias("revenue")).transform(ordered(F.col("revenue").desc()))
 
 
-def retention_lod(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
+def retention_lod(orders: DataFrame, status: str = COMPLETED, month_part: bool = False) -> DataFrame:
     """cohort_month, month_number, retained_users, cohort_size, retention (fraction).
 
     Cohort = month of the user's first order of any status; cohort size = all users of
     that cohort; retained = distinct users with a completed order in the month.
     Orders are reduced per (user, month) first, so the per-user cohort window sees a
-    few rows per user, not a heavy buyer's raw orders."""
+    few rows per user, not a heavy buyer's raw orders.
+
+    ``month_part=True`` labels rows by the cohort's month of year only (1–12), as the
+    worksheet's MONTH pill does: cohorts of different years then share a row; their
+    (disjoint) retained users add up and the size is the MIN over the merged cohorts,
+    as ``COUNTD(user) / MIN(size)`` evaluates there."""
     um = orders.groupBy("user_id", month_start("order_date").alias("order_start")).agg(
         F.max(F.when(F.col("status") == status, F.lit(1)).otherwise(F.lit(0))).alias("done"))
     um = um.withColumn("cohort_start", F.min("order_start").over(Window.partitionBy("user_id"))) \
@@ -110,8 +132,13 @@ def retention_lod(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
     # Every user has a month-0 row, so the month-0 cell counts the whole cohort.
     size = F.max(F.when(F.col("month_number") == 0, F.col("users"))).over(Window.partitionBy("cohort_start"))
     c = cells.withColumn("cohort_size", size).where(F.col("retained_users") > 0)
-    return c.select(month_key("cohort_start").alias("cohort_month"), "month_number", "retained_users",
-                    "cohort_size", ratio("retained_users", "cohort_size").alias("retention")) \
+    if month_part:
+        c = c.groupBy(F.month("cohort_start").alias("cohort_month"), "month_number").agg(
+            F.sum("retained_users").alias("retained_users"), F.min("cohort_size").alias("cohort_size"))
+    else:
+        c = c.withColumn("cohort_month", month_key("cohort_start"))
+    return c.select("cohort_month", "month_number", "retained_users", "cohort_size",
+                    ratio("retained_users", "cohort_size").alias("retention")) \
         .transform(ordered("cohort_month", "month_number"))
 
 

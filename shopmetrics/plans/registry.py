@@ -19,10 +19,13 @@ from shopmetrics.sources.adapters import DriverTables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# The dashboard filter action (PF14) is exercised with one acquisition channel value.
+FILTER_CHANNEL = "BUILDING"
+
 
 def _q(fn: Callable[[DriverTables], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(DriverTables(spark, sf_dir))
+        return fn(DriverTables.of(spark, sf_dir))
 
     run.__doc__ = fn.__doc__
     return run
@@ -48,6 +51,7 @@ def revenue_queries() -> dict[str, Query]:
         "discount_trend": _q(lambda t: R.discount_trend(t.orders)),
         "repeat_rate": _q(lambda t: R.repeat_rate(t.orders)),
         "orders_per_buyer": _q(lambda t: R.orders_per_buyer(t.orders)),
+        "orders_per_buyer_nb": _q(lambda t: R.orders_per_buyer(t.orders, first=10)),
     }
 
 
@@ -116,6 +120,11 @@ def dashboard_queries() -> dict[str, Query]:
         "revenue_by_country": _q(lambda t: D.revenue_by_country(enriched(t))),
         "revenue_by_device_all": _q(lambda t: D.revenue_by_device_all(enriched(t))),
         "retention_lod": _q(lambda t: D.retention_lod(t.orders)),
+        "retention_lod_month_part": _q(lambda t: D.retention_lod(t.orders, month_part=True)),
+        "revenue_monthly_acq_filtered": _q(lambda t: R.revenue_monthly(
+            D.filter_by_acquisition_channel(t.orders, t.users, FILTER_CHANNEL))),
+        "top_products_acq_filtered": _q(lambda t: R.top_products(
+            t.order_items, t.products, D.filter_by_acquisition_channel(t.orders, t.users, FILTER_CHANNEL))),
         "kpi_conversion": _q(lambda t: D.kpi_conversion(t.events)),
         "kpi_repeat_rate": _q(lambda t: D.kpi_repeat_rate(t.orders)),
     }

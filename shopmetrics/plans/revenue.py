@@ -154,11 +154,17 @@ def revenue_by_subcategory_margin(order_items: DataFrame, products: DataFrame, o
 
 def top_products(order_items: DataFrame, products: DataFrame, orders: DataFrame, k: int = 10,
                  status: str = COMPLETED) -> DataFrame:
-    """Top-k products by (rounded) revenue; ties broken by product_id."""
-    keys = ["product_id", "product_name", "subcategory", "brand", "price"]
-    lines = _completed_lines(order_items, products, orders, keys[1:], status)
-    g = lines.groupBy(*keys).agg(*_line_measures())
-    out = g.select(
+    """Top-k products by (rounded) revenue; ties broken by product_id.
+
+    Lines of completed orders are aggregated per product_id first (partial aggregation
+    map-side) and only then joined to products, so the product join sees one row per
+    product instead of every line.  Equal to grouping by all product columns after the
+    join because product_id is the products key."""
+    oi = order_items.select("order_id", "product_id", "quantity", "unit_price")
+    done = orders.where(_is_completed(status)).select("order_id")
+    per_product = oi.join(done, "order_id").groupBy("product_id").agg(*_line_measures())
+    p = products.select("product_id", "product_name", "subcategory", "brand", "price")
+    out = per_product.join(p, "product_id").select(
         "product_id", "product_name", "subcategory", "brand",
         F.col("price").cast("double").alias("price"),
         "total_orders", "units_sold",

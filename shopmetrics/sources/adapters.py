@@ -187,10 +187,23 @@ class DriverTables:
     only the columns a metric touches are scanned.
     """
 
+    _registry: dict[tuple[int, str], DriverTables] = {}
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
 
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> DriverTables:
+        """The table definitions for ``sf_dir`` in this session, built once and reused
+        (like views in a catalog): later metrics skip re-listing files and re-analysing
+        the adapter plans.  Only plans are kept, never data."""
+        key = (id(spark), sf_dir.rstrip("/"))
+        tables = cls._registry.get(key)
+        if tables is None or tables.spark is not spark:
+            tables = cls._registry[key] = cls(spark, sf_dir)
+        return tables
+
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
