@@ -63,9 +63,24 @@ def revenue_monthly_completed(orders: DataFrame, status: str = COMPLETED) -> Dat
 
 
 def _orders_by_session_dim(orders: DataFrame, sessions: DataFrame, dim: str, status: str) -> DataFrame:
-    o = orders.select("session_id", "status", "total_amount")
+    """orders ⋈ sessions grouped by a session column, with the completed-order measures.
+
+    The measures are decomposable, so orders are first reduced per session_id (map-side
+    partial sums): a session holding a third of all orders becomes one row before the
+    join, and the join reuses that aggregation's partitioning."""
+    done = _is_completed(status)
+    per_session = orders.groupBy("session_id").agg(
+        F.count(F.when(done, F.lit(1))).alias("_n"),
+        F.sum(F.when(done, F.col("total_amount")).otherwise(_zero())).alias("_s"),
+        F.sum(F.when(done, F.col("total_amount"))).alias("_sa"),
+        F.count(F.when(done, F.col("total_amount"))).alias("_na"),
+    )
     s = sessions.select("session_id", dim)
-    return o.join(s, "session_id").groupBy(dim).agg(*_conditional_measures(status))
+    return per_session.join(s, "session_id").groupBy(dim).agg(
+        F.sum("_n").alias("total_orders"),
+        F.coalesce(F.sum("_s"), _zero()).alias("_rev"),
+        (F.sum("_sa").cast("double") / F.nullif(F.sum("_na"), F.lit(0)).cast("double")).alias("_aov"),
+    )
 
 
 def revenue_by_session_dim(orders: DataFrame, sessions: DataFrame, dim: str, status: str = COMPLETED,
