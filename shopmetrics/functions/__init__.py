@@ -1 +1 @@
-"""shopmetrics package."""
+"""Scalar column expressions (built-in Catalyst expressions only)."""

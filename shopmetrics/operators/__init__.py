@@ -1 +1 @@
-"""shopmetrics package."""
+"""Generic DataFrame operators the metrics are composed from."""

@@ -1 +1 @@
-"""shopmetrics package."""
+"""Named metrics, one function each, and the name registry."""

@@ -1 +1,7 @@
-"""shopmetrics package."""
+"""Streaming: intentionally empty.
+
+The modelled project reads only batch tables (no watermarks, windows over event time,
+state or late data), so no stream operator is built.  The metrics are DataFrame ->
+DataFrame functions; the aggregating ones can be applied to a streaming DataFrame in
+``complete`` output mode where Spark supports the operators, but none is registered.
+"""
