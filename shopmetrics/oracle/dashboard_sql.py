@@ -49,7 +49,7 @@ WHERE c.retained_users > 0""", "fp AS (SELECT user_id, date_trunc('month', MIN(o
                                "FROM c_orders GROUP BY user_id)")
     q["retention_lod_month_part"] = with_prelude(f"""
 SELECT CAST(month(c.cohort) AS INTEGER) AS cohort_month, c.month_number,
-       SUM(c.retained_users) AS retained_users, MIN(s.cohort_size) AS cohort_size,
+       CAST(SUM(c.retained_users) AS BIGINT) AS retained_users, MIN(s.cohort_size) AS cohort_size,
        {div('SUM(c.retained_users)', 'MIN(s.cohort_size)')} AS retention
 FROM (SELECT cohort, {month_diff('cohort', 'om')} AS month_number,
              COUNT(DISTINCT CASE WHEN o.{COMPLETED} THEN o.user_id END) AS retained_users
