@@ -13,7 +13,9 @@ def reuse_small(df: DataFrame) -> DataFrame:
     ``spark.checkpoint.dir`` (shared storage on a cluster), so the second read neither
     recomputes its lineage nor depends on executors that may be lost.  Without a
     configured checkpoint folder it is simply recomputed."""
-    if df.sparkSession.sparkContext.getCheckpointDir():
+    from shopmetrics.session import checkpoint_dir
+
+    if checkpoint_dir(df.sparkSession):
         return df.checkpoint(eager=True)
     return df
 

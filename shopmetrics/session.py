@@ -31,17 +31,27 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder; create a scratch one only when unset.
-
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is respected; the
-    scratch fallback is for local tests only.
-    """
+def checkpoint_dir(spark: SparkSession) -> str | None:
+    """The session's checkpoint folder (``spark.checkpoint.dir`` or one set on the
+    context), or None.  Never creates one: on a cluster only the shared folder the
+    cluster names is used."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
-    path = configured or tempfile.mkdtemp(prefix="shopmetrics-ckpt-")
-    sc.setCheckpointDir(path)
+    if configured:
+        sc.setCheckpointDir(configured)
+        return configured
+    return None
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """For local tests and the bench: the configured checkpoint folder, or a scratch
+    folder when the session names none."""
+    current = checkpoint_dir(spark)
+    if current:
+        return current
+    path = tempfile.mkdtemp(prefix="shopmetrics-ckpt-")
+    spark.sparkContext.setCheckpointDir(path)
     return path
