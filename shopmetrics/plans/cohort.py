@@ -14,10 +14,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopmetrics.functions.exprs import exact_avg, month_diff, month_key, month_start, pct, ratio, round_n
+from shopmetrics.functions.exprs import month_diff, month_key, month_start, pct, ratio, round_n
 from shopmetrics.model import COMPLETED
 from shopmetrics.operators.aggregates import ordered
-from shopmetrics.operators.reshape import pivot_wide
+from shopmetrics.operators.reshape import pivot_wide, reuse_small
 
 
 def cohort_activity(orders: DataFrame, status: str | None = COMPLETED) -> DataFrame:
@@ -47,20 +47,20 @@ def _cells(activity: DataFrame) -> DataFrame:
     return c.withColumn("cohort_size", size)
 
 
-def cohort_sizes(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
-    """cohort_month, cohort_size, users_in_cohort (equal by construction)."""
-    a = cohort_activity(orders, status).where(F.col("month_number") == 0)
-    g = a.groupBy("cohort_start").agg(F.count(F.lit(1)).alias("cohort_size"),
-                                      F.count("user_id").alias("users_in_cohort"))
-    return g.select(month_key("cohort_start").alias("cohort_month"), "cohort_size", "users_in_cohort") \
-        .transform(ordered("cohort_month"))
+def cohort_cells(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
+    """The shared long form: one row per observed (cohort, purchase month) with users,
+    orders, amounts, revenue and the cohort's size.  Small (cohorts x months)."""
+    return _cells(cohort_activity(orders, status))
 
 
-def cohort_retention(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
-    """cohort_month, purchase_month, cohort_size, retained_users, retention_pct,
-    month_number (the intended month index, not the NULL the SQLite text yields)."""
-    c = _cells(cohort_activity(orders, status))
-    return c.select(
+def _sizes(cells: DataFrame) -> DataFrame:
+    m0 = cells.where(F.col("month_number") == 0)
+    return m0.select(month_key("cohort_start").alias("cohort_month"), F.col("users").alias("cohort_size"),
+                     F.col("users").alias("users_in_cohort")).transform(ordered("cohort_month"))
+
+
+def _retention(cells: DataFrame) -> DataFrame:
+    return cells.select(
         month_key("cohort_start").alias("cohort_month"),
         month_key("order_start").alias("purchase_month"),
         "cohort_size",
@@ -70,6 +70,84 @@ def cohort_retention(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
     ).transform(ordered("cohort_month", "month_number"))
 
 
+def _revenue(cells: DataFrame) -> DataFrame:
+    return cells.select(
+        month_key("cohort_start").alias("cohort_month"),
+        month_key("order_start").alias("purchase_month"),
+        "month_number",
+        F.col("orders").alias("total_orders"),
+        round_n("revenue", 2).alias("cohort_revenue"),
+        round_n(ratio("revenue", "amounts"), 2).alias("avg_order_value"),
+    ).transform(ordered("cohort_month", "month_number"))
+
+
+def _per_cohort(cells: DataFrame) -> DataFrame:
+    """Per cohort: size, orders, revenue.  Every buyer has a month-0 cell, so per-user
+    averages are cohort totals over the cohort size."""
+    return cells.groupBy("cohort_start").agg(
+        F.max("cohort_size").alias("cohort_size"),
+        F.sum("orders").cast("long").alias("total_orders"),
+        F.sum("revenue").alias("_rev"),
+    )
+
+
+def _user_value(cells: DataFrame) -> DataFrame:
+    g = _per_cohort(cells)
+    return g.select(
+        month_key("cohort_start").alias("cohort_month"),
+        "cohort_size",
+        "total_orders",
+        round_n(ratio("total_orders", "cohort_size"), 2).alias("avg_orders_per_user"),
+        round_n("_rev", 2).alias("total_revenue"),
+        round_n(ratio("_rev", "cohort_size"), 2).alias("avg_revenue_per_user"),
+        round_n(ratio("_rev", "total_orders"), 2).alias("avg_order_value"),
+    ).transform(ordered("cohort_month"))
+
+
+def _engagement(cells: DataFrame) -> DataFrame:
+    g = _per_cohort(cells)
+    return g.select(month_key("cohort_start").alias("cohort_month"), "cohort_size", "total_orders",
+                    round_n(ratio("total_orders", "cohort_size"), 2).alias("avg_orders")) \
+        .transform(ordered("cohort_month"))
+
+
+def _retention_matrix(cells: DataFrame) -> DataFrame:
+    r = F.col("users").cast("double") / F.col("cohort_size").cast("double") * F.lit(100.0)
+    return cells.select(month_key("cohort_start").alias("cohort_month"), "month_number",
+                        round_n(r, 1).alias("retention_pct")).transform(ordered("cohort_month", "month_number"))
+
+
+def _revenue_matrix(cells: DataFrame) -> DataFrame:
+    return cells.select(month_key("cohort_start").alias("cohort_month"), "month_number",
+                        round_n("revenue", 0).alias("revenue")).transform(ordered("cohort_month", "month_number"))
+
+
+def _ltv(cells: DataFrame) -> DataFrame:
+    c = cells.withColumn("cell", round_n("revenue", 0))
+    w = Window.partitionBy("cohort_start").orderBy("month_number").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    cum = F.sum("cell").over(w)
+    return c.select(month_key("cohort_start").alias("cohort_month"), "month_number",
+                    round_n(cum / F.col("cohort_size").cast("double"), 2).alias("ltv")) \
+        .transform(ordered("cohort_month", "month_number"))
+
+
+def _ltv_latest(cells: DataFrame) -> DataFrame:
+    return _ltv(cells).groupBy("cohort_month").agg(F.max_by("ltv", "month_number").alias("ltv")) \
+        .transform(ordered("cohort_month"))
+
+
+def cohort_sizes(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
+    """cohort_month, cohort_size, users_in_cohort (equal by construction)."""
+    return _sizes(cohort_cells(orders, status))
+
+
+def cohort_retention(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
+    """cohort_month, purchase_month, cohort_size, retained_users, retention_pct,
+    month_number (the intended month index, not the NULL the SQLite text yields)."""
+    return _retention(cohort_cells(orders, status))
+
+
 def cohort_base(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
     """C2p: one row per completed order with its month, cohort month and month number.
 
@@ -90,88 +168,39 @@ def cohort_base(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
 def cohort_revenue(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
     """cohort_month, purchase_month, month_number, total_orders, cohort_revenue,
     avg_order_value."""
-    c = _cells(cohort_activity(orders, status))
-    return c.select(
-        month_key("cohort_start").alias("cohort_month"),
-        month_key("order_start").alias("purchase_month"),
-        "month_number",
-        F.col("orders").alias("total_orders"),
-        round_n("revenue", 2).alias("cohort_revenue"),
-        round_n(ratio("revenue", "amounts"), 2).alias("avg_order_value"),
-    ).transform(ordered("cohort_month", "month_number"))
-
-
-def _per_user(orders: DataFrame, status: str) -> DataFrame:
-    a = cohort_activity(orders, status)
-    return a.groupBy("cohort_start", "user_id").agg(
-        F.sum("n_orders").alias("user_order_count"), F.sum("revenue").alias("user_total_revenue"))
+    return _revenue(cohort_cells(orders, status))
 
 
 def cohort_user_value(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
     """C4: cohort_month, cohort_size, total_orders, avg_orders_per_user, total_revenue,
     avg_revenue_per_user, avg_order_value."""
-    u = _per_user(orders, status)
-    g = u.groupBy("cohort_start").agg(
-        F.count(F.lit(1)).alias("cohort_size"),
-        F.sum("user_order_count").alias("total_orders"),
-        exact_avg("user_order_count").alias("_apu"),
-        F.sum("user_total_revenue").alias("_rev"),
-        exact_avg("user_total_revenue").alias("_rpu"),
-    )
-    return g.select(
-        month_key("cohort_start").alias("cohort_month"),
-        "cohort_size",
-        F.col("total_orders").cast("long").alias("total_orders"),
-        round_n("_apu", 2).alias("avg_orders_per_user"),
-        round_n("_rev", 2).alias("total_revenue"),
-        round_n("_rpu", 2).alias("avg_revenue_per_user"),
-        round_n(ratio("_rev", "total_orders"), 2).alias("avg_order_value"),
-    ).transform(ordered("cohort_month"))
+    return _user_value(cohort_cells(orders, status))
 
 
 def cohort_engagement(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
     """C4p: cohort_month, cohort_size, total_orders, avg_orders (2 dp)."""
-    u = _per_user(orders, status)
-    g = u.groupBy("cohort_start").agg(
-        F.count("user_id").alias("cohort_size"),
-        F.sum("user_order_count").cast("long").alias("total_orders"),
-        exact_avg("user_order_count").alias("_avg"),
-    )
-    return g.select(month_key("cohort_start").alias("cohort_month"), "cohort_size", "total_orders",
-                    round_n("_avg", 2).alias("avg_orders")).transform(ordered("cohort_month"))
+    return _engagement(cohort_cells(orders, status))
 
 
 def retention_matrix(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
     """C5 long form: cohort_month, month_number, retention_pct (1 dp), observed cells only."""
-    c = _cells(cohort_activity(orders, status))
-    r = F.col("users").cast("double") / F.col("cohort_size").cast("double") * F.lit(100.0)
-    return c.select(month_key("cohort_start").alias("cohort_month"), "month_number",
-                    round_n(r, 1).alias("retention_pct")).transform(ordered("cohort_month", "month_number"))
+    return _retention_matrix(cohort_cells(orders, status))
 
 
 def revenue_matrix(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
     """C6 long form: cohort_month, month_number, revenue rounded to whole currency."""
-    c = _cells(cohort_activity(orders, status))
-    return c.select(month_key("cohort_start").alias("cohort_month"), "month_number",
-                    round_n("revenue", 0).alias("revenue")).transform(ordered("cohort_month", "month_number"))
+    return _revenue_matrix(cohort_cells(orders, status))
 
 
 def ltv_curve(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
     """C7 long form: cohort_month, month_number, ltv = cumulative rounded cohort revenue
     / cohort size (2 dp).  Cells are rounded before accumulating, as the matrix is."""
-    c = _cells(cohort_activity(orders, status)).withColumn("cell", round_n("revenue", 0))
-    w = Window.partitionBy("cohort_start").orderBy("month_number").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    cum = F.sum("cell").over(w)
-    return c.select(month_key("cohort_start").alias("cohort_month"), "month_number",
-                    round_n(cum / F.col("cohort_size").cast("double"), 2).alias("ltv")) \
-        .transform(ordered("cohort_month", "month_number"))
+    return _ltv(cohort_cells(orders, status))
 
 
 def ltv_latest(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
     """cohort_month, ltv at the cohort's last observed month."""
-    lt = ltv_curve(orders, status)
-    return lt.groupBy("cohort_month").agg(F.max_by("ltv", "month_number").alias("ltv")).transform(ordered("cohort_month"))
+    return _ltv_latest(cohort_cells(orders, status))
 
 
 def retention_matrix_wide(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
@@ -187,3 +216,29 @@ def revenue_matrix_wide(orders: DataFrame, status: str = COMPLETED) -> DataFrame
 def ltv_matrix_wide(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
     """C7 as a matrix: cohort_month, M0, M1, ... (NULL where the month is unobserved)."""
     return pivot_wide(ltv_curve(orders, status), "cohort_month", "month_number", "ltv", "M")
+
+
+def cohort_report(orders: DataFrame, status: str = COMPLETED) -> dict[str, DataFrame]:
+    """All cohort metrics from one computation of the shared cells.
+
+    The orders scan, the per-(user, month) reduction and the cohort window run once; the
+    small cells frame is checkpointed into the session's checkpoint folder (when one is
+    configured) and every metric — sizes, retention, revenue, per-user value, matrices,
+    LTV — is a cheap projection or aggregate of it."""
+    cells = reuse_small(cohort_cells(orders, status))
+    out = {
+        "cohort_sizes": _sizes(cells),
+        "cohort_retention": _retention(cells),
+        "cohort_revenue": _revenue(cells),
+        "cohort_user_value": _user_value(cells),
+        "cohort_engagement": _engagement(cells),
+        "retention_matrix": _retention_matrix(cells),
+        "revenue_matrix": _revenue_matrix(cells),
+        "ltv_curve": _ltv(cells),
+        "ltv_latest": _ltv_latest(cells),
+    }
+    out["retention_matrix_wide"] = pivot_wide(out["retention_matrix"], "cohort_month", "month_number",
+                                              "retention_pct", "M")
+    out["revenue_matrix_wide"] = pivot_wide(out["revenue_matrix"], "cohort_month", "month_number", "revenue", "M")
+    out["ltv_matrix_wide"] = pivot_wide(out["ltv_curve"], "cohort_month", "month_number", "ltv", "M")
+    return out

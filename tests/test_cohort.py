@@ -72,3 +72,10 @@ def test_month_zero_retention_is_100_and_sizes_sum_to_buyers(spark):
 def test_t10_lod_cohorts_use_any_status(spark):
     out = rows(D.retention_lod(make_orders(spark)), "cohort_month", "month_number", "retained_users", "cohort_size")
     assert out == [("2024-01", 0, 2, 3), ("2024-01", 1, 1, 3), ("2024-01", 2, 1, 3)]
+
+
+def test_cohort_report_equals_individual_metrics(spark):
+    o = make_orders(spark)
+    report = C.cohort_report(o)
+    for name, df in report.items():
+        assert rows(df) == rows(getattr(C, name)(o)), name
