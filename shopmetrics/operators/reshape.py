@@ -6,18 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopmetrics.operators.aggregates import ordered
-
-
-def reuse_small(df: DataFrame) -> DataFrame:
-    """A small intermediate that is read twice: checkpointed into the session's
-    ``spark.checkpoint.dir`` (shared storage on a cluster), so the second read neither
-    recomputes its lineage nor depends on executors that may be lost.  Without a
-    configured checkpoint folder it is simply recomputed."""
-    from shopmetrics.session import checkpoint_dir
-
-    if checkpoint_dir(df.sparkSession):
-        return df.checkpoint(eager=True)
-    return df
+from shopmetrics.operators.reuse import materialize
 
 
 def pivot_wide(long: DataFrame, row_key: str, col_key: str, value: str, prefix: str = "") -> DataFrame:
@@ -28,7 +17,7 @@ def pivot_wide(long: DataFrame, row_key: str, col_key: str, value: str, prefix:
     ``long`` (an aggregate, e.g. cohort x month cells) is checkpointed once and read
     for both the keys and the pivot.
     """
-    long = reuse_small(long)
+    long = materialize(long)
     keys = sorted(r[0] for r in long.select(col_key).distinct().collect() if r[0] is not None)
     labels = [f"{prefix}{k}" for k in keys]
     labelled = long.select(row_key, F.concat(F.lit(prefix), F.col(col_key).cast("string")).alias("_label"), value)

@@ -1,0 +1,17 @@
+"""Materialising an intermediate that several results read."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the session's checkpoint folder (``spark.checkpoint.dir``,
+    a shared folder on a cluster) and read it back with its lineage cut: later reads
+    neither recompute it nor depend on executors that may be lost.  Without a
+    configured checkpoint folder the frame is returned as is and recomputed per read."""
+    from shopmetrics.session import checkpoint_dir
+
+    if checkpoint_dir(df.sparkSession):
+        return df.checkpoint(eager=True)
+    return df

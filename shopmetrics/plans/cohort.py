@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from shopmetrics.functions.exprs import month_diff, month_key, month_start, pct, ratio, round_n
 from shopmetrics.model import COMPLETED
 from shopmetrics.operators.aggregates import ordered
-from shopmetrics.operators.reshape import pivot_wide, reuse_small
+from shopmetrics.operators.reshape import pivot_wide
+from shopmetrics.operators.reuse import materialize
 
 
 def cohort_activity(orders: DataFrame, status: str | None = COMPLETED) -> DataFrame:
@@ -225,7 +226,7 @@ def cohort_report(orders: DataFrame, status: str = COMPLETED) -> dict[str, DataF
     small cells frame is checkpointed into the session's checkpoint folder (when one is
     configured) and every metric — sizes, retention, revenue, per-user value, matrices,
     LTV — is a cheap projection or aggregate of it."""
-    cells = reuse_small(cohort_cells(orders, status))
+    cells = materialize(cohort_cells(orders, status))
     out = {
         "cohort_sizes": _sizes(cells),
         "cohort_retention": _retention(cells),

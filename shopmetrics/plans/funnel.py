@@ -16,28 +16,27 @@ from shopmetrics.functions.exprs import monday_week_key, pct, round_n
 from shopmetrics.model import COMPLETED, STAGES
 from shopmetrics.operators.aggregates import ordered, top_k
 from shopmetrics.operators.funnel_ops import stage_dimension, stage_user_counts, user_stage_flags, wide_to_long
+from shopmetrics.operators.reuse import materialize
 
 
-def _stage_counts_wide(events: DataFrame, stages: Sequence[str]) -> DataFrame:
-    """One row: a bigint column per stage (0 when nobody reached it)."""
-    return stage_user_counts(events, (), stages, suffix="")
+def _sum_flags(flags: DataFrame, dims: Sequence[str], stages: Sequence[str], suffix: str = "") -> DataFrame:
+    return flags.groupBy(*dims).agg(
+        *[F.coalesce(F.sum(s), F.lit(0)).cast("long").alias(f"{s}{suffix}") for s in stages])
 
 
-def funnel_overall(events: DataFrame, stages: Sequence[str] = STAGES) -> DataFrame:
-    """stage, unique_users in stage order (0 for a stage without events)."""
-    wide = _stage_counts_wide(events, stages)
+def _max_flags(flags: DataFrame, keys: Sequence[str], stages: Sequence[str]) -> DataFrame:
+    return flags.groupBy(*keys).agg(*[F.max(s).alias(s) for s in stages])
+
+
+def _overall_from(wide: DataFrame, stages: Sequence[str]) -> DataFrame:
     return wide_to_long(wide, [], list(stages), list(stages), "stage", "unique_users")
 
 
-def funnel_rates(events: DataFrame, stages: Sequence[str] = STAGES) -> DataFrame:
-    """F1p: stage, unique_users, conversion_from_top_pct, dropoff_from_prev_pct,
-    dropped_users.  A stage without events is kept with NULL users (reindex form)."""
-    spark = events.sparkSession
-    counts = funnel_overall(events, stages).withColumn(
-        "unique_users", F.nullif(F.col("unique_users"), F.lit(0)))
+def _rates_from(wide: DataFrame, stages: Sequence[str]) -> DataFrame:
+    counts = _overall_from(wide, stages).withColumn("unique_users", F.nullif(F.col("unique_users"), F.lit(0)))
     # Five rows: the ordered windows below run on one partition of a tiny frame.
     w = Window.orderBy("ordinal")
-    j = stage_dimension(spark, stages).join(counts, "stage", "left")
+    j = stage_dimension(wide.sparkSession, stages).join(counts, "stage", "left")
     top = F.first("unique_users").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     prev = F.lag("unique_users").over(w)
     users = F.col("unique_users").cast("double")
@@ -55,19 +54,15 @@ def funnel_rates(events: DataFrame, stages: Sequence[str] = STAGES) -> DataFrame
     ).transform(ordered("ordinal")).drop("ordinal")
 
 
-def funnel_share_of_max(events: DataFrame, stages: Sequence[str] = STAGES) -> DataFrame:
-    """F1t: stage, unique_users, pct_of_max = users / max(users over stages) (a fraction)."""
-    f1 = funnel_overall(events, stages)
+def _share_of_max_from(wide: DataFrame, stages: Sequence[str]) -> DataFrame:
+    f1 = _overall_from(wide, stages)
     mx = F.max("unique_users").over(Window.partitionBy())
     return f1.select("stage", "unique_users",
                      (F.col("unique_users").cast("double") / F.nullif(mx.cast("double"), F.lit(0.0)))
                      .alias("pct_of_max"))
 
 
-def funnel_transitions(events: DataFrame, stages: Sequence[str] = STAGES) -> DataFrame:
-    """transition, from_users, to_users, conversion_rate_pct, dropoff_rate_pct for
-    each consecutive pair of stages (NULL rates when the from-stage has no users)."""
-    wide = _stage_counts_wide(events, stages)
+def _transitions_from(wide: DataFrame, stages: Sequence[str]) -> DataFrame:
     pairs = list(zip(stages[:-1], stages[1:]))
     args = ", ".join(f"'{a} → {b}', `{a}`, `{b}`" for a, b in pairs)
     long = wide.selectExpr(f"stack({len(pairs)}, {args}) as (transition, from_users, to_users)")
@@ -78,24 +73,7 @@ def funnel_transitions(events: DataFrame, stages: Sequence[str] = STAGES) -> Dat
     )
 
 
-def _session_dim_counts(events: DataFrame, sessions: DataFrame, dim: str, stages: Sequence[str]) -> DataFrame:
-    """Distinct users per stage per session dimension value (events ⋈ sessions).
-
-    Events are first reduced to one flag row per (session, user): map-side partial
-    aggregation shrinks a hot session to a handful of rows before any shuffle, so the
-    join that follows is neither large nor skewed."""
-    per_session = user_stage_flags(events, ["session_id"], stages)
-    s = sessions.select("session_id", dim)
-    joined = per_session.join(s, "session_id")
-    per_user = joined.groupBy(dim, "user_id").agg(*[F.max(st).alias(st) for st in stages])
-    return per_user.groupBy(dim).agg(*[F.coalesce(F.sum(st), F.lit(0)).cast("long").alias(st) for st in stages])
-
-
-def funnel_by_dimension(events: DataFrame, sessions: DataFrame, dim: str, stages: Sequence[str] = STAGES,
-                        style: str = "sql", order_by: str | None = None) -> DataFrame:
-    """F3/F4 (style="sql"): dim, <stage>_users..., overall_conversion_pct (2 dp).
-    F3p/F4p (style="nb"): dim, <stage>..., <rate column> (2 dp)."""
-    c = _session_dim_counts(events, sessions, dim, stages)
+def _by_dimension_from(c: DataFrame, dim: str, stages: Sequence[str], style: str, order_by: str | None) -> DataFrame:
     first, last = stages[0], stages[-1]
     if style == "sql":
         cols = [F.col(s).alias(f"{s}_users") for s in stages]
@@ -112,6 +90,71 @@ def funnel_by_dimension(events: DataFrame, sessions: DataFrame, dim: str, stages
     return out.transform(ordered(F.col(key).desc_nulls_last(), F.col(dim)))
 
 
+def _long_from(c: DataFrame, dim: str, stages: Sequence[str]) -> DataFrame:
+    long = wide_to_long(c, [dim], list(stages), list(stages), "stage", "unique_users")
+    return long.where(F.col("unique_users") > 0)
+
+
+def _age_from(per_user: DataFrame, users: DataFrame, stages: Sequence[str]) -> DataFrame:
+    u = users.select("user_id", "age_group")
+    g = _sum_flags(per_user.join(u, "user_id"), ["age_group"], stages)
+    first, last = stages[0], stages[-1]
+    return g.select("age_group", *stages,
+                    round_n(F.col(last).cast("double") / F.nullif(F.col(first).cast("double"), F.lit(0.0))
+                            * F.lit(100.0), 2).alias("conv_pct")) \
+        .transform(ordered(F.col("age_group").asc_nulls_first()))
+
+
+def _stage_counts_wide(events: DataFrame, stages: Sequence[str]) -> DataFrame:
+    """One row: a bigint column per stage (0 when nobody reached it)."""
+    return stage_user_counts(events, (), stages, suffix="")
+
+
+def funnel_overall(events: DataFrame, stages: Sequence[str] = STAGES) -> DataFrame:
+    """stage, unique_users in stage order (0 for a stage without events)."""
+    return _overall_from(_stage_counts_wide(events, stages), stages)
+
+
+def funnel_rates(events: DataFrame, stages: Sequence[str] = STAGES) -> DataFrame:
+    """F1p: stage, unique_users, conversion_from_top_pct, dropoff_from_prev_pct,
+    dropped_users.  A stage without events is kept with NULL users (reindex form)."""
+    return _rates_from(_stage_counts_wide(events, stages), stages)
+
+
+def funnel_share_of_max(events: DataFrame, stages: Sequence[str] = STAGES) -> DataFrame:
+    """F1t: stage, unique_users, pct_of_max = users / max(users over stages) (a fraction)."""
+    return _share_of_max_from(_stage_counts_wide(events, stages), stages)
+
+
+def funnel_transitions(events: DataFrame, stages: Sequence[str] = STAGES) -> DataFrame:
+    """transition, from_users, to_users, conversion_rate_pct, dropoff_rate_pct for
+    each consecutive pair of stages (NULL rates when the from-stage has no users)."""
+    return _transitions_from(_stage_counts_wide(events, stages), stages)
+
+
+def _session_flags(events: DataFrame, sessions: DataFrame, dims: Sequence[str], stages: Sequence[str]) -> DataFrame:
+    """Per (dims, user) stage flags of events joined to their session (events ⋈ sessions).
+
+    Events are first reduced to one flag row per (session, user): map-side partial
+    aggregation shrinks a hot session to a handful of rows before any shuffle, so the
+    join that follows is neither large nor skewed."""
+    per_session = user_stage_flags(events, ["session_id"], stages)
+    joined = per_session.join(sessions.select("session_id", *dims), "session_id")
+    return _max_flags(joined, [*dims, "user_id"], stages)
+
+
+def _session_dim_counts(events: DataFrame, sessions: DataFrame, dim: str, stages: Sequence[str]) -> DataFrame:
+    """Distinct users per stage per session dimension value."""
+    return _sum_flags(_session_flags(events, sessions, [dim], stages), [dim], stages)
+
+
+def funnel_by_dimension(events: DataFrame, sessions: DataFrame, dim: str, stages: Sequence[str] = STAGES,
+                        style: str = "sql", order_by: str | None = None) -> DataFrame:
+    """F3/F4 (style="sql"): dim, <stage>_users..., overall_conversion_pct (2 dp).
+    F3p/F4p (style="nb"): dim, <stage>..., <rate column> (2 dp)."""
+    return _by_dimension_from(_session_dim_counts(events, sessions, dim, stages), dim, stages, style, order_by)
+
+
 def funnel_by_device(events: DataFrame, sessions: DataFrame, stages: Sequence[str] = STAGES) -> DataFrame:
     """by session device, ordered by page-view users."""
     return funnel_by_dimension(events, sessions, "device_type", stages, "sql", f"{stages[0]}_users")
@@ -124,9 +167,7 @@ def funnel_by_channel(events: DataFrame, sessions: DataFrame, stages: Sequence[s
 
 def funnel_by_device_long(events: DataFrame, sessions: DataFrame, stages: Sequence[str] = STAGES) -> DataFrame:
     """F3t: device_type, stage, unique_users (long form; only pairs that occur)."""
-    c = _session_dim_counts(events, sessions, "device_type", stages)
-    long = wide_to_long(c, ["device_type"], list(stages), list(stages), "stage", "unique_users")
-    return long.where(F.col("unique_users") > 0)
+    return _long_from(_session_dim_counts(events, sessions, "device_type", stages), "device_type", stages)
 
 
 def funnel_weekly(events: DataFrame, stages: Sequence[str] = STAGES, style: str = "sql") -> DataFrame:
@@ -146,14 +187,40 @@ def funnel_by_age(events: DataFrame, users: DataFrame, stages: Sequence[str] = (
 
     Flags are aggregated per user before the join, so each user is one row on the
     join (a hot user cannot skew it) and the join reuses the user_id partitioning."""
-    per_user = user_stage_flags(events, (), stages)
-    u = users.select("user_id", "age_group")
-    j = per_user.join(u, "user_id")
-    g = j.groupBy("age_group").agg(*[F.coalesce(F.sum(s), F.lit(0)).cast("long").alias(s) for s in stages])
-    first, last = stages[0], stages[-1]
-    return g.select("age_group", *stages,
-                    round_n(F.col(last).cast("double") / F.nullif(F.col(first).cast("double"), F.lit(0.0))
-                            * F.lit(100.0), 2).alias("conv_pct")).transform(ordered(F.col("age_group").asc_nulls_first()))
+    return _age_from(user_stage_flags(events, (), stages), users, stages)
+
+
+def funnel_report(events: DataFrame, sessions: DataFrame, users: DataFrame,
+                  stages: Sequence[str] = STAGES) -> dict[str, DataFrame]:
+    """F1, F1p, F1t, F2, F3, F3p, F3t, F4, F4p and F7 from one pass over events.
+
+    Events are reduced once to stage flags per (device, channel, user) — left-joined to
+    sessions, so events without a known session still count in the overall funnel —
+    and that frame is checkpointed into the session's checkpoint folder when one is
+    configured.  Every metric is then an aggregate of those flags (at most one row per
+    user and session dimension pair), never a rescan of events."""
+    per_session = user_stage_flags(events, ["session_id"], stages)
+    s = sessions.select("session_id", "device_type", "channel", F.lit(1).alias("_in_session"))
+    joined = per_session.join(s, "session_id", "left")
+    base = materialize(_max_flags(joined, ["device_type", "channel", "_in_session", "user_id"], stages))
+    per_user = _max_flags(base, ["user_id"], stages)
+    wide = _sum_flags(per_user, [], stages)
+    in_session = base.where(F.col("_in_session") == 1)
+    device = _sum_flags(_max_flags(in_session, ["device_type", "user_id"], stages), ["device_type"], stages)
+    channel = _sum_flags(_max_flags(in_session, ["channel", "user_id"], stages), ["channel"], stages)
+    age_stages = (stages[0], stages[-1])
+    return {
+        "funnel_overall": _overall_from(wide, stages),
+        "funnel_rates": _rates_from(wide, stages),
+        "funnel_share_of_max": _share_of_max_from(wide, stages),
+        "funnel_transitions": _transitions_from(wide, stages),
+        "funnel_by_device": _by_dimension_from(device, "device_type", stages, "sql", f"{stages[0]}_users"),
+        "funnel_by_channel": _by_dimension_from(channel, "channel", stages, "sql", "overall_conversion_pct"),
+        "funnel_by_device_nb": _by_dimension_from(device, "device_type", stages, "nb", None),
+        "funnel_by_channel_nb": _by_dimension_from(channel, "channel", stages, "nb", None),
+        "funnel_by_device_long": _long_from(device, "device_type", stages),
+        "funnel_by_age": _age_from(per_user.select("user_id", *age_stages), users, age_stages),
+    }
 
 
 def cart_abandonment(events: DataFrame, order_items: DataFrame, orders: DataFrame, products: DataFrame,

@@ -71,3 +71,29 @@ def test_f7_by_age(spark):
 def test_no_expand_in_stage_counts(spark):
     plan = Fn.funnel_by_device(make_events(spark), make_sessions(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in plan
+
+
+def test_funnel_report_equals_individual_metrics(spark):
+    ev, sess, users = make_events(spark), make_sessions(spark), make_users(spark)
+    report = Fn.funnel_report(ev, sess, users)
+    single = {
+        "funnel_overall": Fn.funnel_overall(ev), "funnel_rates": Fn.funnel_rates(ev),
+        "funnel_share_of_max": Fn.funnel_share_of_max(ev), "funnel_transitions": Fn.funnel_transitions(ev),
+        "funnel_by_device": Fn.funnel_by_device(ev, sess), "funnel_by_channel": Fn.funnel_by_channel(ev, sess),
+        "funnel_by_device_nb": Fn.funnel_by_dimension(ev, sess, "device_type", style="nb"),
+        "funnel_by_channel_nb": Fn.funnel_by_dimension(ev, sess, "channel", style="nb"),
+        "funnel_by_device_long": Fn.funnel_by_device_long(ev, sess), "funnel_by_age": Fn.funnel_by_age(ev, users),
+    }
+    assert set(report) == set(single)
+    for name, df in report.items():
+        assert sorted(rows(df)) == sorted(rows(single[name])), name
+
+
+def test_funnel_report_counts_events_without_a_known_session_overall_only(spark):
+    ev = make_events(spark, session_of=lambda u, ts: 555 if u == 3 else 100 + u)
+    sess, users = make_sessions(spark), make_users(spark)
+    report = Fn.funnel_report(ev, sess, users)
+    assert rows(report["funnel_overall"]) == rows(Fn.funnel_overall(ev))
+    assert dict(rows(report["funnel_overall"]))["page_view"] == 3
+    assert sorted(rows(report["funnel_by_device"])) == sorted(rows(Fn.funnel_by_device(ev, sess)))
+    assert sum(r[1] for r in rows(report["funnel_by_device"])) == 2
