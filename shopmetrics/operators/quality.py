@@ -83,3 +83,34 @@ def foreign_key_orphans(child: DataFrame, col: str, parent: DataFrame, pcol: str
         F.sum("_child").alias("_c"), F.max("_parent").alias("_p"))
     return per_key.where(F.col("_p") == 0).agg(
         F.coalesce(F.sum("_c"), F.lit(0)).cast("long").alias("violations"))
+
+
+def key_audit(parent_name: str, parent: DataFrame, key: str,
+              children: Sequence[tuple[str, DataFrame, str]]) -> DataFrame:
+    """Rows (rule, violations) for a table's single-column primary key and every foreign
+    key that references it, from ONE grouping by key value.
+
+    Parent keys and each child's non-NULL references are tagged, unioned and counted per
+    key value (map-side partial counts, one shuffle).  Per key: parent rows beyond the
+    first are duplicates (NULL counts as a value, as pandas ``duplicated`` does); child
+    rows of a key with no parent row are orphans.  A key held by a third of all child
+    rows is pre-counted per task before the shuffle."""
+    n = len(children)
+    zeros = [F.lit(0).alias(f"_c{i}") for i in range(n)]
+    tagged = [parent.select(F.col(key).alias("_k"), F.lit(1).alias("_p"), *zeros)]
+    for i, (_, df, col) in enumerate(children):
+        tags = [F.lit(1 if j == i else 0).alias(f"_c{j}") for j in range(n)]
+        tagged.append(df.where(F.col(col).isNotNull()).select(F.col(col).alias("_k"), F.lit(0).alias("_p"), *tags))
+    u = tagged[0]
+    for t in tagged[1:]:
+        u = u.unionByName(t)
+    per_key = u.groupBy("_k").agg(F.sum("_p").alias("_p"), *[F.sum(f"_c{i}").alias(f"_c{i}") for i in range(n)])
+    totals = per_key.agg(
+        F.coalesce(F.sum(F.when(F.col("_p") > 1, F.col("_p") - 1)), F.lit(0)).cast("long").alias("_dup"),
+        *[F.coalesce(F.sum(F.when(F.col("_p") == 0, F.col(f"_c{i}"))), F.lit(0)).cast("long").alias(f"_o{i}")
+          for i in range(n)],
+    )
+    names = [f"primary_key_unique:{parent_name}({key})"] + [
+        f"foreign_key:{child}.{col}->{parent_name}.{key}" for child, _, col in children]
+    args = ", ".join(f"'{nm}', `{c}`" for nm, c in zip(names, ["_dup"] + [f"_o{i}" for i in range(n)]))
+    return totals.selectExpr(f"stack({n + 1}, {args}) as (rule, violations)")

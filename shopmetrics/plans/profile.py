@@ -152,37 +152,37 @@ def project_summary(users: DataFrame, sessions: DataFrame, events: DataFrame, or
 
 def rule_violations(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Rule, violations — the declared PK / NOT NULL / CHECK / FK rules of the
-    schema, counted rather than enforced (no storage engine here to enforce them)."""
+    schema, counted rather than enforced (no storage engine here to enforce them).
+
+    One aggregate pass per table counts all its NOT NULL and CHECK violations; one
+    grouping per referenced table counts its key duplicates and the orphans of every
+    foreign key pointing at it; the remaining primary keys take one grouping each."""
     parts: list[DataFrame] = []
-    for name, key in PRIMARY_KEYS.items():
-        if name not in tables:
-            continue
-        dup = Q.duplicate_count(tables[name], key)
-        parts.append(dup.select(F.lit(f"primary_key_unique:{name}({','.join(key)})").alias("rule"),
-                                F.col("duplicates").alias("violations")))
     for name, cols in NOT_NULL.items():
         if name not in tables:
             continue
         df = tables[name]
         key_cols = [c for c in PRIMARY_KEYS.get(name, []) if c not in cols]
-        checks = list(dict.fromkeys(key_cols + cols))
-        checks_in = [c for c in checks if c in df.columns]
-        nc = Q.null_counts(name, df.select(*checks_in))
-        parts.append(nc.select(F.concat(F.lit(f"not_null:{name}."), F.col("column")).alias("rule"),
-                               F.col("nulls").cast("long").alias("violations")))
-    for name, c, allowed in CHECKS:
-        if name not in tables:
-            continue
-        bad = tables[name].agg(
-            F.count(F.when(F.col(c).isNotNull() & ~F.col(c).isin(*allowed), F.lit(1))).cast("long").alias("violations"))
-        parts.append(bad.select(F.lit(f"check:{name}.{c}").alias("rule"), "violations"))
+        checks = [c for c in dict.fromkeys(key_cols + cols) if c in df.columns]
+        rules = [(f"not_null:{name}.{c}", F.col(c).isNull()) for c in checks]
+        rules += [(f"check:{t}.{c}", F.col(c).isNotNull() & ~F.col(c).isin(*allowed))
+                  for t, c, allowed in CHECKS if t == name]
+        counts = df.agg(*[F.count(F.when(cond, F.lit(1))).alias(f"_r{i}") for i, (_, cond) in enumerate(rules)])
+        args = ", ".join(f"'{r}', `_r{i}`" for i, (r, _) in enumerate(rules))
+        parts.append(counts.selectExpr(f"stack({len(rules)}, {args}) as (rule, violations)"))
+    referenced: dict[tuple[str, str], list[tuple[str, DataFrame, str]]] = {}
     for child, c, parent, pc in FOREIGN_KEYS:
-        if child not in tables or parent not in tables:
+        if child in tables and parent in tables:
+            referenced.setdefault((parent, pc), []).append((child, tables[child], c))
+    for (parent, pc), children in referenced.items():
+        parts.append(Q.key_audit(parent, tables[parent], pc, children))
+    for name, key in PRIMARY_KEYS.items():
+        if name not in tables or (len(key) == 1 and (name, key[0]) in referenced):
             continue
-        o = Q.foreign_key_orphans(tables[child], c, tables[parent], pc)
-        parts.append(o.select(F.lit(f"foreign_key:{child}.{c}->{parent}.{pc}").alias("rule"), "violations"))
+        dup = Q.duplicate_count(tables[name], key)
+        parts.append(dup.select(F.lit(f"primary_key_unique:{name}({','.join(key)})").alias("rule"),
+                                F.col("duplicates").alias("violations")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
-
+    return out.select("rule", F.col("violations").cast("long").alias("violations"))
