@@ -43,23 +43,28 @@ def value_counts(df: DataFrame, key: str, name: str = "count") -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
 
 
-def equal_width_histogram(df: DataFrame, value: str | Column, bins: int) -> DataFrame:
+def equal_width_histogram(df: DataFrame, value: str | Column, bins: int,
+                          extra: dict[str, Column] | None = None) -> DataFrame:
     """Equal-width histogram over [min, max] with the last bin right-closed.
 
-    The range is one global min/max aggregate used as a scalar subquery (a single row
-    evaluated once); the values then need one grouped count keyed by bin number, and a
-    ``bins``-row frame supplies the empty bins.  A degenerate range (min == max) is
-    widened to [min-0.5, max+0.5].  Columns: bin (0-based), lo, hi, count.
+    Two passes, as a distributed histogram needs: one global aggregate for the range
+    (plus any ``extra`` aggregates over the same rows) returns a single row of scalars
+    to the driver; the values are then binned with those constants and counted in one
+    grouped aggregation keyed by bin number, and a ``bins``-row frame supplies the
+    empty bins.  A degenerate range (min == max) is widened to [min-0.5, max+0.5].
+    Columns: bin (0-based), lo, hi, count, then one column per ``extra`` aggregate.
     """
+    extra = extra or {}
     v = col(value).cast("double")
     vals = df.select(v.alias("v")).where(F.col("v").isNotNull())
-    rng = vals.agg(F.min("v").alias("mn"), F.max("v").alias("mx")).select(
-        F.struct(
-            F.when(F.col("mn") == F.col("mx"), F.col("mn") - 0.5).otherwise(F.col("mn")).alias("lo"),
-            F.when(F.col("mn") == F.col("mx"), F.col("mx") + 0.5).otherwise(F.col("mx")).alias("hi"),
-        )
-    ).scalar()
-    lo0, hi0 = rng.getField("lo"), rng.getField("hi")
+    summary = df.withColumn("_v", v).where(F.col("_v").isNotNull()).agg(
+        F.min("_v").alias("mn"), F.max("_v").alias("mx"), *[e.alias(k) for k, e in extra.items()])
+    types = {f.name: f.dataType for f in summary.schema.fields}
+    stats = summary.first()
+    mn, mx = stats["mn"], stats["mx"]
+    if mn is not None and mn == mx:
+        mn, mx = mn - 0.5, mx + 0.5
+    lo0, hi0 = F.lit(mn).cast("double"), F.lit(mx).cast("double")
     width = (hi0 - lo0) / F.lit(float(bins))
     # Bin index as numpy computes it: scaled offset, clamped, then nudged by one so that
     # every value lies within the edges of its bin (edges = lo + i * width).
@@ -76,6 +81,6 @@ def equal_width_histogram(df: DataFrame, value: str | Column, bins: int) -> Data
         (lo0 + F.col("bin") * width).alias("lo"),
         F.when(F.col("bin") == bins - 1, hi0).otherwise(lo0 + (F.col("bin") + 1) * width).alias("hi"),
     )
+    extras = [F.lit(stats[k]).cast(types[k]).alias(k) for k in extra]
     return edges.join(binned, "bin", "left").select(
-        "bin", "lo", "hi", F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count")
-    )
+        "bin", "lo", "hi", F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"), *extras)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopmetrics.functions.exprs import round_n
@@ -21,13 +21,29 @@ def _union(frames: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+def tagged_union(frames: Mapping[str, DataFrame], cols: Mapping[str, Mapping[str, Column]] | None = None,
+                 types: Mapping[str, str] | None = None) -> DataFrame:
+    """Union of several tables as rows ``(_t = name, <cols>)``: each table is scanned once
+    and any number of per-table counts and sums become ONE global aggregation of
+    ``when(_t = name, ...)`` expressions (one final single-row stage instead of one per
+    table).  ``cols[name]`` gives the table's expression for each output column
+    (others are NULL of ``types[column]``)."""
+    cols, types = cols or {}, types or {}
+    parts = []
+    for name, df in frames.items():
+        own = cols.get(name, {})
+        parts.append(df.select(F.lit(name).alias("_t"),
+                               *[(own[c] if c in own else F.lit(None)).cast(t).alias(c) for c, t in types.items()]))
+    return _union(parts)
+
+
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """table, rows, columns (IO7 / E1)."""
-    return _union([
-        df.agg(F.count(F.lit(1)).alias("rows")).select(
-            F.lit(name).alias("table"), "rows", F.lit(len(df.columns)).alias("columns"))
-        for name, df in tables.items()
-    ])
+    """table, rows, columns (IO7 / E1): all tables counted in one aggregation."""
+    names = list(tables)
+    counts = tagged_union(tables).agg(
+        *[F.count(F.when(F.col("_t") == n, F.lit(1))).alias(f"_n{i}") for i, n in enumerate(names)])
+    args = ", ".join(f"'{n}', `_n{i}`, {len(tables[n].columns)}" for i, n in enumerate(names))
+    return counts.selectExpr(f"stack({len(names)}, {args}) as (table, rows, columns)")
 
 
 def null_counts(name: str, df: DataFrame) -> DataFrame:

@@ -92,12 +92,11 @@ def avg_price_by_subcategory(products: DataFrame) -> DataFrame:
 
 
 def order_value_histogram(orders: DataFrame, bins: int = 40, status: str = COMPLETED) -> DataFrame:
-    """Bin, lo, hi, count of completed order totals, plus their mean (2 dp)."""
+    """Bin, lo, hi, count of completed order totals, plus their mean (2 dp); the
+    range and the mean come from one aggregate over the completed orders."""
     done = orders.where(F.col("status") == status)
-    h = equal_width_histogram(done, "total_amount", bins)
-    mean = done.agg(round_n(exact_avg("total_amount"), 2).alias("mean_order_value"))
-    # A one-row, one-column aggregate used as a scalar subquery: evaluated once.
-    return h.withColumn("mean_order_value", mean.scalar()).transform(ordered("bin"))
+    mean = round_n(exact_avg("total_amount"), 2)
+    return equal_width_histogram(done, "total_amount", bins, {"mean_order_value": mean}).transform(ordered("bin"))
 
 
 def payment_method_counts(orders: DataFrame) -> DataFrame:
@@ -123,31 +122,38 @@ def project_summary(users: DataFrame, sessions: DataFrame, events: DataFrame, or
     """Metric, value — headline numbers of the whole data set, one row each.
 
     session_to_purchase_pct divides all orders by all sessions; repeat_buyer_pct is the
-    share of completed-order buyers with two or more completed orders."""
-    done = orders.where(F.col("status") == status)
-
-    def one(name: str, df: DataFrame, expr) -> DataFrame:
-        return df.agg(expr.cast("double").alias("value")).select(F.lit(name).alias("metric"), "value")
-
-    per_user = done.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    n_orders = orders.agg(F.count(F.lit(1))).scalar()
-    n_sessions = sessions.agg(F.count(F.lit(1))).scalar()
-    parts = [
-        one("users", users, F.count(F.lit(1))),
-        one("sessions", sessions, F.count(F.lit(1))),
-        one("events", events, F.count(F.lit(1))),
-        one("completed_orders", done, F.count(F.lit(1))),
-        one("total_revenue", done, round_n(F.sum("total_amount"), 2)),
-        one("avg_order_value", done, round_n(exact_avg("total_amount"), 2)),
-        one("total_discounts", done, round_n(F.sum("discount_amount"), 2)),
-        orders.sparkSession.range(1).select(F.lit("session_to_purchase_pct").alias("metric"),
-                                            pct(n_orders, n_sessions, 1).alias("value")),
-        one("repeat_buyer_pct", per_user, pct(F.count(F.when(F.col("n") >= 2, F.lit(1))), F.count(F.lit(1)), 1)),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    share of completed-order buyers with two or more completed orders.  The four tables
+    are scanned once each into a single aggregation; the repeat rate needs one grouping
+    per buyer."""
+    money = {"_done": "int", "_total": "decimal(18,2)", "_disc": "decimal(18,2)"}
+    order_cols = {"_done": (F.col("status") == status).cast("int"), "_total": F.col("total_amount"),
+                  "_disc": F.col("discount_amount")}
+    u = Q.tagged_union({"users": users, "sessions": sessions, "events": events, "orders": orders},
+                       {"orders": order_cols}, money)
+    is_o, done = F.col("_t") == "orders", (F.col("_t") == "orders") & (F.col("_done") == 1)
+    g = u.agg(
+        F.count(F.when(F.col("_t") == "users", F.lit(1))).alias("users"),
+        F.count(F.when(F.col("_t") == "sessions", F.lit(1))).alias("sessions"),
+        F.count(F.when(F.col("_t") == "events", F.lit(1))).alias("events"),
+        F.count(F.when(is_o, F.lit(1))).alias("_orders"),
+        F.count(F.when(done, F.lit(1))).alias("completed_orders"),
+        F.sum(F.when(done, F.col("_total"))).alias("_rev"),
+        exact_avg(F.when(done, F.col("_total"))).alias("_aov"),
+        F.sum(F.when(done, F.col("_disc"))).alias("_disc"),
+    )
+    values = {
+        "users": F.col("users"), "sessions": F.col("sessions"), "events": F.col("events"),
+        "completed_orders": F.col("completed_orders"),
+        "total_revenue": round_n("_rev", 2), "avg_order_value": round_n("_aov", 2),
+        "total_discounts": round_n("_disc", 2),
+        "session_to_purchase_pct": pct("_orders", "sessions", 1),
+    }
+    wide = g.select(*[e.cast("double").alias(k) for k, e in values.items()])
+    metrics = wide_to_long(wide, [], list(values), list(values), "metric", "value")
+    per_user = orders.where(F.col("status") == status).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    repeat = per_user.agg(pct(F.count(F.when(F.col("n") >= 2, F.lit(1))), F.count(F.lit(1)), 1).alias("value")) \
+        .select(F.lit("repeat_buyer_pct").alias("metric"), "value")
+    return metrics.unionByName(repeat)
 
 
 def rule_violations(tables: Mapping[str, DataFrame]) -> DataFrame:
