@@ -112,29 +112,43 @@ def _engagement(cells: DataFrame) -> DataFrame:
         .transform(ordered("cohort_month"))
 
 
-def _retention_matrix(cells: DataFrame) -> DataFrame:
+_BY_CELL = ("cohort_month", "month_number")
+
+
+def _retention_long(cells: DataFrame) -> DataFrame:
     r = F.col("users").cast("double") / F.col("cohort_size").cast("double") * F.lit(100.0)
     return cells.select(month_key("cohort_start").alias("cohort_month"), "month_number",
-                        round_n(r, 1).alias("retention_pct")).transform(ordered("cohort_month", "month_number"))
+                        round_n(r, 1).alias("retention_pct"))
 
 
-def _revenue_matrix(cells: DataFrame) -> DataFrame:
+def _revenue_long(cells: DataFrame) -> DataFrame:
     return cells.select(month_key("cohort_start").alias("cohort_month"), "month_number",
-                        round_n("revenue", 0).alias("revenue")).transform(ordered("cohort_month", "month_number"))
+                        round_n("revenue", 0).alias("revenue"))
 
 
-def _ltv(cells: DataFrame) -> DataFrame:
+def _ltv_long(cells: DataFrame) -> DataFrame:
     c = cells.withColumn("cell", round_n("revenue", 0))
     w = Window.partitionBy("cohort_start").orderBy("month_number").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     cum = F.sum("cell").over(w)
     return c.select(month_key("cohort_start").alias("cohort_month"), "month_number",
-                    round_n(cum / F.col("cohort_size").cast("double"), 2).alias("ltv")) \
-        .transform(ordered("cohort_month", "month_number"))
+                    round_n(cum / F.col("cohort_size").cast("double"), 2).alias("ltv"))
+
+
+def _retention_matrix(cells: DataFrame) -> DataFrame:
+    return _retention_long(cells).transform(ordered(*_BY_CELL))
+
+
+def _revenue_matrix(cells: DataFrame) -> DataFrame:
+    return _revenue_long(cells).transform(ordered(*_BY_CELL))
+
+
+def _ltv(cells: DataFrame) -> DataFrame:
+    return _ltv_long(cells).transform(ordered(*_BY_CELL))
 
 
 def _ltv_latest(cells: DataFrame) -> DataFrame:
-    return _ltv(cells).groupBy("cohort_month").agg(F.max_by("ltv", "month_number").alias("ltv")) \
+    return _ltv_long(cells).groupBy("cohort_month").agg(F.max_by("ltv", "month_number").alias("ltv")) \
         .transform(ordered("cohort_month"))
 
 
@@ -206,17 +220,17 @@ def ltv_latest(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
 
 def retention_matrix_wide(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
     """C5 as a matrix: cohort_month, M0, M1, ... (one column per observed month number)."""
-    return pivot_wide(retention_matrix(orders, status), "cohort_month", "month_number", "retention_pct", "M")
+    return pivot_wide(_retention_long(cohort_cells(orders, status)), *_BY_CELL, "retention_pct", "M")
 
 
 def revenue_matrix_wide(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
     """C6 as a matrix: cohort_month, M0, M1, ..."""
-    return pivot_wide(revenue_matrix(orders, status), "cohort_month", "month_number", "revenue", "M")
+    return pivot_wide(_revenue_long(cohort_cells(orders, status)), *_BY_CELL, "revenue", "M")
 
 
 def ltv_matrix_wide(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
     """C7 as a matrix: cohort_month, M0, M1, ... (NULL where the month is unobserved)."""
-    return pivot_wide(ltv_curve(orders, status), "cohort_month", "month_number", "ltv", "M")
+    return pivot_wide(_ltv_long(cohort_cells(orders, status)), *_BY_CELL, "ltv", "M")
 
 
 def cohort_report(orders: DataFrame, status: str = COMPLETED) -> dict[str, DataFrame]:
@@ -238,8 +252,7 @@ def cohort_report(orders: DataFrame, status: str = COMPLETED) -> dict[str, DataF
         "ltv_curve": _ltv(cells),
         "ltv_latest": _ltv_latest(cells),
     }
-    out["retention_matrix_wide"] = pivot_wide(out["retention_matrix"], "cohort_month", "month_number",
-                                              "retention_pct", "M")
-    out["revenue_matrix_wide"] = pivot_wide(out["revenue_matrix"], "cohort_month", "month_number", "revenue", "M")
-    out["ltv_matrix_wide"] = pivot_wide(out["ltv_curve"], "cohort_month", "month_number", "ltv", "M")
+    out["retention_matrix_wide"] = pivot_wide(_retention_long(cells), *_BY_CELL, "retention_pct", "M")
+    out["revenue_matrix_wide"] = pivot_wide(_revenue_long(cells), *_BY_CELL, "revenue", "M")
+    out["ltv_matrix_wide"] = pivot_wide(_ltv_long(cells), *_BY_CELL, "ltv", "M")
     return out

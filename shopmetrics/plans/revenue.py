@@ -135,9 +135,7 @@ def _line_measures() -> list:
     ]
 
 
-def revenue_by_subcategory(order_items: DataFrame, products: DataFrame, orders: DataFrame,
-                           status: str = COMPLETED) -> DataFrame:
-    """Subcategory, total_orders, units_sold, gross_revenue, avg_unit_price, gross_profit."""
+def _by_subcategory(order_items: DataFrame, products: DataFrame, orders: DataFrame, status: str) -> DataFrame:
     lines = _completed_lines(order_items, products, orders, ["subcategory", "cost"], status)
     profit = F.col("quantity") * (F.col("unit_price") - F.col("cost"))
     g = lines.groupBy("subcategory").agg(*_line_measures(), F.sum(profit).alias("_profit"))
@@ -148,14 +146,21 @@ def revenue_by_subcategory(order_items: DataFrame, products: DataFrame, orders:
         round_n("_rev", 2).alias("gross_revenue"),
         round_n("_avg_price", 2).alias("avg_unit_price"),
         round_n("_profit", 2).alias("gross_profit"),
-    ).transform(ordered(F.col("gross_revenue").desc(), "subcategory"))
+    )
+
+
+def revenue_by_subcategory(order_items: DataFrame, products: DataFrame, orders: DataFrame,
+                           status: str = COMPLETED) -> DataFrame:
+    """Subcategory, total_orders, units_sold, gross_revenue, avg_unit_price, gross_profit."""
+    return _by_subcategory(order_items, products, orders, status) \
+        .transform(ordered(F.col("gross_revenue").desc(), "subcategory"))
 
 
 def revenue_by_subcategory_margin(order_items: DataFrame, products: DataFrame, orders: DataFrame,
                                   status: str = COMPLETED) -> DataFrame:
     """R4p: subcategory, orders, units_sold, gross_revenue, gross_profit, margin_pct
     (margin from the rounded revenue and profit, 1 dp)."""
-    r4 = revenue_by_subcategory(order_items, products, orders, status)
+    r4 = _by_subcategory(order_items, products, orders, status)
     return r4.select(
         "subcategory",
         F.col("total_orders").alias("orders"),
