@@ -73,3 +73,23 @@ def monday_week_key(ts: str | Column) -> Column:
     d = F.to_date(col(ts))
     week = F.floor((F.dayofyear(d) - 1 + 7 - F.weekday(d)) / 7).cast("int")
     return F.concat(F.date_format(d, "yyyy"), F.lit("-W"), F.lpad(week.cast("string"), 2, "0"))
+
+
+GRAINS = ("month", "week", "month_of_year")
+
+
+def period_key(d: str | Column, grain: str) -> Column:
+    """Time bucket of a date/timestamp: ``month`` ('yyyy-MM'), ``week`` (Monday-first
+    'yyyy-Www', as :func:`monday_week_key`) or ``month_of_year`` (1–12, years merged)."""
+    if grain == "month":
+        return month_key(d)
+    if grain == "week":
+        return monday_week_key(d)
+    if grain == "month_of_year":
+        return F.month(col(d))
+    raise ValueError(f"grain must be one of {GRAINS}, got {grain!r}")
+
+
+def period_name(grain: str) -> str:
+    """Output column name for a grain."""
+    return "week" if grain == "week" else "month"

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopmetrics.functions.exprs import monday_week_key, pct, round_n
+from shopmetrics.functions.exprs import pct, period_key, period_name, round_n
 from shopmetrics.model import COMPLETED, STAGES
 from shopmetrics.operators.aggregates import ordered, top_k
 from shopmetrics.operators.funnel_ops import stage_dimension, stage_user_counts, user_stage_flags, wide_to_long
@@ -170,16 +170,19 @@ def funnel_by_device_long(events: DataFrame, sessions: DataFrame, stages: Sequen
     return _long_from(_session_dim_counts(events, sessions, "device_type", stages), "device_type", stages)
 
 
-def funnel_weekly(events: DataFrame, stages: Sequence[str] = STAGES, style: str = "sql") -> DataFrame:
-    """week (Monday-first ``%Y-W%W``), <stage>_users...; F5p adds purchase_conv_pct."""
-    e = events.withColumn("week", monday_week_key("ts"))
+def funnel_weekly(events: DataFrame, stages: Sequence[str] = STAGES, style: str = "sql",
+                  grain: str = "week") -> DataFrame:
+    """week (Monday-first ``%Y-W%W``), <stage>_users...; F5p adds purchase_conv_pct.
+    ``grain`` ("week", "month", "month_of_year") changes the time bucket."""
+    key = period_name(grain)
+    e = events.withColumn(key, period_key("ts", grain))
     suffix = "_users" if style == "sql" else ""
-    c = stage_user_counts(e, ["week"], stages, suffix=suffix)
+    c = stage_user_counts(e, [key], stages, suffix=suffix)
     if style != "sql":
         c = c.withColumn("purchase_conv_pct",
                          round_n(F.col(stages[-1]).cast("double") / F.nullif(F.col(stages[0]).cast("double"),
                                                                                F.lit(0.0)) * F.lit(100.0), 2))
-    return c.transform(ordered("week"))
+    return c.transform(ordered(key))
 
 
 def funnel_by_age(events: DataFrame, users: DataFrame, stages: Sequence[str] = ("page_view", "purchase")) -> DataFrame:

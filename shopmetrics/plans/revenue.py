@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopmetrics.functions.exprs import exact_avg, month_key, pct, round_n
+from shopmetrics.functions.exprs import exact_avg, pct, period_key, period_name, round_n
 from shopmetrics.model import COMPLETED, MONEY
 from shopmetrics.operators.aggregates import ordered, share_of_total, top_k
 
@@ -34,32 +34,35 @@ def _conditional_measures(status: str = COMPLETED) -> list:
     ]
 
 
-def revenue_monthly(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
+def revenue_monthly(orders: DataFrame, status: str = COMPLETED, grain: str = "month") -> DataFrame:
     """Month, total_orders, total_revenue, avg_order_value, total_discounts.
 
-    Every month with any order appears; AOV is NULL where no order is completed."""
+    Every month with any order appears; AOV is NULL where no order is completed.
+    ``grain`` ("month", "week", "month_of_year") changes the time bucket."""
     done = _is_completed(status)
-    g = orders.groupBy(month_key("order_date").alias("month")).agg(
+    key = period_name(grain)
+    g = orders.groupBy(period_key("order_date", grain).alias(key)).agg(
         *_conditional_measures(status),
         F.sum(F.when(done, F.col("discount_amount")).otherwise(_zero())).alias("_disc"),
     )
     return g.select(
-        "month",
+        key,
         "total_orders",
         round_n("_rev", 2).alias("total_revenue"),
         round_n("_aov", 2).alias("avg_order_value"),
         round_n("_disc", 2).alias("total_discounts"),
-    ).transform(ordered("month"))
+    ).transform(ordered(key))
 
 
-def revenue_monthly_completed(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
+def revenue_monthly_completed(orders: DataFrame, status: str = COMPLETED, grain: str = "month") -> DataFrame:
     """R1e: month, revenue over completed orders only (WHERE form)."""
+    key = period_name(grain)
     g = (
         orders.where(_is_completed(status))
-        .groupBy(month_key("order_date").alias("month"))
+        .groupBy(period_key("order_date", grain).alias(key))
         .agg(F.sum("total_amount").alias("_rev"))
     )
-    return g.select("month", round_n("_rev", 2).alias("revenue")).transform(ordered("month"))
+    return g.select(key, round_n("_rev", 2).alias("revenue")).transform(ordered(key))
 
 
 def _orders_by_session_dim(orders: DataFrame, sessions: DataFrame, dim: str, status: str) -> DataFrame:
@@ -231,34 +234,36 @@ def discount_impact(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
     ).transform(ordered("discount_group"))
 
 
-def discount_monthly(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
+def discount_monthly(orders: DataFrame, status: str = COMPLETED, grain: str = "month") -> DataFrame:
     """Month, total_orders, discounted_orders, discount_rate_pct,
     total_discounts_given, revenue_after_discounts (completed orders only)."""
     o = orders.where(_is_completed(status))
-    g = o.groupBy(month_key("order_date").alias("month")).agg(
+    key = period_name(grain)
+    g = o.groupBy(period_key("order_date", grain).alias(key)).agg(
         F.count(F.lit(1)).alias("total_orders"),
         F.count(F.when(F.col("discount_amount") > 0, F.lit(1))).alias("discounted_orders"),
         F.sum("discount_amount").alias("_disc"),
         F.sum("total_amount").alias("_rev"),
     )
     return g.select(
-        "month", "total_orders", "discounted_orders",
+        key, "total_orders", "discounted_orders",
         pct("discounted_orders", "total_orders", 2).alias("discount_rate_pct"),
         round_n("_disc", 2).alias("total_discounts_given"),
         round_n("_rev", 2).alias("revenue_after_discounts"),
-    ).transform(ordered("month"))
+    ).transform(ordered(key))
 
 
-def discount_trend(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
+def discount_trend(orders: DataFrame, status: str = COMPLETED, grain: str = "month") -> DataFrame:
     """R6b notebook form: month, discount_rate_pct (1 dp), total_discounts (0 dp)."""
     o = orders.where(_is_completed(status))
-    g = o.groupBy(month_key("order_date").alias("month")).agg(
+    key = period_name(grain)
+    g = o.groupBy(period_key("order_date", grain).alias(key)).agg(
         F.count(F.lit(1)).alias("_n"),
         F.count(F.when(F.col("discount_amount") > 0, F.lit(1))).alias("_d"),
         F.sum("discount_amount").alias("_disc"),
     )
-    return g.select("month", pct("_d", "_n", 1).alias("discount_rate_pct"),
-                    round_n("_disc", 0).alias("total_discounts")).transform(ordered("month"))
+    return g.select(key, pct("_d", "_n", 1).alias("discount_rate_pct"),
+                    round_n("_disc", 0).alias("total_discounts")).transform(ordered(key))
 
 
 def user_order_counts(orders: DataFrame, status: str = COMPLETED) -> DataFrame:

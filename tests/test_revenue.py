@@ -72,3 +72,12 @@ def test_top_k_breaks_ties_by_key(spark):
     out = rows(R.top_products(i, p, o, k=2), "product_id")
     assert out == [(1,), (2,)]
     assert make_sessions(spark).count() == 3
+
+
+def test_grain_parameter(spark):
+    o = make_orders(spark)
+    weekly = rows(R.revenue_monthly(o, grain="week"))
+    assert weekly[0] == ("2024-W01", 1, 100.0, 100.0, 0.0)
+    assert sum(r[2] for r in weekly) == 380.0
+    moy = rows(R.revenue_monthly_completed(o, grain="month_of_year"))
+    assert moy == [(1, 300.0), (2, 30.0), (3, 50.0)]
