@@ -11,12 +11,12 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shopmetrics.model import SCHEMAS
 
-# Columns written as text in CSV exports and parsed back on read.
-_CSV_TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
+# Timestamps in CSV exports: full microseconds, space separator (read back by cast,
+# which also accepts the ISO 'T' form and fewer fraction digits).
+_CSV_TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
@@ -32,28 +32,21 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     return df.select(*cols)
 
 
-def _text_schema(schema: T.StructType) -> T.StructType:
-    return T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])
-
-
 def read_table(spark: SparkSession, path: str, table: str, fmt: str = "parquet") -> DataFrame:
     """IO1/IO3: one canonical table from ``path`` in ``fmt`` (parquet or csv)."""
     schema = SCHEMAS[table]
     if fmt == "parquet":
         return conform(spark.read.parquet(path), table)
     if fmt == "csv":
-        # Read every column as text with the declared names, then cast once: the
-        # header is skipped, values that do not parse become NULL under try_cast.
+        # Columns are matched by header name (not position) and read as text, then cast
+        # once to the declared types; absent columns are NULL, values that do not parse
+        # become NULL under try_cast.  No schema inference pass over the data.
         raw = (spark.read.option("header", True).option("encoding", "UTF-8").option("sep", ",")
-               .schema(_text_schema(schema)).csv(path))
-        cols = []
-        for f in schema.fields:
-            c = F.col(f.name)
-            if isinstance(f.dataType, T.TimestampNTZType):
-                cols.append(F.try_to_timestamp(c, F.lit(_CSV_TIMESTAMP_FORMAT)).cast(f.dataType).alias(f.name))
-            else:
-                cols.append(c.try_cast(f.dataType).alias(f.name))
-        return raw.select(*cols)
+               .option("inferSchema", False).csv(path))
+        present = set(raw.columns)
+        return raw.select(*[
+            (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in present else F.lit(None).cast(f.dataType))
+            .alias(f.name) for f in schema.fields])
     raise ValueError(f"unsupported format {fmt!r}")
 
 

@@ -5,6 +5,7 @@ import tempfile
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from conftest import SF_SMALL, make_events, make_items, make_orders, make_products, make_sessions, make_users, rows
 
 from shopmetrics.operators.aggregates import equal_width_histogram
@@ -64,7 +65,7 @@ def test_null_profile_and_table_profile(spark):
 
 def test_csv_and_parquet_round_trip(spark):
     o = make_orders(spark)
-    e = make_events(spark)
+    e = make_events(spark).withColumn("ts", F.expr("ts + make_dt_interval(0, 0, 0, 7.179575)"))
     root = tempfile.mkdtemp(prefix="shopmetrics-io-")
     for fmt in ("csv", "parquet"):
         io.write_tables({"orders": o, "events": e}, os.path.join(root, fmt), fmt)
@@ -99,3 +100,13 @@ def test_driver_adapter_invariants(spark):
     assert out["foreign_key:events.session_id->sessions.session_id"] == 0
     assert out["foreign_key:orders.session_id->sessions.session_id"] == 0
     assert out["check:orders.status"] == 0
+
+
+def test_csv_columns_matched_by_header_name(spark):
+    root = tempfile.mkdtemp(prefix="shopmetrics-csv-")
+    path = os.path.join(root, "items.csv")
+    with open(path, "w") as fh:
+        fh.write("item_id,order_id,product_id,quantity,unit_price\n1,10,7,2,19.99\n2,10,8,1,5.00\n")
+    items = io.read_table(spark, path, "order_items", "csv")
+    assert rows(items, "order_id", "line_number", "product_id", "quantity") == [(10, None, 7, 2), (10, None, 8, 1)]
+    assert [float(r[0]) for r in rows(items, "unit_price")] == [19.99, 5.0]
