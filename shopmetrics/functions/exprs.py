@@ -39,6 +39,12 @@ def pct(num: str | Column, den: str | Column, n: int = 2) -> Column:
     return round_n(F.lit(100.0) * col(num).cast("double") / F.nullif(col(den).cast("double"), F.lit(0.0)), n)
 
 
+def share_pct(num: str | Column, den: str | Column, n: int = 2) -> Column:
+    """``round(num / den * 100, n)`` — the notebooks' order of operations (divide first),
+    which can differ from :func:`pct` in the last bit before rounding; NULL on 0."""
+    return round_n(ratio(num, den) * F.lit(100.0), n)
+
+
 def exact_avg(c: str | Column) -> Column:
     """AVG of a decimal or integer column: exact sum / non-null count, as double."""
     return F.sum(col(c)).cast("double") / F.nullif(F.count(col(c)), F.lit(0)).cast("double")

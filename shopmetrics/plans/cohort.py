@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopmetrics.functions.exprs import month_diff, month_key, month_start, pct, ratio, round_n
+from shopmetrics.functions.exprs import month_diff, month_key, month_start, pct, ratio, round_n, share_pct
 from shopmetrics.model import COMPLETED
 from shopmetrics.operators.aggregates import ordered
 from shopmetrics.operators.reshape import pivot_wide
@@ -116,9 +116,8 @@ _BY_CELL = ("cohort_month", "month_number")
 
 
 def _retention_long(cells: DataFrame) -> DataFrame:
-    r = F.col("users").cast("double") / F.col("cohort_size").cast("double") * F.lit(100.0)
     return cells.select(month_key("cohort_start").alias("cohort_month"), "month_number",
-                        round_n(r, 1).alias("retention_pct"))
+                        share_pct("users", "cohort_size", 1).alias("retention_pct"))
 
 
 def _revenue_long(cells: DataFrame) -> DataFrame:

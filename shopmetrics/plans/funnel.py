@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopmetrics.functions.exprs import pct, period_key, period_name, round_n
+from shopmetrics.functions.exprs import pct, period_key, period_name, round_n, share_pct
 from shopmetrics.model import COMPLETED, STAGES
 from shopmetrics.operators.aggregates import ordered, top_k
 from shopmetrics.operators.funnel_ops import stage_dimension, stage_user_counts, user_stage_flags, wide_to_long
@@ -39,15 +39,12 @@ def _rates_from(wide: DataFrame, stages: Sequence[str]) -> DataFrame:
     j = stage_dimension(wide.sparkSession, stages).join(counts, "stage", "left")
     top = F.first("unique_users").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     prev = F.lag("unique_users").over(w)
-    users = F.col("unique_users").cast("double")
     return j.select(
         "ordinal",
         "stage",
         "unique_users",
-        round_n(users / F.nullif(top.cast("double"), F.lit(0.0)) * F.lit(100.0), 2).alias("conversion_from_top_pct"),
-        F.when(F.col("ordinal") == 0, F.lit(0.0))
-        .otherwise(round_n((prev - F.col("unique_users")).cast("double") / F.nullif(prev.cast("double"), F.lit(0.0))
-                           * F.lit(100.0), 2))
+        share_pct("unique_users", top, 2).alias("conversion_from_top_pct"),
+        F.when(F.col("ordinal") == 0, F.lit(0.0)).otherwise(share_pct(prev - F.col("unique_users"), prev, 2))
         .alias("dropoff_from_prev_pct"),
         F.when(F.col("ordinal") == 0, F.lit(0).cast("long")).otherwise(prev - F.col("unique_users"))
         .alias("dropped_users"),
@@ -82,8 +79,7 @@ def _by_dimension_from(c: DataFrame, dim: str, stages: Sequence[str], style: str
     else:
         cols = [F.col(s) for s in stages]
         rate_name = "overall_conv_pct" if dim == "device_type" else "conv_pct"
-        rate = round_n(F.col(last).cast("double") / F.nullif(F.col(first).cast("double"), F.lit(0.0))
-                       * F.lit(100.0), 2).alias(rate_name)
+        rate = share_pct(last, first, 2).alias(rate_name)
         default_order = last
     out = c.select(dim, *cols, rate)
     key = order_by or default_order
@@ -100,8 +96,7 @@ def _age_from(per_user: DataFrame, users: DataFrame, stages: Sequence[str]) -> D
     g = _sum_flags(per_user.join(u, "user_id"), ["age_group"], stages)
     first, last = stages[0], stages[-1]
     return g.select("age_group", *stages,
-                    round_n(F.col(last).cast("double") / F.nullif(F.col(first).cast("double"), F.lit(0.0))
-                            * F.lit(100.0), 2).alias("conv_pct")) \
+                    share_pct(last, first, 2).alias("conv_pct")) \
         .transform(ordered(F.col("age_group").asc_nulls_first()))
 
 
@@ -180,8 +175,7 @@ def funnel_weekly(events: DataFrame, stages: Sequence[str] = STAGES, style: str
     c = stage_user_counts(e, [key], stages, suffix=suffix)
     if style != "sql":
         c = c.withColumn("purchase_conv_pct",
-                         round_n(F.col(stages[-1]).cast("double") / F.nullif(F.col(stages[0]).cast("double"),
-                                                                               F.lit(0.0)) * F.lit(100.0), 2))
+                         share_pct(stages[-1], stages[0], 2))
     return c.transform(ordered(key))
 
 

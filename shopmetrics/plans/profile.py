@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopmetrics.functions.exprs import exact_avg, pct, round_n
+from shopmetrics.functions.exprs import exact_avg, pct, round_n, share_pct
 from shopmetrics.model import CHECKS, COMPLETED, FOREIGN_KEYS, NOT_NULL, PRIMARY_KEYS
 from shopmetrics.operators import quality as Q
 from shopmetrics.operators.aggregates import equal_width_histogram, ordered, value_counts
@@ -45,8 +45,7 @@ def status_split(orders: DataFrame) -> DataFrame:
     """E5: status, pct of all orders (1 dp)."""
     vc = value_counts(orders.where(F.col("status").isNotNull()), "status", "n")
     total = F.sum("n").over(Window.partitionBy())
-    return vc.select("status", round_n(F.col("n").cast("double") / total.cast("double") * F.lit(100.0), 1)
-                     .alias("pct")).transform(ordered(F.col("pct").desc(), "status"))
+    return vc.select("status", share_pct("n", total, 1).alias("pct")).transform(ordered(F.col("pct").desc(), "status"))
 
 
 DEMOGRAPHIC_DIMENSIONS = ["acquisition_channel", "country", "device_type", "age_group"]

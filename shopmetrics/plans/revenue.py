@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopmetrics.functions.exprs import exact_avg, pct, period_key, period_name, round_n
+from shopmetrics.functions.exprs import exact_avg, pct, period_key, period_name, round_n, share_pct
 from shopmetrics.model import COMPLETED, MONEY
 from shopmetrics.operators.aggregates import ordered, share_of_total, top_k
 
@@ -170,8 +170,7 @@ def revenue_by_subcategory_margin(order_items: DataFrame, products: DataFrame, o
         "units_sold",
         "gross_revenue",
         "gross_profit",
-        round_n(F.col("gross_profit") / F.nullif(F.col("gross_revenue"), F.lit(0.0)) * F.lit(100.0), 1)
-        .alias("margin_pct"),
+        share_pct("gross_profit", "gross_revenue", 1).alias("margin_pct"),
     ).transform(ordered(F.col("gross_revenue").desc(), "subcategory"))
 
 
