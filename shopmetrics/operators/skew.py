@@ -1,0 +1,33 @@
+"""Joining rows to a per-key aggregate of themselves when a few keys are very heavy.
+
+AQE's skew-join splitting needs a plain shuffle on both sides of a sort-merge join;
+when one side is an aggregate of the other (one row per key), a key holding a third of
+all rows would still land in one task.  Here such keys are split off explicitly.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A key with more rows than this is joined by broadcast instead of by shuffle.  The hot
+# side then has at most (total rows / HOT_ROWS) entries, a proven bound on what is
+# broadcast (150 billion rows -> at most 150,000 hot keys).
+HOT_ROWS = 1_000_000
+
+
+def attach_per_key(rows: DataFrame, per_key: DataFrame, key: str, weight: str,
+                   hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``rows ⋈ per_key`` on ``key`` (inner), where ``per_key`` has one row per key and
+    ``weight`` = the number of ``rows`` rows with that key.
+
+    Keys above ``hot_rows`` rows are joined by broadcasting their per-key rows (no
+    shuffle of their rows at all); all other rows, with the hot keys removed by a
+    broadcast anti join, take an ordinary shuffle join in which no key exceeds
+    ``hot_rows`` rows.  The result equals the plain inner join."""
+    hot = per_key.where(F.col(weight) > hot_rows).drop(weight)
+    cold = per_key.where(F.col(weight) <= hot_rows).drop(weight)
+    hot_keys = hot.select(key)
+    hot_part = rows.join(F.broadcast(hot), key)
+    cold_part = rows.join(F.broadcast(hot_keys), key, "left_anti").join(cold, key)
+    return hot_part.unionByName(cold_part)

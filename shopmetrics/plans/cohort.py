@@ -19,6 +19,7 @@ from shopmetrics.model import COMPLETED
 from shopmetrics.operators.aggregates import ordered
 from shopmetrics.operators.reshape import pivot_wide
 from shopmetrics.operators.reuse import materialize
+from shopmetrics.operators.skew import HOT_ROWS, attach_per_key
 
 
 def cohort_activity(orders: DataFrame, status: str | None = COMPLETED) -> DataFrame:
@@ -162,15 +163,17 @@ def cohort_retention(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
     return _retention(cohort_cells(orders, status))
 
 
-def cohort_base(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
+def cohort_base(orders: DataFrame, status: str = COMPLETED, hot_rows: int = HOT_ROWS) -> DataFrame:
     """C2p: one row per completed order with its month, cohort month and month number.
 
-    The per-user first month is an aggregate joined back on user_id: AQE's skew-join
-    handling splits a buyer with a huge number of orders, which a window could not."""
+    The per-user first month is an aggregate (map-side partial minimums) joined back on
+    user_id.  A buyer with more than ``hot_rows`` completed orders is joined by broadcast
+    of its one aggregate row, so its orders are never shuffled into a single task; the
+    other buyers take a normal shuffle join."""
     o = orders.where(F.col("status") == status).select(
         "order_id", "user_id", "order_date", month_start("order_date").alias("order_start"))
-    first = o.groupBy("user_id").agg(F.min("order_start").alias("cohort_start"))
-    j = o.join(first, "user_id")
+    first = o.groupBy("user_id").agg(F.min("order_start").alias("cohort_start"), F.count(F.lit(1)).alias("_n"))
+    j = attach_per_key(o, first, "user_id", "_n", hot_rows)
     return j.select(
         "order_id", "user_id", F.col("order_date").cast("string").alias("order_date"),
         month_key("order_start").alias("order_month"),

@@ -28,6 +28,7 @@ def summarize(plan: str) -> dict[str, int]:
         "broadcasts": n(r"BroadcastExchange"),
         "scans": n(r"FileScan parquet|Scan parquet"),
         "smj": n(r"SortMergeJoin"),
+        "skew_smj": n(r"SortMergeJoin\(skew=true\)"),
         "bhj": n(r"BroadcastHashJoin"),
         "windows": n(r"\bWindow \["),
         "expand": n(r"\bExpand\b"),
@@ -43,7 +44,7 @@ def main() -> None:
     rows = []
     for name, q in entry.queries().items():
         df = q(spark, args.sf_dir)
-        df.write.format("noop").mode("overwrite").save()  # final (adaptive) plan
+        df.collect()  # runs this DataFrame's own query execution: its final adaptive plan
         plan = df._jdf.queryExecution().executedPlan().toString()
         rows.append((name, summarize(plan)))
     cols = list(rows[0][1])
