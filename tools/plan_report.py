@@ -45,7 +45,7 @@ def main() -> None:
     for name, q in entry.queries().items():
         df = q(spark, args.sf_dir)
         df.collect()  # runs this DataFrame's own query execution: its final adaptive plan
-        plan = df._jdf.queryExecution().executedPlan().toString()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
         rows.append((name, summarize(plan)))
     cols = list(rows[0][1])
     print("# Plan shapes (executed plans at sf0.01, local[8], AQE on)\n")
