@@ -38,12 +38,12 @@ def tagged_union(frames: Mapping[str, DataFrame], cols: Mapping[str, Mapping[str
 
 
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """table, rows, columns (IO7 / E1): all tables counted in one aggregation."""
-    names = list(tables)
-    counts = tagged_union(tables).agg(
-        *[F.count(F.when(F.col("_t") == n, F.lit(1))).alias(f"_n{i}") for i, n in enumerate(names)])
-    args = ", ".join(f"'{n}', `_n{i}`, {len(tables[n].columns)}" for i, n in enumerate(names))
-    return counts.selectExpr(f"stack({len(names)}, {args}) as (table, rows, columns)")
+    """table, rows, columns (IO7 / E1): one column-less count per table."""
+    return _union([
+        df.agg(F.count(F.lit(1)).alias("rows")).select(
+            F.lit(name).alias("table"), "rows", F.lit(len(df.columns)).alias("columns"))
+        for name, df in tables.items()
+    ])
 
 
 def null_counts(name: str, df: DataFrame) -> DataFrame:
