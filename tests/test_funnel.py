@@ -97,3 +97,10 @@ def test_funnel_report_counts_events_without_a_known_session_overall_only(spark)
     assert dict(rows(report["funnel_overall"]))["page_view"] == 3
     assert sorted(rows(report["funnel_by_device"])) == sorted(rows(Fn.funnel_by_device(ev, sess)))
     assert sum(r[1] for r in rows(report["funnel_by_device"])) == 2
+
+
+def test_transition_from_an_empty_stage_is_null_not_an_error(spark):
+    ev = make_events(spark, [r for r in EVENT_ROWS if r[1] != "add_to_cart"])
+    out = {r[0]: r[1:] for r in rows(Fn.funnel_transitions(ev))}
+    assert out["add_to_cart → checkout_start"] == (0, 1, None, None)
+    assert out["product_view → add_to_cart"] == (2, 0, 0.0, 100.0)
