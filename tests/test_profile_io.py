@@ -110,3 +110,16 @@ def test_csv_columns_matched_by_header_name(spark):
     items = io.read_table(spark, path, "order_items", "csv")
     assert rows(items, "order_id", "line_number", "product_id", "quantity") == [(10, None, 7, 2), (10, None, 8, 1)]
     assert [float(r[0]) for r in rows(items, "unit_price")] == [19.99, 5.0]
+
+
+def test_export_enriched_orders_and_read_tables_back(spark):
+    from shopmetrics.plans import dashboard as D
+
+    root = tempfile.mkdtemp(prefix="shopmetrics-export-")
+    t = _tables(spark)
+    io.write_tables(t, root, "parquet")
+    back = io.read_tables(spark, root, "parquet")
+    assert {n: df.count() for n, df in back.items()} == {n: df.count() for n, df in t.items()}
+    D.write_orders_enriched(back["orders"], back["sessions"], back["users"], os.path.join(root, "x1"), "csv")
+    x1 = spark.read.option("header", True).csv(os.path.join(root, "x1"))
+    assert x1.count() == 8 and "acquisition_channel" in x1.columns
