@@ -16,12 +16,23 @@ from shopmetrics.model import COMPLETED
 from shopmetrics.operators.aggregates import ordered
 
 
+def enrich(orders: DataFrame, sessions: DataFrame | None = None, users: DataFrame | None = None) -> DataFrame:
+    """Orders left-joined to the session columns and / or the user columns of X1.
+
+    A worksheet that reads only user columns joins only users: a left join whose right
+    side Catalyst cannot prove unique is otherwise kept, with its shuffle."""
+    out = orders
+    if sessions is not None:
+        out = out.join(sessions.select("session_id", "device_type", "channel"), "session_id", "left")
+    if users is not None:
+        out = out.join(users.select("user_id", "country", "age_group", "acquisition_channel"), "user_id", "left")
+    return out
+
+
 def orders_enriched(orders: DataFrame, sessions: DataFrame, users: DataFrame) -> DataFrame:
     """Each order with its session's device and channel and its user's country, age
     group and acquisition channel (left joins: every order kept once per match)."""
-    s = sessions.select("session_id", "device_type", "channel")
-    u = users.select("user_id", "country", "age_group", "acquisition_channel")
-    return orders.join(s, "session_id", "left").join(u, "user_id", "left").select(
+    return enrich(orders, sessions, users).select(
         "order_id", "session_id", "user_id", "order_date", "total_amount", "discount_amount", "payment_method",
         "status", "device_type", "channel", "country", "age_group", "acquisition_channel")
 

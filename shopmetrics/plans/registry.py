@@ -105,9 +105,6 @@ def profile_queries() -> dict[str, Query]:
 
 
 def dashboard_queries() -> dict[str, Query]:
-    def enriched(t: DriverTables) -> DataFrame:
-        return D.orders_enriched(t.orders, t.sessions, t.users)
-
     return {
         "orders_enriched": _q(lambda t: D.orders_enriched_output(t.orders, t.sessions, t.users)),
         "kpi_orders": _q(lambda t: D.kpi_orders(t.orders)),
@@ -116,9 +113,9 @@ def dashboard_queries() -> dict[str, Query]:
         "kpi_aov": _q(lambda t: D.kpi_aov(t.orders)),
         "trend_month_part": _q(lambda t: D.trend_month_part(t.orders)),
         "revenue_by_payment": _q(lambda t: D.revenue_by_payment(t.orders)),
-        "revenue_by_acq_channel": _q(lambda t: D.revenue_by_acq_channel(enriched(t))),
-        "revenue_by_country": _q(lambda t: D.revenue_by_country(enriched(t))),
-        "revenue_by_device_all": _q(lambda t: D.revenue_by_device_all(enriched(t))),
+        "revenue_by_acq_channel": _q(lambda t: D.revenue_by_acq_channel(D.enrich(t.orders, users=t.users))),
+        "revenue_by_country": _q(lambda t: D.revenue_by_country(D.enrich(t.orders, users=t.users))),
+        "revenue_by_device_all": _q(lambda t: D.revenue_by_device_all(D.enrich(t.orders, sessions=t.sessions))),
         "retention_lod": _q(lambda t: D.retention_lod(t.orders)),
         "retention_lod_month_part": _q(lambda t: D.retention_lod(t.orders, month_part=True)),
         "revenue_monthly_acq_filtered": _q(lambda t: R.revenue_monthly(
