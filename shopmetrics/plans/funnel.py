@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopmetrics.functions.exprs import pct, period_key, period_name, round_n, share_pct
+from shopmetrics.functions.exprs import pct, period_key, period_name, share_pct
 from shopmetrics.model import COMPLETED, STAGES
 from shopmetrics.operators.aggregates import ordered, top_k
 from shopmetrics.operators.funnel_ops import stage_dimension, stage_user_counts, user_stage_flags, wide_to_long
