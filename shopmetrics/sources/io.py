@@ -74,3 +74,16 @@ def write_tables(tables: Mapping[str, DataFrame], root: str, fmt: str = "parquet
     """Write every table under ``root/<name>``."""
     for name, df in tables.items():
         write_table(df, f"{root.rstrip('/')}/{name}", fmt, mode)
+
+
+def write_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int, mode: str = "overwrite") -> DataFrame:
+    """Store a canonical table bucketed (and sorted) by ``key`` at ``path`` and register
+    it as ``table`` in the session catalog; returns ``spark.table(table)``.
+
+    Tables bucketed alike on the join / grouping key co-locate: a per-user aggregation or
+    window (cohorts, repeat purchases, per-user funnel flags) and an orders ⋈ users join
+    then read each bucket in place with no shuffle.  ``path`` is a shared folder on a
+    cluster."""
+    (df.write.mode(mode).format("parquet").bucketBy(buckets, key).sortBy(key)
+     .option("path", path).saveAsTable(table))
+    return df.sparkSession.table(table)

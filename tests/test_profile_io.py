@@ -123,3 +123,16 @@ def test_export_enriched_orders_and_read_tables_back(spark):
     D.write_orders_enriched(back["orders"], back["sessions"], back["users"], os.path.join(root, "x1"), "csv")
     x1 = spark.read.option("header", True).csv(os.path.join(root, "x1"))
     assert x1.count() == 8 and "acquisition_channel" in x1.columns
+
+
+def test_bucketed_orders_need_no_shuffle_for_per_user_work(spark):
+    from shopmetrics.plans import cohort as C
+
+    root = tempfile.mkdtemp(prefix="shopmetrics-bucket-")
+    orders = io.write_bucketed(make_orders(spark), "shopmetrics_test_orders", os.path.join(root, "orders"),
+                               "user_id", 4)
+    activity = C.cohort_activity(orders)
+    plan = activity._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan            # per-(user, month) aggregate and per-user window in place
+    assert sorted(rows(C.cohort_retention(orders))) == sorted(rows(C.cohort_retention(make_orders(spark))))
+    spark.sql("DROP TABLE IF EXISTS shopmetrics_test_orders")
