@@ -81,3 +81,23 @@ def test_grain_parameter(spark):
     assert sum(r[2] for r in weekly) == 380.0
     moy = rows(R.revenue_monthly_completed(o, grain="month_of_year"))
     assert moy == [(1, 300.0), (2, 30.0), (3, 50.0)]
+
+
+def test_notebook_variants(spark):
+    o, p, i = make_orders(spark), make_products(spark), make_items(spark)
+    assert rows(R.revenue_by_subcategory_margin(i, p, o)) == [("Phones", 1, 1, 10.0, -25.0, -250.0)]
+    assert rows(R.top_products_by_name(i, p, o)) == [("product 7", "Phones", "B", 1, 1, 10.0)]
+    assert rows(R.discount_trend(o)) == [("2024-01", 0.0, 0.0), ("2024-02", 0.0, 0.0), ("2024-03", 100.0, 5.0)]
+    assert rows(R.orders_per_buyer(o, first=1)) == [(1, 2, 66.67)]
+
+
+def test_rounded_share_variant(spark):
+    sessions = spark.createDataFrame(
+        [(i, 1, None, None, "mobile" if i % 2 else "desktop", "email", None) for i in range(1, 9)],
+        "session_id long, user_id long, session_date date, session_hour int, device_type string, channel string,"
+        " landing_page string")
+    out = {r[0]: r for r in rows(R.revenue_by_session_dim(make_orders(spark), sessions, "device_type",
+                                                          share="rounded"))}
+    # mobile: orders 1, 3, 5 (completed) = 330; desktop: order 2 = 50
+    assert out["mobile"][1:] == (3, 330.0, 110.0, 86.8)
+    assert out["desktop"][1:] == (1, 50.0, 50.0, 13.2)
