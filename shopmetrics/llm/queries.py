@@ -5,27 +5,61 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopmetrics.llm import simhash
+from shopmetrics.llm import decontaminate, langid, oracle, piece_bpe, simhash, toxicity
+
+#: The tokenizer's vocabulary file.
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_matches(read(spark, sf_dir, "documents", "doc_id", "text"),
+                                       read(spark, sf_dir, "benchmark", "item_id", "text"))
+    contaminated = (F.col("n_hit") > 0) & (decontaminate.SHARE * F.col("n_hit") >= F.col("n_words"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated.alias("contaminated"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.learn(docs, read(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return toxicity.score(docs, model).select(
+        "doc_id", langid.held_out("doc_id", 4, 2).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    found = langid.identify(docs.drop("lang"), langid.learn(docs))
+    return found.select("doc_id", langid.held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
     text = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return found.select(F.col("id").alias("doc_id"), text.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op10_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.encode_texts(read(spark, sf_dir, "documents", "doc_id", "text"), PIECE_MODEL, digest=True).drop("text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontaminate": op1_decontaminate,
+        "op7_toxicity": op7_toxicity,
+        "op8_language_id": op8_language_id,
         "op9_simhash": op9_simhash,
+        "op10_piece_bpe": op10_piece_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_decontaminate": oracle.DECONTAMINATE}
