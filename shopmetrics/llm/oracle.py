@@ -28,3 +28,27 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
+
+LINE_DEDUP = r"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+w AS (
+    SELECT doc_id, p, l[p + 1] || chr(10) || l[p + 2] || chr(10) || l[p + 3] AS s
+    FROM (SELECT doc_id, l, unnest(range(0, len(l) - 2)) AS p FROM d WHERE len(l) >= 3)),
+later AS (
+    SELECT doc_id, p
+    FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k
+          FROM w WHERE trim(s, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '')
+    WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, x FROM (SELECT doc_id, unnest(range(p, p + 3)) AS x FROM later)),
+figures AS (
+    SELECT doc_id, count(*) AS n_removed, sum(CASE WHEN before = x - 1 THEN 0 ELSE 1 END) AS n_spans
+    FROM (SELECT doc_id, x, lag(x) OVER (PARTITION BY doc_id ORDER BY x) AS before FROM gone) GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(l) AS line, unnest(range(0, len(l))) AS x FROM d),
+kept AS (
+    SELECT doc_id, string_agg(line, chr(10) ORDER BY x) AS text
+    FROM lines LEFT JOIN gone USING (doc_id, x) WHERE gone.x IS NULL GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       CASE WHEN l IS NOT NULL THEN sha256(coalesce(kept.text, '')) END AS kept_sha256
+FROM d LEFT JOIN figures USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

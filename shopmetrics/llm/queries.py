@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopmetrics.llm import decontaminate, langid, oracle, piece_bpe, simhash, toxicity
+from shopmetrics.llm import decontaminate, langid, line_dedup, oracle, piece_bpe, shards, simhash, toxicity
 
 #: The tokenizer's vocabulary file.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -27,6 +27,17 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated.alias("contaminated"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.remove_repeated(read(spark, sf_dir, "documents", "doc_id", "text"), count=True)
+    return kept.select("doc_id", "n_lines", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shards.assign(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     model = toxicity.learn(docs, read(spark, sf_dir, "labels", "doc_id", "toxic"))
@@ -54,6 +65,8 @@ def op10_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
+        "op4_line_dedup": op4_line_dedup,
+        "op6_shards": op6_shards,
         "op7_toxicity": op7_toxicity,
         "op8_language_id": op8_language_id,
         "op9_simhash": op9_simhash,
@@ -62,4 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": oracle.DECONTAMINATE}
+    return {
+        "op1_decontaminate": oracle.DECONTAMINATE,
+        "op4_line_dedup": oracle.LINE_DEDUP,
+    }
