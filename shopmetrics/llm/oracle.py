@@ -52,3 +52,19 @@ SELECT d.doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(n
        CASE WHEN l IS NOT NULL THEN sha256(coalesce(kept.text, '')) END AS kept_sha256
 FROM d LEFT JOIN figures USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+EMBED_DEDUP = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0
+      AND len(list_filter(embedding, c -> c <> 0)) > 0),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+    WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+low AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(degree.n, 0) AS BIGINT) AS n_links, least(e.vec_id, coalesce(low.b, e.vec_id)) AS component_id,
+       e.vec_id <= coalesce(low.b, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN degree ON e.vec_id = degree.a LEFT JOIN low ON e.vec_id = low.a
+"""

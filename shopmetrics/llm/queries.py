@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopmetrics.llm import decontaminate, langid, line_dedup, oracle, piece_bpe, shards, simhash, toxicity
+from shopmetrics.llm import decontaminate, embed_dedup, langid, line_dedup, oracle, piece_bpe, shards, simhash, toxicity
 
 #: The tokenizer's vocabulary file.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -27,6 +27,12 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated.alias("contaminated"))
 
 
+def op3_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embed_dedup.near_duplicates(read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"),
+                        (F.col("id") == F.col("component")).alias("kept"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.remove_repeated(read(spark, sf_dir, "documents", "doc_id", "text"), count=True)
     return kept.select("doc_id", "n_lines", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"))
@@ -65,6 +71,7 @@ def op10_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
+        "op3_embed_dedup": op3_embed_dedup,
         "op4_line_dedup": op4_line_dedup,
         "op6_shards": op6_shards,
         "op7_toxicity": op7_toxicity,
@@ -77,5 +84,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontaminate": oracle.DECONTAMINATE,
+        "op3_embed_dedup": oracle.EMBED_DEDUP,
         "op4_line_dedup": oracle.LINE_DEDUP,
     }
