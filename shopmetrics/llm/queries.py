@@ -9,10 +9,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopmetrics.llm import decontaminate, embed_dedup, langid, line_dedup, oracle, piece_bpe, shards, simhash, toxicity
+from shopmetrics.llm import decontaminate, embed_dedup, langid, line_dedup, oracle, piece_bpe, pseudonyms, shards, simhash, toxicity
 
 #: The tokenizer's vocabulary file.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+#: The key of the registered query; a deployment passes its own secret.
+PSEUDONYM_KEY = b"registered query"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -38,6 +40,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    found = pseudonyms.pseudonymise(docs, PSEUDONYM_KEY)
+    return found.select("doc_id", F.size("pseudonyms").cast("long").alias("n_pseudonyms"), *pseudonyms.counts(), F.col("new_text").alias("text"))
+
+
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.assign(read(spark, sf_dir, "documents", "doc_id", "text"))
     return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -73,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontaminate": op1_decontaminate,
         "op3_embed_dedup": op3_embed_dedup,
         "op4_line_dedup": op4_line_dedup,
+        "op5_pseudonyms": op5_pseudonyms,
         "op6_shards": op6_shards,
         "op7_toxicity": op7_toxicity,
         "op8_language_id": op8_language_id,
