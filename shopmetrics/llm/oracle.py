@@ -68,3 +68,22 @@ SELECT e.vec_id, CAST(coalesce(degree.n, 0) AS BIGINT) AS n_links, least(e.vec_i
        e.vec_id <= coalesce(low.b, e.vec_id) AS kept
 FROM embeddings e LEFT JOIN degree ON e.vec_id = degree.a LEFT JOIN low ON e.vec_id = low.a
 """
+
+SUFFIX_DEDUP = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, p, substr(x, 2 * p + 1, 200) AS s FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 99)) AS p FROM d WHERE len(x) >= 200)),
+again AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM w) WHERE k > 1),
+edges AS (SELECT doc_id, p, CASE WHEN lag(p) OVER o >= p - 100 THEN 0 ELSE 1 END AS new FROM again WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+runs AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b
+         FROM (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM edges) GROUP BY doc_id, run),
+cuts AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM runs),
+parts AS (
+    SELECT doc_id, a, substr(x, 2 * before + 1, 2 * (a - before)) AS s FROM cuts JOIN d USING (doc_id)
+    UNION ALL
+    SELECT doc_id, 1e18, substr(x, 2 * m + 1) FROM d JOIN (SELECT doc_id, max(b) AS m FROM runs GROUP BY doc_id) USING (doc_id)),
+kept AS (SELECT doc_id, string_agg(s, '' ORDER BY a) AS x FROM parts GROUP BY doc_id),
+figures AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.x, d.x))) AS kept_sha256
+FROM d LEFT JOIN figures USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

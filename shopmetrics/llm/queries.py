@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopmetrics.llm import decontaminate, embed_dedup, langid, line_dedup, oracle, piece_bpe, pseudonyms, shards, simhash, toxicity
+from shopmetrics.llm import decontaminate, embed_dedup, langid, line_dedup, oracle, piece_bpe, pseudonyms, shards, simhash, suffix_dedup, toxicity
 
 #: The tokenizer's vocabulary file.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -29,6 +29,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated.alias("contaminated"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text"), digest=True)
+    return kept.withColumnRenamed("id", "doc_id")
+
+
 def op3_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = embed_dedup.near_duplicates(read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
     return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"),
@@ -79,6 +84,7 @@ def op10_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_embed_dedup": op3_embed_dedup,
         "op4_line_dedup": op4_line_dedup,
         "op5_pseudonyms": op5_pseudonyms,
@@ -93,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontaminate": oracle.DECONTAMINATE,
+        "op2_suffix_dedup": oracle.SUFFIX_DEDUP,
         "op3_embed_dedup": oracle.EMBED_DEDUP,
         "op4_line_dedup": oracle.LINE_DEDUP,
     }
