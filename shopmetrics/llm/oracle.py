@@ -56,8 +56,8 @@ FROM d LEFT JOIN figures USING (doc_id) LEFT JOIN kept USING (doc_id)
 EMBED_DEDUP = """
 WITH RECURSIVE v AS (
     SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
-    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0
-      AND len(list_filter(embedding, c -> c <> 0)) > 0),
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+      AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
 links AS (
     SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
     WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
