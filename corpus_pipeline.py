@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shopmetrics.llm import decontaminate, langid, line_dedup, piece_bpe, simhash
-from shopmetrics.llm.common import free_name, shared_folder
+from shopmetrics.llm.common import free_prefix, shared_folder
 from shopmetrics.llm.queries import PIECE_MODEL
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a language; an ambiguous text, as a very short one may be, stays."""
-    prefix = free_name(docs, "found_")
+    prefix = free_prefix(docs, "found_", langid.FIELDS)
     names = [prefix + f.name for f in langid.FIELDS]
     found = langid.identify(docs, langid.learn(docs), prefix=prefix)
     return found.where(F.col(names[0]) != langid.UNDETERMINED).drop(*names)

@@ -26,6 +26,14 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def free_prefix(df: DataFrame, base: str, fields: Sequence[T.StructField]) -> str:
+    """``base``, or ``base`` with underscores until no column of ``df`` is called prefix + field."""
+    taken = {c.lower() for c in df.columns}
+    while any((base + f.name).lower() in taken for f in fields):
+        base += "_"
+    return base
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for written intermediate tables: ``spark.checkpoint.dir`` of the session.
     Only a local session that names none (a test) gets a temporary one."""

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shopmetrics.llm.common import append_columns, free_name, pieces, utf8
+from shopmetrics.llm.common import append_columns, free_prefix, pieces, utf8
 
 WINDOW = 13
 #: Bytes of document text in one suffix array, and of benchmark text in one broadcast.
@@ -267,9 +267,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", share: int = SHARE, **options) -> DataFrame:
     """``docs`` without contaminated ones: those with hit words, 1 of ``share`` of all words at least."""
-    prefix = free_name(docs, "match_")
-    while any(c.lower().startswith(prefix) for c in docs.columns):
-        prefix += "_"
+    prefix = free_prefix(docs, "match_", FIELDS)
     found = find_matches(docs, benchmark, text_col, prefix=prefix, **options)
     hit, words = F.col(f"{prefix}n_hit"), F.col(f"{prefix}n_words")
     return found.where(~((hit > 0) & (share * hit >= words))).drop(*[prefix + f.name for f in FIELDS])
