@@ -8,6 +8,8 @@ projection of each metric casts to ``double``.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import types as T
 
 # ---------------------------------------------------------------------------
@@ -86,8 +88,8 @@ ORDERS = T.StructType(
     ]
 )
 
-# The driver's line items carry no surrogate key; (order_id, line_number) is the
-# natural key.  A table loaded from elsewhere may carry ``item_id`` instead.
+# The driver's line items carry no surrogate key; (order_id, line_number) is their
+# natural key.  An exported table has ``item_id`` instead (ORDER_ITEMS_BY_ID).
 ORDER_ITEMS = T.StructType(
     [
         T.StructField("order_id", T.LongType(), False),
@@ -98,6 +100,9 @@ ORDER_ITEMS = T.StructType(
     ]
 )
 
+ORDER_ITEMS_BY_ID = T.StructType([T.StructField("item_id", T.LongType(), False),
+                                  *[f for f in ORDER_ITEMS.fields if f.name != "line_number"]])
+
 SCHEMAS: dict[str, T.StructType] = {
     "users": USERS,
     "products": PRODUCTS,
@@ -107,6 +112,8 @@ SCHEMAS: dict[str, T.StructType] = {
     "order_items": ORDER_ITEMS,
 }
 
+# ---------------------------------------------------------------------------
+# Fixed values (must equal the modelled project's declared rules).
 # Primary key of each table.
 PRIMARY_KEYS: dict[str, list[str]] = {
     "users": ["user_id"],
@@ -145,3 +152,21 @@ CHECKS: list[tuple[str, str, list[str]]] = [
     ("events", "event_type", STAGES),
     ("orders", "status", STATUSES),
 ]
+# Other header names of a column in exported files.
+HEADER_NAMES: dict[str, dict[str, str]] = {"events": {"timestamp": "ts"}}
+# ---------------------------------------------------------------------------
+
+
+def schema_of(table: str, columns: Iterable[str]) -> T.StructType:
+    """The declared schema of ``table`` for a source with these columns."""
+    return ORDER_ITEMS_BY_ID if table == "order_items" and "item_id" in columns else SCHEMAS[table]
+
+
+def key_of(table: str, columns: Iterable[str]) -> list[str]:
+    """The primary key of ``table`` for a frame with these columns."""
+    return ["item_id"] if table == "order_items" and "item_id" in columns else PRIMARY_KEYS[table]
+
+
+def required(table: str, columns: Iterable[str]) -> list[str]:
+    """Columns a source of ``table`` must have: its key and the NOT NULL ones."""
+    return list(dict.fromkeys([*key_of(table, columns), *NOT_NULL[table]]))

@@ -7,6 +7,7 @@ single aggregate and are then unpivoted with ``stack``.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,32 +86,59 @@ def duplicate_keys(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[
     ])
 
 
-def key_audit(parent_name: str, parent: DataFrame, key: str,
-              children: Sequence[tuple[str, DataFrame, str]]) -> DataFrame:
-    """Rows (rule, violations) for a table's single-column primary key and every foreign
-    key that references it, from ONE grouping by key value.
-
-    Parent keys and each child's non-NULL references are tagged, unioned and counted per
-    key value (map-side partial counts, one shuffle).  Per key: parent rows beyond the
-    first are duplicates (NULL counts as a value, as pandas ``duplicated`` does); child
-    rows of a key with no parent row are orphans.  A key held by a third of all child
-    rows is pre-counted per task before the shuffle."""
-    n = len(children)
-    zeros = [F.lit(0).alias(f"_c{i}") for i in range(n)]
-    tagged = [parent.select(F.col(key).alias("_k"), F.lit(1).alias("_p"), *zeros)]
-    for i, (_, df, col) in enumerate(children):
-        tags = [F.lit(1 if j == i else 0).alias(f"_c{j}") for j in range(n)]
-        tagged.append(df.where(F.col(col).isNotNull()).select(F.col(col).alias("_k"), F.lit(0).alias("_p"), *tags))
-    u = tagged[0]
-    for t in tagged[1:]:
-        u = u.unionByName(t)
-    per_key = u.groupBy("_k").agg(F.sum("_p").alias("_p"), *[F.sum(f"_c{i}").alias(f"_c{i}") for i in range(n)])
-    totals = per_key.agg(
-        F.coalesce(F.sum(F.when(F.col("_p") > 1, F.col("_p") - 1)), F.lit(0)).cast("long").alias("_dup"),
-        *[F.coalesce(F.sum(F.when(F.col("_p") == 0, F.col(f"_c{i}"))), F.lit(0)).cast("long").alias(f"_o{i}")
-          for i in range(n)],
-    )
-    names = [f"primary_key_unique:{parent_name}({key})"] + [
-        f"foreign_key:{child}.{col}->{parent_name}.{key}" for child, _, col in children]
-    args = ", ".join(f"'{nm}', `{c}`" for nm, c in zip(names, ["_dup"] + [f"_o{i}" for i in range(n)]))
-    return totals.selectExpr(f"stack({n + 1}, {args}) as (rule, violations)")
+@dataclass(frozen=True)
+class Audit:
+    """What one table adds to an audit: its key (with the rule that it is unique), references to other
+    keys, and conditions that count a violation where they hold."""
+
+    frame: DataFrame
+    key: Sequence[str]
+    unique: str
+    references: Sequence[tuple[str, str, str]]  # (column, unique rule of the key referred to, rule)
+    conditions: Sequence[tuple[Column, str]]
+
+
+def audit(tables: Sequence[Audit]) -> DataFrame:
+    """rule, violations for all tables in one pass over each.
+
+    Every row turns into a few entries (kind, k1, k2): its own key, its non-NULL references and the conditions it
+    breaks.  One grouping by entry counts them with map-side partial counts, so a key that a third of
+    all rows refer to is one row a task before the shuffle.  In it, a key's rows beyond the first are
+    duplicates (NULL counts as a value, as pandas ``duplicated`` does), and references to a key without a
+    row are orphans.  Keys are whole numbers, of two columns at most."""
+    null = F.lit(None).cast("long")
+    kinds = {t.unique: i for i, t in enumerate(tables)}  # of keys; conditions have kinds of their own
+    slots: dict[str, tuple[int, int]] = {}  # of a reference: kind of the key, and its counter there
+    for t in tables:
+        for _, unique, rule in t.references:
+            slots[rule] = (kinds[unique], sum(k == kinds[unique] for k, _ in slots.values()))
+    width = max([0, *(slot + 1 for _, slot in slots.values())])
+
+    def entry(kind: int, k1: Column, k2: Column, counter: int) -> Column:
+        """``counter`` -1: a row of the key itself; else the counter of a reference."""
+        return F.struct(F.lit(kind).alias("kind"), k1.cast("long").alias("k1"), k2.cast("long").alias("k2"), F.lit(counter).alias("counter"))
+
+    parts = []
+    for t in tables:
+        own = [F.col(c) for c in t.key]
+        entries = [entry(kinds[t.unique], own[0], own[1] if len(own) > 1 else null, -1)]
+        for c, _, rule in t.references:
+            kind, slot = slots[rule]
+            entries.append(F.when(F.col(c).isNotNull(), entry(kind, F.col(c), null, slot)))
+        for holds, rule in t.conditions:
+            kinds[rule] = len(kinds)
+            entries.append(F.when(holds, entry(kinds[rule], null, null, -1)))
+        parts.append(t.frame.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e")).select("e.*"))
+    counted = _union(parts).groupBy("kind", "k1", "k2").agg(
+        F.count(F.when(F.col("counter") == -1, 1)).alias("rows"),
+        *[F.count(F.when(F.col("counter") == i, 1)).alias(f"s{i}") for i in range(width)])
+    per_kind = counted.groupBy("kind").agg(
+        F.sum("rows").alias("rows"), F.sum(F.greatest(F.col("rows") - 1, F.lit(0))).alias("again"),
+        *[F.sum(F.when(F.col("rows") == 0, F.col(f"s{i}"))).alias(f"s{i}") for i in range(width)])
+    found = {t.unique: (kinds[t.unique], "again") for t in tables}
+    found |= {rule: (kind, f"s{slot}") for rule, (kind, slot) in slots.items()}
+    found |= {rule: (kinds[rule], "rows") for t in tables for _, rule in t.conditions}
+    totals = per_kind.agg(*[F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col(c))), F.lit(0)).cast("long").alias(f"_r{i}")
+                            for i, (kind, c) in enumerate(found.values())])
+    args = ", ".join(f"'{rule}', `_r{i}`" for i, rule in enumerate(found))
+    return totals.selectExpr(f"stack({len(found)}, {args}) as (rule, violations)")

@@ -7,8 +7,8 @@ tables are named ``c_users, c_products, c_events, c_sessions, c_orders, c_items`
 
 from __future__ import annotations
 
-_M2 = "CAST(ROUND(CAST({x} AS DECIMAL(18,8)), 2) AS DECIMAL(18,2))"
-_M4 = "CAST(ROUND(CAST({x} AS DECIMAL(18,8)), 4) AS DECIMAL(18,4))"
+_M2 = "CAST(ROUND(CAST({x} AS DECIMAL(38,8)), 2) AS DECIMAL(18,2))"
+_M4 = "CAST(ROUND(CAST({x} AS DECIMAL(38,8)), 4) AS DECIMAL(18,4))"
 
 PRELUDE_CTES = f"""
 c_users AS (
@@ -36,7 +36,7 @@ c_products AS (
 ),
 c_events AS (
     SELECT event_id,
-           -(user_id * 1000 + dayofyear(ts)) AS session_id,
+           -(year(ts) * 18000000000000 + user_id * 1000 + dayofyear(ts)) AS session_id,
            user_id,
            CASE event_type WHEN 'view' THEN 'page_view'
                            WHEN 'click' THEN 'product_view'

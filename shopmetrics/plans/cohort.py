@@ -11,6 +11,8 @@ rows per user, not a self join over raw orders.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,14 +20,16 @@ from shopmetrics.functions.exprs import month_diff, month_key, month_start, pct,
 from shopmetrics.model import COMPLETED
 from shopmetrics.operators.aggregates import ordered
 from shopmetrics.operators.reshape import pivot_wide
-from shopmetrics.operators.reuse import materialize
-from shopmetrics.operators.skew import HOT_ROWS, attach_per_key
+
+#: Salts over which one buyer's orders are spread where a row per order is put out.
+SALTS = 16
 
 
 def cohort_activity(orders: DataFrame, status: str | None = COMPLETED) -> DataFrame:
     """user_id, cohort_start, order_start (first days of months), month_number,
-    n_orders, n_amounts, revenue (exact decimal)."""
-    o = orders if status is None else orders.where(F.col("status") == status)
+    n_orders, n_amounts, revenue (exact decimal).  Orders without a buyer belong to no cohort."""
+    o = orders.where(F.col("user_id").isNotNull())
+    o = o if status is None else o.where(F.col("status") == status)
     um = o.groupBy("user_id", month_start("order_date").alias("order_start")).agg(
         F.count(F.lit(1)).alias("n_orders"),
         F.count("total_amount").alias("n_amounts"),
@@ -163,17 +167,18 @@ def cohort_retention(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
     return _retention(cohort_cells(orders, status))
 
 
-def cohort_base(orders: DataFrame, status: str = COMPLETED, hot_rows: int = HOT_ROWS) -> DataFrame:
+def cohort_base(orders: DataFrame, status: str = COMPLETED, salts: int = SALTS) -> DataFrame:
     """C2p: one row per completed order with its month, cohort month and month number.
 
     The per-user first month is an aggregate (map-side partial minimums) joined back on
-    user_id.  A buyer with more than ``hot_rows`` completed orders is joined by broadcast
-    of its one aggregate row, so its orders are never shuffled into a single task; the
-    other buyers take a normal shuffle join."""
-    o = orders.where(F.col("status") == status).select(
+    (user_id, salt): an order's salt is a hash of its id, and the one row of each user is
+    repeated for every salt, so the orders of a buyer who placed a third of all are spread over
+    ``salts`` tasks at any size."""
+    o = orders.where((F.col("status") == status) & F.col("user_id").isNotNull()).select(
         "order_id", "user_id", "order_date", month_start("order_date").alias("order_start"))
-    first = o.groupBy("user_id").agg(F.min("order_start").alias("cohort_start"), F.count(F.lit(1)).alias("_n"))
-    j = attach_per_key(o, first, "user_id", "_n", hot_rows)
+    first = o.groupBy("user_id").agg(F.min("order_start").alias("cohort_start"))
+    first = first.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    j = o.withColumn("_salt", F.pmod(F.hash("order_id"), F.lit(salts))).join(first, ["user_id", "_salt"])
     return j.select(
         "order_id", "user_id", F.col("order_date").cast("string").alias("order_date"),
         month_key("order_start").alias("order_month"),
@@ -182,6 +187,13 @@ def cohort_base(orders: DataFrame, status: str = COMPLETED, hot_rows: int = HOT_
     )
 
 
+def cohort_span(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
+    """C2p's figures: cohorts (number of cohort months) and max_month_number, from the few rows per
+    (buyer, month)."""
+    return cohort_activity(orders, status).agg(F.count_distinct("cohort_start").alias("cohorts"),
+                                               F.max("month_number").alias("max_month_number"))
+
+
 def cohort_revenue(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
     """cohort_month, purchase_month, month_number, total_orders, cohort_revenue,
     avg_order_value."""
@@ -220,29 +232,31 @@ def ltv_latest(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
     return _ltv_latest(cohort_cells(orders, status))
 
 
-def retention_matrix_wide(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
+def retention_matrix_wide(orders: DataFrame, status: str = COMPLETED,
+                          months: Sequence[int] | None = None) -> DataFrame:
     """C5 as a matrix: cohort_month, M0, M1, ... (one column per observed month number)."""
-    return pivot_wide(_retention_long(cohort_cells(orders, status)), *_BY_CELL, "retention_pct", "M")
+    return pivot_wide(_retention_long(cohort_cells(orders, status)), *_BY_CELL, "retention_pct", "M", months)
 
 
-def revenue_matrix_wide(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
+def revenue_matrix_wide(orders: DataFrame, status: str = COMPLETED,
+                        months: Sequence[int] | None = None) -> DataFrame:
     """C6 as a matrix: cohort_month, M0, M1, ..."""
-    return pivot_wide(_revenue_long(cohort_cells(orders, status)), *_BY_CELL, "revenue", "M")
+    return pivot_wide(_revenue_long(cohort_cells(orders, status)), *_BY_CELL, "revenue", "M", months)
 
 
-def ltv_matrix_wide(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
+def ltv_matrix_wide(orders: DataFrame, status: str = COMPLETED,
+                    months: Sequence[int] | None = None) -> DataFrame:
     """C7 as a matrix: cohort_month, M0, M1, ... (NULL where the month is unobserved)."""
-    return pivot_wide(_ltv_long(cohort_cells(orders, status)), *_BY_CELL, "ltv", "M")
+    return pivot_wide(_ltv_long(cohort_cells(orders, status)), *_BY_CELL, "ltv", "M", months)
 
 
 def cohort_report(orders: DataFrame, status: str = COMPLETED) -> dict[str, DataFrame]:
     """All cohort metrics from one computation of the shared cells.
 
-    The orders scan, the per-(user, month) reduction and the cohort window run once; the
-    small cells frame is checkpointed into the session's checkpoint folder (when one is
-    configured) and every metric — sizes, retention, revenue, per-user value, matrices,
-    LTV — is a cheap projection or aggregate of it."""
-    cells = materialize(cohort_cells(orders, status))
+    The orders scan, the per-(user, month) reduction and the cohort window run once: the small
+    cells frame is persisted, and every metric — sizes, retention, revenue, per-user value,
+    matrices, LTV — is a cheap projection or aggregate of it."""
+    cells = cohort_cells(orders, status).persist()
     out = {
         "cohort_sizes": _sizes(cells),
         "cohort_retention": _retention(cells),

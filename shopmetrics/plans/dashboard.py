@@ -16,23 +16,12 @@ from shopmetrics.model import COMPLETED
 from shopmetrics.operators.aggregates import ordered
 
 
-def enrich(orders: DataFrame, sessions: DataFrame | None = None, users: DataFrame | None = None) -> DataFrame:
-    """Orders left-joined to the session columns and / or the user columns of X1.
-
-    A worksheet that reads only user columns joins only users: a left join whose right
-    side Catalyst cannot prove unique is otherwise kept, with its shuffle."""
-    out = orders
-    if sessions is not None:
-        out = out.join(sessions.select("session_id", "device_type", "channel"), "session_id", "left")
-    if users is not None:
-        out = out.join(users.select("user_id", "country", "age_group", "acquisition_channel"), "user_id", "left")
-    return out
-
-
 def orders_enriched(orders: DataFrame, sessions: DataFrame, users: DataFrame) -> DataFrame:
     """Each order with its session's device and channel and its user's country, age
     group and acquisition channel (left joins: every order kept once per match)."""
-    return enrich(orders, sessions, users).select(
+    out = orders.join(sessions.select("session_id", "device_type", "channel"), "session_id", "left")
+    out = out.join(users.select("user_id", "country", "age_group", "acquisition_channel"), "user_id", "left")
+    return out.select(
         "order_id", "session_id", "user_id", "order_date", "total_amount", "discount_amount", "payment_method",
         "status", "device_type", "channel", "country", "age_group", "acquisition_channel")
 
@@ -96,29 +85,39 @@ def trend_month_part(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
 def revenue_by_payment(orders: DataFrame) -> DataFrame:
     """payment_method, revenue over all orders (no status filter)."""
     g = orders.groupBy("payment_method").agg(F.sum("total_amount").alias("_rev"))
-    return g.select("payment_method", round_n("_rev", 2).alias("revenue")).transform(ordered(F.col("revenue").desc()))
+    return g.select("payment_method", round_n("_rev", 2).alias("revenue")).transform(ordered(F.col("revenue").desc(), "payment_method"))
+
 
+def _measures_by_key(orders: DataFrame, key: str, dimension: DataFrame, column: str) -> DataFrame:
+    """``column``, sum and count of total_amount over orders left-joined to ``dimension`` on ``key``.
 
-def revenue_by_acq_channel(enriched: DataFrame, status: str = COMPLETED) -> DataFrame:
+    Both measures add up, so orders are reduced per key first (map-side): one row per
+    buyer or session and map task is shuffled, whatever the number of its orders, and a third
+    of all orders on one key is one row before the join."""
+    per_key = orders.groupBy(key).agg(F.sum("total_amount").alias("_s"), F.count("total_amount").alias("_n"))
+    return per_key.join(dimension.select(key, column), key, "left").groupBy(column).agg(
+        F.sum("_s").alias("_rev"), F.sum("_n").alias("_n"))
+
+
+def revenue_by_acq_channel(orders: DataFrame, users: DataFrame, status: str = COMPLETED) -> DataFrame:
     """acquisition_channel, revenue, aov, avg_line (mean of the channel revenues,
     the reference line), completed orders, descending by revenue."""
-    g = _completed(enriched, status).groupBy("acquisition_channel").agg(
-        F.sum("total_amount").alias("_rev"), exact_avg("total_amount").alias("_aov"))
+    g = _measures_by_key(_completed(orders, status), "user_id", users, "acquisition_channel")
     line = F.avg(F.col("_rev").cast("double")).over(Window.partitionBy())
-    return g.select("acquisition_channel", round_n("_rev", 2).alias("revenue"), round_n("_aov", 2).alias("aov"),
+    return g.select("acquisition_channel", round_n("_rev", 2).alias("revenue"), round_n(ratio("_rev", "_n"), 2).alias("aov"),
                     round_n(line, 2).alias("avg_line")).transform(ordered(F.col("revenue").desc(), "acquisition_channel"))
 
 
-def revenue_by_country(enriched: DataFrame) -> DataFrame:
+def revenue_by_country(orders: DataFrame, users: DataFrame) -> DataFrame:
     """Country, revenue over all orders (no status filter)."""
-    g = enriched.groupBy("country").agg(F.sum("total_amount").alias("_rev"))
-    return g.select("country", round_n("_rev", 2).alias("revenue")).transform(ordered(F.col("revenue").desc()))
+    g = _measures_by_key(orders, "user_id", users, "country")
+    return g.select("country", round_n("_rev", 2).alias("revenue")).transform(ordered(F.col("revenue").desc(), "country"))
 
 
-def revenue_by_device_all(enriched: DataFrame) -> DataFrame:
+def revenue_by_device_all(orders: DataFrame, sessions: DataFrame) -> DataFrame:
     """device_type (session device), revenue over all orders, descending."""
-    g = enriched.groupBy("device_type").agg(F.sum("total_amount").alias("_rev"))
-    return g.select("device_type", round_n("_rev", 2).alias("revenue")).transform(ordered(F.col("revenue").desc()))
+    g = _measures_by_key(orders, "session_id", sessions, "device_type")
+    return g.select("device_type", round_n("_rev", 2).alias("revenue")).transform(ordered(F.col("revenue").desc(), "device_type"))
 
 
 def retention_lod(orders: DataFrame, status: str = COMPLETED, month_part: bool = False) -> DataFrame:
@@ -133,7 +132,7 @@ def retention_lod(orders: DataFrame, status: str = COMPLETED, month_part: bool =
     worksheet's MONTH pill does: cohorts of different years then share a row; their
     (disjoint) retained users add up and the size is the MIN over the merged cohorts,
     as ``COUNTD(user) / MIN(size)`` evaluates there."""
-    um = orders.groupBy("user_id", month_start("order_date").alias("order_start")).agg(
+    um = orders.where(F.col("user_id").isNotNull()).groupBy("user_id", month_start("order_date").alias("order_start")).agg(
         F.max(F.when(F.col("status") == status, F.lit(1)).otherwise(F.lit(0))).alias("done"))
     um = um.withColumn("cohort_start", F.min("order_start").over(Window.partitionBy("user_id"))) \
         .withColumn("month_number", month_diff("cohort_start", "order_start"))

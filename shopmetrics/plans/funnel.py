@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 from shopmetrics.functions.exprs import pct, period_key, period_name, share_pct
 from shopmetrics.model import COMPLETED, STAGES
 from shopmetrics.operators.aggregates import ordered, top_k
-from shopmetrics.operators.funnel_ops import stage_dimension, stage_user_counts, user_stage_flags, wide_to_long
-from shopmetrics.operators.reuse import materialize
+from shopmetrics.operators.funnel_ops import stage_user_counts, user_stage_flags, wide_to_long
 
 
 def _sum_flags(flags: DataFrame, dims: Sequence[str], stages: Sequence[str], suffix: str = "") -> DataFrame:
@@ -33,10 +32,10 @@ def _overall_from(wide: DataFrame, stages: Sequence[str]) -> DataFrame:
 
 
 def _rates_from(wide: DataFrame, stages: Sequence[str]) -> DataFrame:
-    counts = _overall_from(wide, stages).withColumn("unique_users", F.nullif(F.col("unique_users"), F.lit(0)))
+    args = ", ".join(f"{i}, '{s}', nullif(`{s}`, 0)" for i, s in enumerate(stages))
+    j = wide.selectExpr(f"stack({len(stages)}, {args}) as (ordinal, stage, unique_users)")
     # Five rows: the ordered windows below run on one partition of a tiny frame.
     w = Window.orderBy("ordinal")
-    j = stage_dimension(wide.sparkSession, stages).join(counts, "stage", "left")
     top = F.first("unique_users").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     prev = F.lag("unique_users").over(w)
     return j.select(
@@ -193,13 +192,13 @@ def funnel_report(events: DataFrame, sessions: DataFrame, users: DataFrame,
 
     Events are reduced once to stage flags per (device, channel, user) — left-joined to
     sessions, so events without a known session still count in the overall funnel —
-    and that frame is checkpointed into the session's checkpoint folder when one is
-    configured.  Every metric is then an aggregate of those flags (at most one row per
-    user and session dimension pair), never a rescan of events."""
+    and that frame is persisted (the caller unpersists it with the last output).  Every metric is
+    then an aggregate of those flags (at most one row per user and session dimension
+    pair), never a rescan of events."""
     per_session = user_stage_flags(events, ["session_id"], stages)
     s = sessions.select("session_id", "device_type", "channel", F.lit(1).alias("_in_session"))
     joined = per_session.join(s, "session_id", "left")
-    base = materialize(_max_flags(joined, ["device_type", "channel", "_in_session", "user_id"], stages))
+    base = _max_flags(joined, ["device_type", "channel", "_in_session", "user_id"], stages).persist()
     per_user = _max_flags(base, ["user_id"], stages)
     wide = _sum_flags(per_user, [], stages)
     in_session = base.where(F.col("_in_session") == 1)
@@ -229,10 +228,10 @@ def cart_abandonment(events: DataFrame, order_items: DataFrame, orders: DataFram
     completed order.  The distinct cart pairs, the distinct bought pairs and the left
     join between them are one aggregation over the union of both pair sets, keyed by
     (product, user): one shuffle instead of two distincts and a join, and a hot product
-    is still spread over its users."""
+    is still spread over its users.  A NULL user never bought anything: NULL matches no order."""
     cart = events.where((F.col("event_type") == "add_to_cart") & F.col("product_id").isNotNull()).select(
         "product_id", "user_id", F.lit(1).alias("in_cart"), F.lit(0).alias("bought"))
-    done = orders.where(F.col("status") == status).select("order_id", "user_id")
+    done = orders.where((F.col("status") == status) & F.col("user_id").isNotNull()).select("order_id", "user_id")
     bought = order_items.select("order_id", "product_id").join(done, "order_id").select(
         "product_id", "user_id", F.lit(0).alias("in_cart"), F.lit(1).alias("bought"))
     pairs = cart.unionByName(bought).groupBy("product_id", "user_id").agg(

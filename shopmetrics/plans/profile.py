@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopmetrics.functions.exprs import exact_avg, pct, round_n, share_pct
-from shopmetrics.model import CHECKS, COMPLETED, FOREIGN_KEYS, NOT_NULL, PRIMARY_KEYS
+from shopmetrics.model import CHECKS, COMPLETED, FOREIGN_KEYS, key_of, required
 from shopmetrics.operators import quality as Q
 from shopmetrics.operators.aggregates import equal_width_histogram, ordered, value_counts
 from shopmetrics.operators.funnel_ops import wide_to_long
@@ -28,9 +28,9 @@ def null_profile(tables: Mapping[str, DataFrame]) -> DataFrame:
     return Q.null_profile(tables)
 
 
-def duplicate_keys(tables: Mapping[str, DataFrame], keys: Mapping[str, list[str]] = PRIMARY_KEYS) -> DataFrame:
+def duplicate_keys(tables: Mapping[str, DataFrame], keys: Mapping[str, list[str]] | None = None) -> DataFrame:
     """Table, key, duplicates (rows minus distinct key values)."""
-    return Q.duplicate_keys(tables, keys)
+    return Q.duplicate_keys(tables, keys or {n: key_of(n, df.columns) for n, df in tables.items()})
 
 
 def date_ranges(sessions: DataFrame, orders: DataFrame) -> DataFrame:
@@ -159,35 +159,16 @@ def rule_violations(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Rule, violations — the declared PK / NOT NULL / CHECK / FK rules of the
     schema, counted rather than enforced (no storage engine here to enforce them).
 
-    One aggregate pass per table counts all its NOT NULL and CHECK violations; one
-    grouping per referenced table counts its key duplicates and the orphans of every
-    foreign key pointing at it; the remaining primary keys take one grouping each."""
-    parts: list[DataFrame] = []
-    for name, cols in NOT_NULL.items():
-        if name not in tables:
-            continue
-        df = tables[name]
-        key_cols = [c for c in PRIMARY_KEYS.get(name, []) if c not in cols]
-        checks = [c for c in dict.fromkeys(key_cols + cols) if c in df.columns]
-        rules = [(f"not_null:{name}.{c}", F.col(c).isNull()) for c in checks]
-        rules += [(f"check:{t}.{c}", F.col(c).isNotNull() & ~F.col(c).isin(*allowed))
-                  for t, c, allowed in CHECKS if t == name]
-        counts = df.agg(*[F.count(F.when(cond, F.lit(1))).alias(f"_r{i}") for i, (_, cond) in enumerate(rules)])
-        args = ", ".join(f"'{r}', `_r{i}`" for i, (r, _) in enumerate(rules))
-        parts.append(counts.selectExpr(f"stack({len(rules)}, {args}) as (rule, violations)"))
-    referenced: dict[tuple[str, str], list[tuple[str, DataFrame, str]]] = {}
-    for child, c, parent, pc in FOREIGN_KEYS:
-        if child in tables and parent in tables:
-            referenced.setdefault((parent, pc), []).append((child, tables[child], c))
-    for (parent, pc), children in referenced.items():
-        parts.append(Q.key_audit(parent, tables[parent], pc, children))
-    for name, key in PRIMARY_KEYS.items():
-        if name not in tables or (len(key) == 1 and (name, key[0]) in referenced):
-            continue
-        dup = Q.duplicate_count(tables[name], key)
-        parts.append(dup.select(F.lit(f"primary_key_unique:{name}({','.join(key)})").alias("rule"),
-                                F.col("duplicates").alias("violations")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("rule", F.col("violations").cast("long").alias("violations"))
+    Every table is read once, and one grouping over all keys, references and broken conditions
+    counts everything (``operators/quality.py:audit``)."""
+    def unique(name: str) -> str:
+        return f"primary_key_unique:{name}({','.join(key_of(name, tables[name].columns))})"
+
+    audits = []
+    for name, df in tables.items():
+        conditions = [(F.col(c).isNull(), f"not_null:{name}.{c}") for c in required(name, df.columns) if c in df.columns]
+        conditions += [(F.col(c).isNotNull() & ~F.col(c).isin(*allowed), f"check:{t}.{c}") for t, c, allowed in CHECKS if t == name]
+        references = [(c, unique(parent), f"foreign_key:{name}.{c}->{parent}.{pc}")
+                      for child, c, parent, pc in FOREIGN_KEYS if child == name and parent in tables]
+        audits.append(Q.Audit(df, key_of(name, df.columns), unique(name), references, conditions))
+    return Q.audit(audits)

@@ -25,7 +25,7 @@ FILTER_CHANNEL = "BUILDING"
 
 def _q(fn: Callable[[DriverTables], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(DriverTables.of(spark, sf_dir))
+        return fn(DriverTables(spark, sf_dir))
 
     run.__doc__ = fn.__doc__
     return run
@@ -34,6 +34,8 @@ def _q(fn: Callable[[DriverTables], DataFrame]) -> Query:
 def revenue_queries() -> dict[str, Query]:
     return {
         "revenue_monthly": _q(lambda t: R.revenue_monthly(t.orders)),
+        "revenue_weekly": _q(lambda t: R.revenue_monthly(t.orders, grain="week")),
+        "revenue_month_of_year": _q(lambda t: R.revenue_monthly(t.orders, grain="month_of_year")),
         "revenue_monthly_completed": _q(lambda t: R.revenue_monthly_completed(t.orders)),
         "revenue_by_channel": _q(lambda t: R.revenue_by_channel(t.orders, t.sessions)),
         "revenue_by_device": _q(lambda t: R.revenue_by_device(t.orders, t.sessions)),
@@ -77,7 +79,7 @@ def funnel_queries() -> dict[str, Query]:
 
 
 def cohort_queries() -> dict[str, Query]:
-    names = ["cohort_sizes", "cohort_retention", "cohort_base", "cohort_revenue", "cohort_user_value",
+    names = ["cohort_sizes", "cohort_retention", "cohort_base", "cohort_span", "cohort_revenue", "cohort_user_value",
              "cohort_engagement", "retention_matrix", "revenue_matrix", "ltv_curve", "ltv_latest",
              "retention_matrix_wide", "revenue_matrix_wide", "ltv_matrix_wide"]
     return {n: _q(lambda t, fn=getattr(C, n): fn(t.orders)) for n in names}
@@ -113,9 +115,9 @@ def dashboard_queries() -> dict[str, Query]:
         "kpi_aov": _q(lambda t: D.kpi_aov(t.orders)),
         "trend_month_part": _q(lambda t: D.trend_month_part(t.orders)),
         "revenue_by_payment": _q(lambda t: D.revenue_by_payment(t.orders)),
-        "revenue_by_acq_channel": _q(lambda t: D.revenue_by_acq_channel(D.enrich(t.orders, users=t.users))),
-        "revenue_by_country": _q(lambda t: D.revenue_by_country(D.enrich(t.orders, users=t.users))),
-        "revenue_by_device_all": _q(lambda t: D.revenue_by_device_all(D.enrich(t.orders, sessions=t.sessions))),
+        "revenue_by_acq_channel": _q(lambda t: D.revenue_by_acq_channel(t.orders, t.users)),
+        "revenue_by_country": _q(lambda t: D.revenue_by_country(t.orders, t.users)),
+        "revenue_by_device_all": _q(lambda t: D.revenue_by_device_all(t.orders, t.sessions)),
         "retention_lod": _q(lambda t: D.retention_lod(t.orders)),
         "retention_lod_month_part": _q(lambda t: D.retention_lod(t.orders, month_part=True)),
         "revenue_monthly_acq_filtered": _q(lambda t: R.revenue_monthly(

@@ -1,13 +1,12 @@
 """Session helpers for tests, the bench and local runs.
 
 Library functions never create sessions; they take DataFrames.  On a cluster the
-caller's session (and its ``spark.checkpoint.dir``) is used as is.
+caller's session is used as is.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -27,31 +26,4 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
-
-
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The session's checkpoint folder (``spark.checkpoint.dir`` or one set on the
-    context), or None.  Never creates one: on a cluster only the shared folder the
-    cluster names is used."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-        return configured
-    return None
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """For local tests and the bench: the configured checkpoint folder, or a scratch
-    folder when the session names none."""
-    current = checkpoint_dir(spark)
-    if current:
-        return current
-    path = tempfile.mkdtemp(prefix="shopmetrics-ckpt-")
-    spark.sparkContext.setCheckpointDir(path)
-    return path

@@ -11,7 +11,7 @@ Mapping (see FIXTURES.md §3):
              name, acquisition_channel = market segment, device from ``custkey mod 3``.
 * products = part; subcategory = type, cost = 0.55 · price.
 * events   = events relabelled onto the five funnel stages; the session is
-             ``-(user_id·1000 + day_of_year(ts))``; ``product_id = props.k`` on
+             ``-(year(ts)·18·10^12 + user_id·1000 + day_of_year(ts))``; ``product_id = props.k`` on
              product_view / add_to_cart.
 * sessions = one per event session (first event) ∪ one per order; channel and device
              are read off the session id.
@@ -41,14 +41,17 @@ EVENT_RELABEL = {
 ORDER_STATUS_RELABEL = {"F": "completed", "O": "returned", "P": "cancelled"}
 PRODUCT_EVENTS = ["product_view", "add_to_cart"]
 COST_RATIO = "0.55"
+# Distance of two years' session ids: beyond any user's part, and a multiple of 18, so that channel and
+# device (read off the id) don't depend on the year.
+YEAR_STEP = 18_000_000_000_000
 # ---------------------------------------------------------------------------
 
 
 def decimal_of(c: Column, dtype) -> Column:
     """double -> decimal, rounded half-up on 8 decimals first so binary noise of the
-    double (x.xx4999999 for x.xx5) cannot flip the rounding.  Precision 18 keeps the
-    per-row arithmetic on 64-bit unscaled values (row values below 10^10)."""
-    return F.round(c.cast("decimal(18,8)"), dtype.scale).cast(dtype)
+    double (x.xx4999999 for x.xx5) cannot flip the rounding.  Holds any value the target
+    type does."""
+    return F.round(c.cast("decimal(38,8)"), dtype.scale).cast(dtype)
 
 
 def _relabel(c: Column, mapping: dict[str, str]) -> Column:
@@ -59,8 +62,8 @@ def _relabel(c: Column, mapping: dict[str, str]) -> Column:
 
 
 def _pick(values: list[str], index: Column) -> Column:
-    """``values[index]`` for a 0-based integer index."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+    """``values[index]`` for a 0-based integer index; NULL for a NULL index."""
+    return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
 
 
 def session_channel(session_id: Column) -> Column:
@@ -68,15 +71,13 @@ def session_channel(session_id: Column) -> Column:
 
 
 def session_device(session_id: Column) -> Column:
-    return _pick(DEVICES, (F.abs(session_id) / len(CHANNELS)).cast("long") % len(DEVICES))
+    return _pick(DEVICES, F.call_function("div", F.abs(session_id), F.lit(len(CHANNELS))) % len(DEVICES))
 
 
 def users_from(customer: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
-    # nation and region are fixed-size dimensions (25 and 5 rows at every scale factor),
-    # so broadcasting them is bounded; customer is streamed without a shuffle.
     n = nation.select("n_nationkey", "n_name", "n_regionkey")
     r = region.select("r_regionkey", "r_name")
-    geo = F.broadcast(n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey, "left"))
+    geo = n.join(r, n.n_regionkey == r.r_regionkey, "left")
     c = customer.select("c_custkey", "c_nationkey", "c_mktsegment")
     j = c.join(geo, c.c_nationkey == geo.n_nationkey, "left")
     return j.select(
@@ -109,7 +110,7 @@ def events_from(events: DataFrame) -> DataFrame:
     e = events.select("event_id", "ts", "user_id", "event_type", "props").withColumn("stage", stage)
     return e.select(
         F.col("event_id"),
-        (-(F.col("user_id") * 1000 + F.dayofyear("ts"))).alias("session_id"),
+        (-(F.year("ts") * F.lit(YEAR_STEP) + F.col("user_id") * 1000 + F.dayofyear("ts"))).alias("session_id"),
         F.col("user_id"),
         F.col("stage").alias("event_type"),
         F.when(F.col("stage").isin(*PRODUCT_EVENTS), F.get_json_object("props", "$.k").cast("long"))
@@ -184,26 +185,14 @@ class DriverTables:
     """Lazily derived canonical tables over one directory of driver parquet files.
 
     Each property is a logical plan only; nothing is read until an action runs, and
-    only the columns a metric touches are scanned.
+    only the columns a metric touches are scanned.  An object keeps the file listing of its
+    first use; make one per computation to see files added since.
     """
 
-    _registry: dict[tuple[int, str], DriverTables] = {}
-
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
 
-    @classmethod
-    def of(cls, spark: SparkSession, sf_dir: str) -> DriverTables:
-        """The table definitions for ``sf_dir`` in this session, built once and reused
-        (like views in a catalog): later metrics skip re-listing files and re-analysing
-        the adapter plans.  Only plans are kept, never data."""
-        key = (id(spark), sf_dir.rstrip("/"))
-        tables = cls._registry.get(key)
-        if tables is None or tables.spark is not spark:
-            tables = cls._registry[key] = cls(spark, sf_dir)
-        return tables
-
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 

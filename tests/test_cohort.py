@@ -81,10 +81,8 @@ def test_cohort_report_equals_individual_metrics(spark):
         assert rows(df) == rows(getattr(C, name)(o)), name
 
 
-def test_cohort_base_hot_buyers_split_off(spark):
+def test_cohort_base_salts(spark):
     o = make_orders(spark)
     plain = sorted(rows(C.cohort_base(o)))
-    split = sorted(rows(C.cohort_base(o, hot_rows=1)))   # users 1, 3 (2+ completed) are "hot"
-    assert plain == split and len(plain) == 4
-    plan = C.cohort_base(o, hot_rows=1)._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan
+    assert plain == sorted(rows(C.cohort_base(o, salts=1))) == sorted(rows(C.cohort_base(o, salts=5)))
+    assert len(plain) == o.where("status = 'completed'").count()

@@ -27,8 +27,8 @@ def test_enriched_orders_keep_every_order(spark):
     o, s, u = make_orders(spark), make_sessions(spark), make_users(spark)
     x1 = D.orders_enriched(o, s, u)
     assert x1.count() == 8
-    assert dict(rows(D.revenue_by_country(D.enrich(o, users=u)))) == {"US": 560.0}
-    by_channel = rows(D.revenue_by_acq_channel(D.enrich(o, users=u)))
+    assert dict(rows(D.revenue_by_country(o, u))) == {"US": 560.0}
+    by_channel = rows(D.revenue_by_acq_channel(o, u))
     assert by_channel == [("email", 380.0, 95.0, 380.0)]           # completed only; one channel = its own mean
     # orders' sessions 1..8 are unknown to the session fixture: device is NULL, revenue kept
-    assert rows(D.revenue_by_device_all(D.enrich(o, sessions=s))) == [(None, 560.0)]
+    assert rows(D.revenue_by_device_all(o, s)) == [(None, 560.0)]

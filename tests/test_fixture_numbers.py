@@ -19,7 +19,7 @@ pytestmark = pytest.mark.skipif(not os.path.exists(SF), reason="driver tables no
 
 @pytest.fixture(scope="module")
 def t(spark):
-    return DriverTables.of(spark, SF)
+    return DriverTables(spark, SF)
 
 
 def test_sessions(t):

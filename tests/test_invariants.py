@@ -17,7 +17,7 @@ pytestmark = pytest.mark.skipif(not os.path.exists(SF_SMALL), reason="driver tab
 
 @pytest.fixture(scope="module")
 def t(spark):
-    return DriverTables.of(spark, SF_SMALL)
+    return DriverTables(spark, SF_SMALL)
 
 
 def test_month_zero_retention_is_100(t):

@@ -9,6 +9,9 @@ from conftest import SF_SMALL, make_orders, make_users, rows
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from shopmetrics.oracle import all_sql
+from shopmetrics.plans.registry import all_queries
+from shopmetrics.sources.adapters import DriverTables
 from shopmetrics.plans import dashboard as D
 from shopmetrics.plans import revenue as R
 
@@ -26,12 +29,13 @@ def test_entry_smoke(spark):
 
 
 def test_every_metric_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(all_queries()) == set(all_sql())
+    assert set(all_queries()) <= set(entry.queries()) and set(all_sql()) <= set(entry.oracle_sql())
 
 
 def test_no_cartesian_products_and_no_expand_in_funnels(spark):
     bad = {}
-    for name, q in entry.queries().items():
+    for name, q in all_queries().items():
         plan = _plan(q(spark, SF_SMALL))
         for op in ("CartesianProduct", "BroadcastNestedLoopJoin"):
             if op in plan:
@@ -67,3 +71,69 @@ def test_t10_month_part_merges_years(spark):
     out = rows(D.retention_lod(make_orders(spark, rows_), month_part=True))
     # January cohorts of 2023 (size 1) and 2024 (size 2) share row 1: 2 retained / min size 1
     assert out == [(1, 0, 2, 1, 2.0), (1, 1, 1, 2, 0.5)]
+
+
+@pytest.fixture()
+def no_broadcast(spark):
+    """The plans of large tables: no side is small enough to be broadcast."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    old = {k: spark.conf.get(k, None) for k in names}
+    for k in names:
+        spark.conf.set(k, "-1")
+    yield spark
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _shape(spark, name):
+    plan = _plan(all_queries()[name](spark, SF_SMALL))
+    return {"scans": plan.count("FileScan parquet"), "hash": plan.count("Exchange hashpartitioning"),
+            "single": plan.count("Exchange SinglePartition"), "list": plan.count("LocalTableScan"), "plan": plan}
+
+
+def test_audit_reads_each_table_once(no_broadcast):
+    s = _shape(no_broadcast, "rule_violations")
+    # users, sessions and orders are derived by joins and groupings of their own.
+    own = sum(_shape_of(df)["hash"] for df in DriverTables(no_broadcast, SF_SMALL).as_dict().values())
+    assert s["scans"] <= 11 and s["hash"] <= own + 2 and s["single"] == 1
+
+
+def _shape_of(df):
+    plan = _plan(df)
+    return {"hash": plan.count("Exchange hashpartitioning")}
+
+
+@pytest.mark.parametrize("name", ["revenue_by_subcategory", "revenue_by_subcategory_margin", "top_products_by_name"])
+def test_lines_are_shuffled_twice_only(no_broadcast, name):
+    assert _shape(no_broadcast, name)["hash"] <= 5
+
+
+def test_rates_make_no_frame_of_a_list(no_broadcast):
+    assert _shape(no_broadcast, "funnel_rates")["list"] == 0
+
+
+@pytest.mark.parametrize("name", ["revenue_by_acq_channel", "revenue_by_country", "revenue_by_device_all"])
+def test_orders_are_reduced_before_the_join(no_broadcast, name):
+    plan = _shape(no_broadcast, name)["plan"]
+    key = "session_id" if name.endswith("all") else "user_id"
+    # What crosses the first exchange of orders is a partial sum per key.
+    at = plan.index("partial_sum(total_amount")
+    assert f"keys=[{key}" in plan[plan.rindex("HashAggregate(", 0, at): at]
+
+
+def test_cohort_base_has_one_path(no_broadcast):
+    s = _shape(no_broadcast, "cohort_base")
+    assert s["scans"] <= 2 and "Broadcast" not in s["plan"]
+
+
+def test_matrices_write_no_files(spark, tmp_path):
+    from pyspark.sql import DataFrame
+
+    before = DataFrame.checkpoint
+    try:
+        DataFrame.checkpoint = None  # calling it would fail
+        for name in ("retention_matrix_wide", "revenue_matrix_wide", "ltv_matrix_wide"):
+            assert all_queries()[name](spark, SF_SMALL).count() > 0
+    finally:
+        DataFrame.checkpoint = before
+        spark.catalog.clearCache()

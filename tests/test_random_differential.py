@@ -16,12 +16,17 @@ import tempfile
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-import __spark_entry__ as entry
+from shopmetrics.oracle import all_sql
+from shopmetrics.plans import cohort
+from shopmetrics.plans.registry import all_queries
+from shopmetrics.sources.adapters import DriverTables
 
+TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "DATE": "date"}
 RAW = ["region", "nation", "customer", "part", "orders", "lineitem", "events"]
 
 
@@ -63,7 +68,7 @@ def make_driver_tables(root: str, seed: int = 11) -> None:
     dates = [start + dt.timedelta(days=int(d)) for d in rng.integers(0, 720, n_ord)]
     _write(root, "orders", pa.table({
         "o_orderkey": pa.array(range(n_ord), pa.int64()),
-        "o_custkey": pa.array(cust, pa.int64()),
+        "o_custkey": pa.array([None if i % 31 == 5 else int(c) for i, c in enumerate(cust)], pa.int64()),  # some without a buyer
         "o_orderstatus": status,
         "o_totalprice": rng.integers(1000, 5000000, n_ord) / 100.0,
         "o_orderdate": pa.array(dates, pa.timestamp("us")),
@@ -95,7 +100,7 @@ def make_driver_tables(root: str, seed: int = 11) -> None:
     _write(root, "events", pa.table({
         "event_id": pa.array(range(n_ev), pa.int64()),
         "ts": pa.array(ts, pa.timestamp("us")),
-        "user_id": pa.array(users, pa.int64()),
+        "user_id": pa.array([None if i % 29 == 3 else int(u) for i, u in enumerate(users)], pa.int64()),  # and without a user
         "event_type": rng.choice(["view", "click", "signup", "error", "purchase"], n_ev, p=[.4, .25, .15, .1, .1]),
         "value": rng.uniform(0, 100, n_ev).round(2),
         "props": [json.dumps({"k": int(k)}) for k in rng.integers(0, n_part, n_ev)],
@@ -103,6 +108,8 @@ def make_driver_tables(root: str, seed: int = 11) -> None:
 
 
 def _norm(v):
+    if v is pd.NA:
+        return None
     if isinstance(v, float) and math.isnan(v):
         return None
     if hasattr(v, "item"):
@@ -126,14 +133,22 @@ def test_all_metrics_match_oracle_on_skewed_tables(spark, skewed_dir):
     con = duckdb.connect()
     for t in RAW:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{skewed_dir}/{t}.parquet')")
-    sqls = entry.oracle_sql()
+    months = sorted(r[0] for r in cohort.cohort_cells(DriverTables(spark, skewed_dir).orders)
+                    .select("month_number").distinct().collect())
+    sqls = all_sql(months)
     mismatched = {}
-    for name, q in entry.queries().items():
-        s = q(spark, skewed_dir).toPandas()
-        d = con.execute(sqls[name]).df()
+    for name, q in all_queries().items():
+        found = q(spark, skewed_dir)
+        s = found.toPandas()
+        con.execute(f"CREATE OR REPLACE VIEW oracle_{name} AS {sqls[name]}")  # as the driver does
+        rel = con.sql(f"SELECT * FROM oracle_{name}")
+        types = {c: str(t).split("(")[0] for c, t in zip(rel.columns, rel.types)}
+        d = rel.df()
         cols = sorted(s.columns)
         if cols != sorted(d.columns):
             mismatched[name] = "columns"
+        elif {c: TYPES.get(t, t) for c, t in types.items()} != {f.name: f.dataType.simpleString().split("(")[0] for f in found.schema}:
+            mismatched[name] = f"types {types}"
         elif _rows(s, cols) != _rows(d, cols):
             mismatched[name] = f"values ({len(s)} vs {len(d)} rows)"
     assert mismatched == {}

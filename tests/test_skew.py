@@ -1,5 +1,5 @@
 """Hot keys: AQE splits skewed shuffle joins between plain tables; per-key aggregate joins
-split hot keys explicitly.  Thresholds are scaled down to the size of the generated data."""
+are salted.  Thresholds are scaled down to the size of the generated data."""
 
 from __future__ import annotations
 
@@ -55,12 +55,18 @@ def test_hot_buyer_join_is_split_by_aqe(scaled, skewed_many_splits):
     assert "SortMergeJoin(skew=true)" in plan
 
 
-def test_hot_buyer_cohort_join_uses_broadcast_for_hot_keys(scaled, skewed_many_splits):
+def test_hot_buyer_cohort_rows_are_spread(scaled, skewed_many_splits):
+    """The orders of the buyer with a third of all meet its first month in many partitions, with the plain result."""
+    from pyspark.sql import functions as F
+
     from shopmetrics.plans import cohort as C
     from shopmetrics.sources.adapters import DriverTables
 
-    orders = DriverTables.of(scaled, skewed_many_splits).orders
-    split = C.cohort_base(orders, hot_rows=100)
-    plan = _final_plan(split)
-    assert "BroadcastHashJoin" in plan
-    assert sorted(split.collect()) == sorted(C.cohort_base(orders).collect())
+    orders = DriverTables(scaled, skewed_many_splits).orders
+    scaled.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        base = C.cohort_base(orders)
+        assert base.where("user_id = 7").select(F.spark_partition_id()).distinct().count() > 4
+        assert sorted(base.collect()) == sorted(C.cohort_base(orders, salts=1).collect())
+    finally:
+        scaled.conf.set("spark.sql.shuffle.partitions", "4")
