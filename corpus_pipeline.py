@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from shopmetrics.llm import decontaminate, langid, line_dedup, piece_bpe, simhash
 from shopmetrics.llm.common import free_prefix, shared_folder
-from shopmetrics.llm.queries import PIECE_MODEL
+from shopmetrics.llm.queries import piece_model
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return piece_bpe.encode_texts(docs.select("doc_id", "lang", "source", "text"), PIECE_MODEL, digest=True).drop("text")
+    return piece_bpe.encode_texts(docs.select("doc_id", "lang", "source", "text"), piece_model(), digest=True).drop("text")
 
 
 STAGES = [

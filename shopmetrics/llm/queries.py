@@ -5,18 +5,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shopmetrics.llm import decontaminate, embed_dedup, langid, line_dedup, oracle, piece_bpe, pseudonyms, shards, simhash, suffix_dedup, toxicity
 
-#: The tokenizer's vocabulary file.
-PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 #: The key of the registered query; a deployment passes its own secret.
 PSEUDONYM_KEY = b"registered query"
 
 
+def piece_model() -> str:
+    """The path of the tokenizer's vocabulary file; it is looked for when a query needs it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
 
@@ -78,7 +82,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_bpe.encode_texts(read(spark, sf_dir, "documents", "doc_id", "text"), PIECE_MODEL, digest=True).drop("text")
+    return piece_bpe.encode_texts(read(spark, sf_dir, "documents", "doc_id", "text"), piece_model(), digest=True).drop("text")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

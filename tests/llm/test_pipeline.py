@@ -8,7 +8,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from shopmetrics.llm.queries import PIECE_MODEL, oracle_sql, queries
+from shopmetrics.llm.queries import oracle_sql, piece_model, queries
 
 from .conftest import DOCS
 from .test_decontaminate import plain as plain_hits
@@ -31,7 +31,7 @@ def brute(docs, bench):
     keep = {i for i, f in fps if comp[f] == i}
     docs = [(i, t) for i, t in docs if i in keep]
     out = {}
-    sp = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
+    sp = sentencepiece.SentencePieceProcessor(model_file=piece_model())
     for i, t in docs:
         words, hit, _, _ = plain_hits(t, bench, 13)
         if hit and 20 * hit >= words:
