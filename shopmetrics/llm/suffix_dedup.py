@@ -44,8 +44,9 @@ LENGTH, GRAM, HALF = 100, 32, 34
 PREFIX = LENGTH - HALF
 #: Window starts hashed at a time, and bytes of text in a bucket of documents.
 SLICE, BUCKET_BYTES = 1 << 19, 32 << 20
-#: Sampled suffixes for each range, and bytes of them in a splitter.
-SAMPLE, SPLITTER = 32, 24
+#: Sampled suffixes for each range, bytes of them in a splitter, and ranges, at most: the driver sees
+#: SAMPLE * SPLITTER * RANGES bytes (50 MB), and every task SPLITTER * RANGES (1.5 MB).
+SAMPLE, SPLITTER, RANGES = 32, 24, 1 << 16
 #: Suffixes of a group beyond which its windows are compared in arrays.
 SMALL = 12
 
@@ -318,7 +319,7 @@ def covered(docs: DataFrame, buckets: int, rate: float, ranges: int) -> DataFram
     found = materialize(repeated_hashes(docs.select("bucket", "text"), buckets, rate))
     drawn = sorted(x[k: k + SPLITTER] for r in found.where("bucket < 0").select("hashes").collect() for x in [bytes(r[0])] for k in range(0, len(x), SPLITTER))
     splitters = sorted({drawn[len(drawn) * k // ranges] for k in range(1, ranges)}) if drawn else []
-    shared = docs.sparkSession.sparkContext.broadcast(splitters)  # bounded: SAMPLE a range
+    shared = docs.sparkSession.sparkContext.broadcast(splitters)  # bounded: SPLITTER * RANGES bytes
 
     def runs(key, left, right):
         bucket = key[0].as_py()
@@ -399,8 +400,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / bucket_bytes))
     docs = docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket"))
-    rate = min(1.0, SAMPLE * buckets * 26 / max(1, size))
-    spans = covered(docs, buckets, rate, buckets)
+    ranges = min(buckets, RANGES)
+    spans = covered(docs, buckets, min(1.0, SAMPLE * ranges * 26 / max(1, size)), ranges)
 
     def cut(key, left, right):
         number, known, nth, text, _ = texts_of(left)
