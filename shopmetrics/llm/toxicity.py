@@ -29,7 +29,7 @@ from shopmetrics.llm.decontaminate import multipliers, words_of
 from shopmetrics.llm.langid import held_out
 
 #: Training rows of each label, at most (about; hard limit twice as many).
-PER_CLASS, LEAST_DOCS, LEAST_Z = 2000, 8, 3.0
+PER_CLASS, LEAST_DOCS, LEAST_Z = 2000, 3, 4.0
 #: Hashed features, lengths of word beginnings in bytes, and bytes of text at a time.
 DIMS, BEGINNINGS, PIECE_BYTES = 1 << 18, (4, 5), 2 << 20
 THRESHOLD, OFFENDS = 0.3, 0.5
@@ -61,23 +61,24 @@ def features(data: np.ndarray, at: np.ndarray, factor: np.ndarray):
     return np.stack(mixed, 1).astype(np.int64), np.cumsum(new) - 1, doc[first], start[first], end[last]
 
 
-def train(idx: np.ndarray, sentence: np.ndarray, doc: np.ndarray, y: np.ndarray, steps: int = 150) -> dict:
-    """Adam on the log loss of the noisy-or; ``y`` by document."""
+def train(idx: np.ndarray, sentence: np.ndarray, doc: np.ndarray, y: np.ndarray, prior: float, steps: int = 150) -> dict:
+    """Adam on the log loss of the noisy-or; ``y`` by document, ``prior`` the share of toxic ones among all labelled."""
     n, n1 = len(y), int(y.sum())
-    by_doc = np.unique(np.repeat(doc[sentence], idx.shape[1]) * DIMS + idx.ravel())
+    by_doc = np.unique((doc[sentence].astype(np.uint32)[:, None] * np.uint32(DIMS) + idx.astype(np.uint32)).ravel())
     toxic = y[by_doc // DIMS] == 1
     in_1, in_0 = (np.bincount(by_doc[x] % DIMS, minlength=DIMS) for x in (toxic, ~toxic))
     rate = (in_1 + in_0) / n
     apart = (in_1 / n1 - in_0 / (n - n1)) / np.sqrt(np.maximum(rate * (1 - rate), 1e-12) * (1 / n1 + 1 / (n - n1)))
     used = np.flatnonzero((in_1 + in_0 >= LEAST_DOCS) & (apart >= LEAST_Z))
-    place = np.full(DIMS, len(used))
+    del by_doc
+    place = np.full(DIMS, len(used), np.int32)
     place[used] = np.arange(len(used))
     code = place[idx]
     some = (code < len(used)).any(1)
     code, sentence = code[some], sentence[some]
     w, bias = np.zeros(len(used) + 1), -6.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    share = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+    share = np.where(y == 1, prior / n1, (1 - prior) / (n - n1))
     for k in range(1, steps + 1):
         s = np.bincount(sentence, w[code].sum(1), minlength=len(doc)) + bias
         p = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
@@ -109,7 +110,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     pick = F.lit(False)
     for y, size in sizes.items():
         pick = pick | ((F.col("y") == y) & (draw < min(1 << 30, int((1 << 30) * per_class / size) + 1)))
-    marks = marks.where(pick)
+    # The sample has 2 * per_class rows a label at most, so it is broadcast and the texts stay where they lie.
+    marks = F.broadcast(marks.where(pick).limit(2 * per_class * len(sizes)))
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).join(marks, id_col).select("text", "y")
 
     def run(batches):
@@ -132,15 +134,16 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return None
     idx, sentence, doc, n = [], [], [], 0
     for d, (_, a, b) in enumerate(got):
-        s = np.frombuffer(b, np.int32).astype(np.int64)
+        s = np.frombuffer(b, np.int32)
         if len(s):
             idx.append(np.frombuffer(a, np.int32).reshape(len(s), -1))
-            sentence.append(s + n)
+            sentence.append(s + np.int32(n))
             doc += [d] * (int(s[-1]) + 1)
             n += int(s[-1]) + 1
     if not idx:
         return None
-    return train(np.concatenate(idx).astype(np.int64), np.concatenate(sentence), np.array(doc), np.array([y for y, _, _ in got]))
+    return train(np.concatenate(idx), np.concatenate(sentence), np.array(doc), np.array([y for y, _, _ in got]),
+                 sizes[1] / sum(sizes.values()))
 
 
 def sentence_scores(model: dict, data, at, factor):
