@@ -239,4 +239,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", back: bool
 
 def counts(spans: str = "pseudonyms") -> list:
     """A column with the number of pseudonyms of each kind."""
-    return [F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    def count(kind: str):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return [count(k) for k in KINDS]

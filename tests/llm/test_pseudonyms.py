@@ -70,6 +70,8 @@ def test_frame(lspark, make_docs):
     out = {r["doc_id"]: r for r in ps.pseudonymise(docs, b"k").collect()}
     assert out[0]["new_text"] is None and out[1]["new_text"] == "" and out[3]["new_text"] == "nothing"
     assert [s["kind"] for s in out[2]["pseudonyms"]] == ["phone"]
+    counted = ps.pseudonymise(docs, b"k").where("doc_id = 2").select(*ps.counts()).first().asDict()
+    assert counted == {f"n_{k}": int(k == "phone") for k in ps.KINDS}
     back = ps.pseudonymise(ps.pseudonymise(docs, b"k").select("doc_id", "new_text"), b"k", "new_text", back=True, prefix="x_")
     assert {r["doc_id"]: r["x_new_text"] for r in back.collect()} == {0: None, 1: "", 2: "call 988-555-2485", 3: "nothing"}
     assert ps.pseudonymise(make_docs([]), b"k").select("doc_id", *ps.counts()).collect() == []
