@@ -203,7 +203,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     found = near_duplicates(docs, id_col, text_col, **options)
     rest = materialize(found.where(F.col("id") == F.col("component")).groupBy("id").agg(F.count(F.lit(1)).alias("n")))
     k, n = free_name(docs, "kept_id"), free_name(docs, "kept_n")
-    kept = (docs.join(rest.select(F.col("id").alias(k), F.col("n").alias(n)), F.col(id_col) == F.col(k), "left")
+    # The ids grow with the documents, so they are merged at every size and never broadcast at some.
+    kept = (docs.join(rest.select(F.col("id").alias(k), F.col("n").alias(n)).hint("merge"), F.col(id_col) == F.col(k), "left")
             .where(F.col(k).isNotNull() | F.col(id_col).isNull()))
     if rest.where("n > 1").limit(1).count():
         single = F.col(n).isNull() | (F.col(n) == 1)
