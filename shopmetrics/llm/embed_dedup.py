@@ -37,6 +37,8 @@ COSINE = 0.98
 SAMPLE, CODE, ROUNDS = 10_000, 64, 30
 #: Hamming tables, bits of their substrings, and rows of a bucket beyond which it is dealt over tiles.
 TABLES, BITS, TILE = 10, 12, 512
+#: Rows of a block up to which its pairs are compared together with those of other blocks.
+SMALL = 6
 
 
 def learn(x: np.ndarray, code: int = CODE, rounds: int = ROUNDS, seed: int = 7) -> dict:
@@ -123,18 +125,6 @@ def entries(distinct: DataFrame, model: dict) -> DataFrame:
             .mapInArrow(run, f"table int, key int, label {kind}, size int, node long, n long, vec {vec}, keys array<int>"))
 
 
-def compare(x, u, y, v, cosine):
-    """Index pairs of rows of two blocks whose cosine, in double precision, reaches the threshold."""
-    near = u @ v.T
-    i, j = np.nonzero(near >= cosine - 1e-9)
-    edge = np.flatnonzero(near[i, j] < cosine + 1e-9)
-    exact = np.ones(len(i), bool)
-    for k in edge.tolist():
-        a, b = x[i[k]], y[j[k]]
-        exact[k] = a @ b / (np.sqrt(a @ a) * np.sqrt(b @ b)) >= cosine
-    return i[exact], j[exact]
-
-
 def forest(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
     """A spanning forest of the links i-j among n rows."""
     up, out = list(range(n)), []
@@ -162,29 +152,6 @@ def links(rows: DataFrame, cosine: float = COSINE, tile: int = TILE) -> DataFram
         both = both.withColumn("own", own).withColumn("other", other)
         rows = both.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "g")
 
-    def block_rows(part: pa.Table):
-        """What the rows of one block give."""
-        x, u = unit(part["vec"].combine_chunks())
-        keys = part["keys"].combine_chunks().flatten().to_numpy().reshape(len(x), TABLES)
-        table, first, second = (part[c][0].as_py() for c in ("table", "i", "j"))
-        node, n, own = (part[c].to_numpy() for c in ("node", "n", "own"))
-        a = np.flatnonzero(own == first)
-        b = np.flatnonzero(own == second) if first != second else a
-        found = [(np.zeros(0, np.int64),) * 2]
-        for k in range(0, len(a), 1024):
-            for m in range(0, len(b), 1024):
-                i, j = compare(x[a[k: k + 1024]], u[a[k: k + 1024]], x[b[m: m + 1024]], u[b[m: m + 1024]], cosine)
-                found.append((a[i + k], b[j + m]))
-        i, j = (np.concatenate(c) for c in zip(*found))
-        new = ~(keys[i, :table] == keys[j, :table]).any(1)  # else they met in an earlier table
-        if first == second:
-            new &= i < j
-        i, j = i[new], j[new]
-        degree = np.bincount(i, n[j], len(x)) + np.bincount(j, n[i], len(x))
-        some, pairs = np.flatnonzero(degree), forest(i, j, len(x))
-        return ([*node[some], *node[[p for p, _ in pairs]]] if pairs else [], [None] * len(some) + [node[q] for _, q in pairs],
-                [*degree[some].astype(np.int64)] + [0] * len(pairs))
-
     def run(batches):
         names, kept = [*bucket, "i", "j"], None
         for batch in chain(batches, [None]):  # None: no more rows
@@ -198,13 +165,60 @@ def links(rows: DataFrame, cosine: float = COSINE, tile: int = TILE) -> DataFram
                 new |= np.asarray(pc.not_equal(v[1:], v[:-1]))
             at = np.concatenate([[0], np.flatnonzero(new) + 1, [len(part)]])
             end = len(at) - 1 if last else len(at) - 2
-            out = ([], [], [])
-            for k in np.flatnonzero(np.diff(at[: end + 1]) > 1):
-                for o, r in zip(out, block_rows(part.slice(at[k], at[k + 1] - at[k]))):
-                    o += r
             kept = part.slice(at[end])
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=["a", "b", "d"])
+            size = part["size"].to_numpy()
+            for d in np.unique(size[: at[end]]):  # one length of vectors at a time
+                blocks = np.flatnonzero((np.diff(at[: end + 1]) > 1) & (size[at[:end]] == d))
+                if len(blocks):
+                    yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in within(part, at[blocks], at[blocks + 1])], names=["a", "b", "d"])
+
+    def within(part: pa.Table, first: np.ndarray, end: np.ndarray):
+        """What blocks of two rows or more, all of one length of vectors, give: columns a, b and d."""
+        rows = np.concatenate([np.arange(s, e) for s, e in zip(first, end)])
+        part = part.take(pa.array(rows))
+        x, u = unit(part["vec"].combine_chunks())
+        keys = part["keys"].combine_chunks().flatten().to_numpy().reshape(len(x), TABLES)
+        table, own, one, two, node, n = (part[c].to_numpy() for c in ("table", "own", "i", "j", "node", "n"))
+        size = end - first
+        start = np.cumsum(size) - size
+        found = []
+        for k in range(2, SMALL + 1):  # small blocks (nearly all): every pair of a block, all blocks of k rows at once
+            some = start[(size == k) & (one[start] == two[start])]
+            i, j = np.triu_indices(k, 1)
+            i, j = (some[:, None] + i).ravel(), (some[:, None] + j).ravel()
+            for m in range(0, len(i), 1 << 16):
+                a, b = i[m: m + 65536], j[m: m + 65536]
+                good = near(x, u, a, b, np.einsum("ij,ij->i", u[a], u[b]))
+                found.append((a[good], b[good]))
+        for s, k in zip(start, size):
+            if k <= SMALL and one[s] == two[s]:
+                continue
+            a = s + np.flatnonzero(own[s: s + k] == one[s])
+            b = s + np.flatnonzero(own[s: s + k] == two[s]) if one[s] != two[s] else a
+            for p in range(0, len(a), 1024):
+                for q in range(0, len(b), 1024):
+                    i, j, c = a[p: p + 1024], b[q: q + 1024], u[a[p: p + 1024]] @ u[b[q: q + 1024]].T
+                    f, g = np.nonzero(c >= cosine - 1e-9)
+                    if one[s] == two[s]:
+                        f, g = f[i[f] < j[g]], g[i[f] < j[g]]
+                    good = near(x, u, i[f], j[g], c[f, g])
+                    found.append((i[f][good], j[g][good]))
+        i, j = (np.concatenate(c) for c in zip(*found))
+        # A pair that shares the key of an earlier table has met there.
+        new = ~((keys[i] == keys[j]) & (np.arange(TABLES) < table[i][:, None])).any(1)
+        i, j = i[new], j[new]
+        degree = (np.bincount(i, n[j], len(x)) + np.bincount(j, n[i], len(x))).astype(np.int64)
+        some, pairs = np.flatnonzero(degree), forest(i, j, len(x))
+        return ([*node[some], *(node[p] for p, _ in pairs)], [None] * len(some) + [node[q] for _, q in pairs],
+                [*degree[some]] + [0] * len(pairs))
+
+    def near(x, u, i, j, c) -> np.ndarray:
+        """Which pairs reach the threshold: ``c`` tells, and next to the threshold the cosine's own formula."""
+        good = c >= cosine
+        for k in np.flatnonzero(np.abs(c - cosine) < 1e-9).tolist():
+            a, b = x[i[k]], x[j[k]]
+            good[k] = a @ b / (np.sqrt(a @ a) * np.sqrt(b @ b)) >= cosine
+        return good
 
     key = [*bucket, "i", "j"]
     return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long, d long")
