@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -67,6 +68,8 @@ class Encoder:
         self.plain = {p: x for p, x in vocab["plain"].items() if p.strip(MARK) or p == MARK}
         self.text = {i: p for p, (i, _) in vocab["plain"].items()}
         self.raw = {i: bytes([b]) for b, i in self.byte.items()}
+        table = {i: p.encode() for i, p in self.text.items()} | self.raw
+        self.bytes_of = [table.get(i, b"") for i in range(max(table) + 1)]
         self.letters = {p for p in self.plain if len(p) == 1}
         odd = {c for p in self.plain for c in p} - self.letters
         if odd:
@@ -204,13 +207,9 @@ class Encoder:
 
     def decode(self, ids) -> str:
         """The text of ids: pieces joined, byte pieces as UTF-8, marks as spaces, without the first one."""
-        out, raw, text = [], self.raw, self.text
-        for i in ids:
-            b = raw.get(i)
-            out.append(b if b is not None else text.get(i, "").encode())
-        whole = b"".join(out)
+        whole = b"".join(map(self.bytes_of.__getitem__, ids))
         mark = MARK.encode()
-        if whole.startswith(mark) and ids[0] not in raw:
+        if whole.startswith(mark) and ids[0] not in self.raw:
             whole = whole[len(mark):]
         return whole.replace(mark, b" ").decode("utf-8", "replace")
 
@@ -240,7 +239,7 @@ def encode_texts(docs: DataFrame, path: str, text_col: str = "text", digest: boo
             n, a, b = [], [], []
             for text in texts:
                 found = list(encoder.chunks(text))
-                ids = [i for part, _ in found for i in part]
+                ids = list(chain.from_iterable(part for part, _ in found))
                 n.append(len(ids))
                 a.append(hashlib.sha256(" ".join([s for part, s in found if part]).encode()).hexdigest())
                 b.append(hashlib.sha256(encoder.decode(ids).encode()).hexdigest())
