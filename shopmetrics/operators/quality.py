@@ -128,7 +128,7 @@ def audit(tables: Sequence[Audit]) -> DataFrame:
         for holds, rule in t.conditions:
             kinds[rule] = len(kinds)
             entries.append(F.when(holds, entry(kinds[rule], null, null, -1)))
-        parts.append(t.frame.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e")).select("e.*"))
+        parts.append(t.frame.select(F.explode(F.array(*entries)).alias("e")).where("e is not null").select("e.*"))
     counted = _union(parts).groupBy("kind", "k1", "k2").agg(
         F.count(F.when(F.col("counter") == -1, 1)).alias("rows"),
         *[F.count(F.when(F.col("counter") == i, 1)).alias(f"s{i}") for i in range(width)])
