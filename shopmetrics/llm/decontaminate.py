@@ -71,11 +71,12 @@ def words_of(data: np.ndarray, at: np.ndarray, factor: np.ndarray):
 
 
 def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
-    """Places of ``ids`` above zero, sorted by the next ``depth`` ids at least (prefix doubling)."""
+    """Places of ``ids`` above zero, sorted by the next ``depth`` ids at least (prefix doubling); the end comes before
+    every id."""
     rank, step = ids.astype(np.int64), 1
     while step < depth:
         after = np.zeros_like(rank)
-        after[:-step] = rank[step:]
+        after[:-step] = rank[step:] + 1
         key = rank * (int(rank.max()) + 2) + after
         rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
         step *= 2

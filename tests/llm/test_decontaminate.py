@@ -76,3 +76,18 @@ def test_words_over_shard_borders_and_hash_places():
     import numpy as np
     data = np.frombuffer("abcdef".encode(), np.uint8)
     assert len(dec.words_of(data, np.array([0, 3, 3, 6]), dec.multipliers())[3]) == 2
+
+
+def test_one_run_of_periodic_text(lspark, make_docs):
+    """Shards with one run of item words, where suffixes tie up to the end of the text."""
+    for words in (["a"] * 13, ["a"] * 30, ["a", "b"] * 7, ["a", "b"] * 13, ["a", "b", "a"] * 9):
+        text = " ".join(words)
+        bench = lspark.createDataFrame([("x", text)], "item_id string, text string")
+        got = dec.find_matches(make_docs([text]), bench).first()
+        assert (got["n_words"], got["n_hit"], list(got["items"]), got["longest_match"]) == plain(text, [("x", text)], 13), text
+
+
+def test_suffix_array_is_in_order():
+    import numpy as np
+    for ids in ([1] * 13, [1, 2] * 7, [2, 1] * 13, [1, 1, 2] * 9, [3, 0, 3, 3], [1, 0, 1, 1, 0, 1]):
+        assert dec.suffix_array(np.array(ids), 13).tolist() == sorted((k for k in range(len(ids)) if ids[k]), key=lambda k: ids[k: k + 16])
