@@ -12,6 +12,9 @@ social security numbers, IBANs (modulo 97; country kept), dates (year-month-day
 that is valid; years 1900 to 2099), and e-mail addresses, whose local part is permuted letter by letter and digit
 by digit within its pattern while the domain stays.
 
+Phones with an area code or exchange under 200 and addresses from 224.0.0.0 are classes of their own: valid values stay
+valid, the others stay what they are.  Addresses under 1.0.0.0 (as version numbers look) are skipped.  A date may have a time after a T.
+
 A value is skipped if it fails its check; a candidate inside a longer word or number is none.  Texts are
 processed whole, where they lie, with no shuffle.
 
@@ -40,9 +43,9 @@ _FIND = re.compile(
     r"(?<![\w.%+-])(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24})(?![\w-])"
     r"|(?<![\w.])(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?!\.?\w)"
     r"|(?<!\w)(?P<iban>[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)"
-    r"|(?<![\w.+(/-])(?P<phone>(?:\+?1[ .-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4})(?![\w]|[-./]\d)"
+    r"|(?<![\w.+(/-])(?P<phone>(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4})(?![\w]|[-./]\d)"
     r"|(?<![\w./-])(?P<ssn>\d{3}-\d\d-\d{4})(?![\w]|[-./]\d)"
-    r"|(?<![\w./-])(?P<date>\d{4}-\d\d?-\d\d?|\d{4}/\d\d?/\d\d?|\d\d?/\d\d?/\d{4}|\d\d?\.\d\d?\.\d{4}|\d\d?-\d\d?-\d{4})(?![\w]|[-./]\d)"
+    r"|(?<![\w./-])(?P<date>\d{4}-\d\d?-\d\d?|\d{4}/\d\d?/\d\d?|\d\d?/\d\d?/\d{4}|\d\d?\.\d\d?\.\d{4}|\d\d?-\d\d?-\d{4})(?!(?![Tt]\d\d)\w|[-./]\d)"
     r"|(?<![\w.-])(?P<card>\d(?:[ -]?\d){12,18})(?![\w]|[-.]\d)")
 KINDS = ["email", "ip", "iban", "phone", "ssn", "date", "card"]
 
@@ -102,19 +105,26 @@ def card(f, text, back):
 
 def phone(f, text, back):
     d = re.sub(r"\D", "", text)
-    country, d = d[:-10], d[-10:]
-    x = (int(d[:3]) - 200) * 800 + int(d[3:6]) - 200
-    x = f.permute("phone", 6_400_000_000, x * 10_000 + int(d[6:]), back)
-    x, line = divmod(x, 10_000)
-    return fill(text, f"{country}{x // 800 + 200}{x % 800 + 200}{line:04d}")
+    country, area, exchange, line = d[:-10], int(d[-10:-7]), int(d[-7:-4]), int(d[-4:])
+    if area >= 200 and exchange >= 200:
+        x = f.permute("phone", 6_400_000_000, ((area - 200) * 800 + exchange - 200) * 10_000 + line, back)
+        x, line = divmod(x, 10_000)
+        area, exchange = x // 800 + 200, x % 800 + 200
+    else:  # numbers no plan gives out: 200 areas with all exchanges, 800 with 200
+        x = area * 1000 + exchange if area < 200 else 200_000 + (area - 200) * 200 + exchange
+        x, line = divmod(f.permute("phone out of plan", 3_600_000_000, x * 10_000 + line, back), 10_000)
+        area, exchange = divmod(x, 1000) if x < 200_000 else (x // 200 - 800, x % 200)
+    return fill(text, f"{country}{area:03d}{exchange:03d}{line:04d}")
 
 
 def ip(f, text, back):
     d = [int(x) for x in text.split(".")]
-    if not 1 <= d[0] <= 223 or max(d) > 255:
+    if not d[0] or max(d) > 255:
         return None
-    x = f.permute("ip", 223 << 24, (d[0] - 1) << 24 | d[1] << 16 | d[2] << 8 | d[3], back)
-    return f"{(x >> 24) + 1}.{x >> 16 & 255}.{x >> 8 & 255}.{x & 255}"
+    # Hosts have 1 to 223 first; the others are permuted among themselves.
+    kind, least, n = ("ip", 1, 223) if d[0] <= 223 else ("ip out of plan", 224, 32)
+    x = f.permute(kind, n << 24, (d[0] - least) << 24 | d[1] << 16 | d[2] << 8 | d[3], back)
+    return f"{(x >> 24) + least}.{x >> 16 & 255}.{x >> 8 & 255}.{x & 255}"
 
 
 def ssn(f, text, back):

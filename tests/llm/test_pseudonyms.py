@@ -75,3 +75,21 @@ def test_frame(lspark, make_docs):
     back = ps.pseudonymise(ps.pseudonymise(docs, b"k").select("doc_id", "new_text"), b"k", "new_text", back=True, prefix="x_")
     assert {r["doc_id"]: r["x_new_text"] for r in back.collect()} == {0: None, 1: "", 2: "call 988-555-2485", 3: "nothing"}
     assert ps.pseudonymise(make_docs([]), b"k").select("doc_id", *ps.counts()).collect() == []
+
+
+def test_values_out_of_plan_and_date_times():
+    rng = random.Random(2)
+    def code(): return f"{rng.randrange(1000):03d}"
+    texts = ["+1 (017) 555-7713", "+1 (132) 555-1352", "(988) 099-1234", "000-000-0000", "999.199.9999", "224.0.0.0", "255.255.255.255", "233.254.104.120"]
+    texts += [f"+1 ({code()}) {code()}-{rng.randrange(10_000):04d}" for _ in range(300)]
+    texts += [f"{rng.randint(1, 255)}.{rng.randint(0, 255)}.0.{rng.randint(0, 255)}" for _ in range(300)]
+    def valid(v): return int(v.split(".")[0]) < 224 if v.count(".") == 3 else all(int(x) >= 200 for x in re.findall("...", re.sub(r"\D", "", v)[-10:-4]))
+    for v in texts:
+        new, found = ps.replace(v, F)
+        assert len(found) == 1 and new != v and valid(new) == valid(v), (v, new)
+        assert ps.replace(new, F, back=True)[0] == v
+    for v in ["2024-01-15T12:30:00Z", "2024-01-15t12:30", "at 1999/12/31T00:00:00+01:00."]:
+        new, found = ps.replace(v, F)
+        assert [k for k, *_ in found] == ["date"] and new != v
+        assert ps.replace(new, F, back=True)[0] == v
+    assert ps.replace("2024-01-15th", F)[1] == [] == ps.replace("2024-01-15Two", F)[1]
