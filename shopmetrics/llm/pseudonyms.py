@@ -15,8 +15,11 @@ by digit within its pattern while the domain stays.
 Phones with an area code or exchange under 200 and addresses from 224.0.0.0 are classes of their own: valid values stay
 valid, the others stay what they are.  Addresses under 1.0.0.0 (as version numbers look) are skipped.  A date may have a time after a T.
 
-A value is skipped if it fails its check; a candidate inside a longer word or number is none.  Texts are
-processed whole, where they lie, with no shuffle.
+A candidate that fails its check may hold a value next to another number or word: cards are looked for between the
+spaces and hyphens of a run of digits (``card_spans``), IBANs by their country's length, and the search goes on inside
+the candidate.  A candidate inside a longer word or number is none.  Only where a pseudonym would make such a
+neighbourhood read in another way does a value get another one there than elsewhere (``replace_parts``).  Texts
+are processed whole, where they lie, with no shuffle.
 
 Cases: a null text stays null; an empty one empty; repeated rows get the same answer; an empty table gives
 an empty result.
@@ -200,25 +203,126 @@ MAKERS = {"email": email, "ip": ip, "iban": iban, "phone": phone, "ssn": ssn, "d
 _HINT = re.compile(r"[0-9@]")
 
 
+def card_spans(run: str) -> list[tuple[int, int]]:
+    """The cards, by their check digit, in a run of digits, single spaces and hyphens: first a group of 13 to 19 digits
+    alone and the printed ways 4-4-4-4, 4-6-5 and 4-6-4, then the whole run (its first 19 digits at most), then
+    other rows of groups of four digits or more, the last of any size; of overlapping ones of a rank the longer."""
+    groups = [(m.start(), m.end()) for m in re.finditer(r"\d+", run)]
+    found = []
+    for i in range(len(groups)):
+        sizes, total = [], 0
+        for j in range(i, len(groups)):
+            sizes.append(groups[j][1] - groups[j][0])
+            total += sizes[-1]
+            if total > 19:
+                break
+            if total < 13:
+                continue
+            printed = len(sizes) == 1 or sizes in ([4, 4, 4, 4], [4, 6, 5], [4, 6, 4])
+            whole = i == 0 and (j + 1 == len(groups) or total + groups[j + 1][1] - groups[j + 1][0] > 19)
+            if not printed and not whole and min(sizes[:-1]) < 4:
+                continue
+            a, b = groups[i][0], groups[j][1]
+            d = re.sub(r"\D", "", run[a:b])
+            if luhn(d[:-1]) == d[-1] and len(set(d)) > 1:
+                found.append((0 if printed else 1 if whole else 2, -total, a, b))
+    out = []
+    for *_, a, b in sorted(found):
+        if all(b <= c or d <= a for c, d in out):
+            out.append((a, b))
+    return sorted(out)
+
+
+#: Characters of an IBAN, by country.
+IBAN_SIZE = {c: int(n) for n, x in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for c in x.split()}
+
+
+def iban_spans(run: str) -> list[tuple[int, int]]:
+    """The part of a candidate that passes the check: of the country's length, else the longest up to a space."""
+    ends = [m.start() for m in re.finditer(r"(?= )|$", run)][::-1]
+    size = IBAN_SIZE.get(run[:2])
+    for b in sorted(ends, key=lambda b: len(run[:b].replace(" ", "")) != size):
+        plain = run[:b].replace(" ", "")
+        if 15 <= len(plain) <= 34 and iban_check(plain[:2], plain[4:]) == plain[2:4]:
+            return [(0, b)]
+    return []
+
+
+SPANS = {"card": card_spans, "iban": iban_spans}
+_RUN = re.compile(r"\d+(?:[ -]\d+)*")
+_ENDS_BADLY = re.compile(r"\w|[-.]\d")
+_WORD = re.compile(r"\w+|.", re.S)
+
+
+def replace_parts(kind: str, run: str, f: Feistel, back: bool) -> list[tuple[int, int, str]]:
+    """(start, end, new text) of the values in a run.  If the new run would be read in another way, as a longer
+    value that passes by chance, all values go on along their cycles until it isn't, so the way back is the same."""
+    spans, new = SPANS[kind](run), run
+    while spans:
+        new = "".join(x for (a, b), (c, _) in zip(spans, [*spans[1:], (len(run), 0)]) for x in (MAKERS[kind](f, new[a:b], back), run[b:c]))
+        new = run[: spans[0][0]] + new
+        if SPANS[kind](new) == spans:
+            break
+    return [(a, b, new[a:b]) for a, b in spans]
+
+
+def values(text: str, f: Feistel, known: dict, back: bool):
+    """(kind, start, end, new text) of the values of a text, in order.  After a candidate that fails its check the
+    search goes on behind its first word."""
+    at, waiting, cards_done = 0, [], 0
+
+    def made(key, make):
+        if key not in known:
+            if len(known) > 100_000:
+                known.clear()
+            known[key] = make()
+        return known[key]
+
+    while True:
+        m = _FIND.search(text, at)
+        if m and m.lastgroup == "card" and m.start() < cards_done and not (waiting and waiting[0][1] <= m.start()):
+            at = m.start() + len(_WORD.match(m[0])[0])
+            continue
+        if waiting and (m is None or m.end() > waiting[0][1]):
+            yield waiting[0]
+            at = waiting.pop(0)[2]
+            continue
+        if m is None:
+            return
+        kind, value, start = m.lastgroup, m[0], m.start()
+        if kind == "card":
+            value = _RUN.match(text, start)[0]
+            if _ENDS_BADLY.match(text, start + len(value)):  # the last group belongs to another word
+                value = value[: max(value.rfind(" "), value.rfind("-"))]
+            cards_done = start + len(value)
+        if kind in SPANS:
+            parts = made((kind, value), lambda: replace_parts(kind, value, f, back))
+            waiting += [(kind, start + a, start + b, new) for a, b, new in parts]
+            if parts:
+                continue
+        else:
+            new = made((kind, value), lambda: MAKERS[kind](f, value, back))
+            if new is not None:
+                yield kind, start, m.end(), new
+                at = m.end()
+                continue
+        at = start + len(_WORD.match(value)[0])
+
+
 def replace(text: str, f: Feistel, known: dict | None = None, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and (kind, start, end) of each of them in the new text."""
     if not _HINT.search(text):
         return text, []
     known = {} if known is None else known
     out, found, at, shift = [], [], 0, 0
-    for m in _FIND.finditer(text):
-        kind, value = m.lastgroup, m[0]
-        if (kind, value) not in known:
-            if len(known) > 100_000:
-                known.clear()
-            known[kind, value] = MAKERS[kind](f, value, back)
-        new = known[kind, value]
-        if new is None:
-            continue
-        out += [text[at: m.start()], new]
-        found.append((kind, m.start() + shift, m.start() + shift + len(new)))
-        shift += len(new) - len(value)
-        at = m.end()
+    for kind, start, end, new in values(text, f, known, back):
+        out += [text[at: start], new]
+        found.append((kind, start + shift, start + shift + len(new)))
+        shift += len(new) - (end - start)
+        at = end
     return "".join([*out, text[at:]]), found
 
 

@@ -93,3 +93,32 @@ def test_values_out_of_plan_and_date_times():
         assert [k for k, *_ in found] == ["date"] and new != v
         assert ps.replace(new, F, back=True)[0] == v
     assert ps.replace("2024-01-15th", F)[1] == [] == ps.replace("2024-01-15Two", F)[1]
+
+
+def test_values_beside_other_numbers():
+    rng = random.Random(3)
+    for text, value in [("pay 4111 1111 1111 1111 12/25", "4111 1111 1111 1111"), ("4111111111111111 123", "4111111111111111"),
+                        ("order 12 4111 1111 1111 1111", "4111 1111 1111 1111"), ("order 12 34 4111 1111 1111 1111 99 x", "4111 1111 1111 1111"),
+                        ("4111111111111111-12/25", "4111111111111111"), ("3782 822463 10005 1234 due", "3782 822463 10005"),
+                        ("4111 1111 1111 1111 12th", "4111 1111 1111 1111"), ("BE68 5390 0754 7034 BIC", "BE68 5390 0754 7034"),
+                        ("to BE68 5390 0754 7034 BANK NV", "BE68 5390 0754 7034"), ("DE89 3704 0044 0532 0130 00 BIC", "DE89 3704 0044 0532 0130 00")]:
+        new, found = ps.replace(text, F)
+        assert len(found) == 1 and value not in new and new == text.replace(value, ps.replace(value, F)[0]), (text, new)
+        assert ps.replace(new, F, back=True)[0] == text
+    new, found = ps.replace("99 123-45-6789 4111111111111111 7 4111 1111 1111 1111 988-555-2485", F)
+    assert [k for k, *_ in found] == ["ssn", "card", "card", "phone"]
+    assert [k for k, *_ in ps.replace("XX12 3456 7890 1234 4111 1111 1111 1111", F)[1]] == ["card"]
+    # Ways of writing that could be read in two ways come back all the same.
+    missed = 0
+    for _ in range(3000):
+        n = rng.choice([13, 15, 16, 19])
+        d = "".join(rng.choice("0123456789") for _ in range(n - 1))
+        d += ps.luhn(d)
+        cut = rng.choice([[], [4, 8, 12], [4, 10], [6], [5, 10], [4, 8, 12, 16]])
+        card = rng.choice(" -").join(d[a:b] for a, b in zip([0, *cut], [*cut, n]) if a < n)
+        near = ["", "7", "12", "123", "2024", "12 25", "55555", "4111 1111 1111 1111"]
+        text = f"{rng.choice(near)} {card} {rng.choice(near)} end".strip()
+        new, found = ps.replace(text, F)
+        missed += not found
+        assert ps.replace(new, F, back=True)[0] == text and len(new) == len(text), (text, new)
+    assert missed == 0
