@@ -16,6 +16,9 @@ A distributed merge sort of sampled suffixes, aware of common prefixes:
    The merge thus yields the suffixes in order with their common prefix lengths.
 5. Neighbours that share 66 bytes are a group.  Equal suffixes with equal bytes before them repeat the first one
    whole.  Others share the windows for which the common bytes before and after the start make up 100.
+   A start whose 66 bytes occur over ``BIG`` times doesn't enter the merge, as all such suffixes would meet in one task:
+   each bucket sends the first of each of its windows as a 128-bit BLAKE2b hash with id and place, dealt by hash,
+   and all but the first of a hash are repeats (equal windows have the same start, so they all go this way).
 6. The covered bytes return to the buckets and are cut out of the texts.
 
 Texts are read as UTF-8 bytes; matches never cross documents; the order is by id, then place.  All texts are
@@ -47,8 +50,9 @@ SLICE, BUCKET_BYTES = 1 << 19, 32 << 20
 #: Sampled suffixes for each range, bytes of them in a splitter, and ranges, at most: the driver sees
 #: SAMPLE * SPLITTER * RANGES bytes (50 MB), and every task SPLITTER * RANGES (1.5 MB).
 SAMPLE, SPLITTER, RANGES = 32, 24, 1 << 16
-#: Suffixes of a group beyond which its windows are compared in arrays.
-SMALL = 12
+#: Suffixes of a group beyond which its windows are compared in arrays, and starts with the same first bytes beyond
+#: which their windows are dealt over all tasks instead.
+SMALL, BIG = 12, 1 << 14
 
 _A, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
@@ -110,9 +114,10 @@ def suffixes(data: np.ndarray, end: np.ndarray, codes: np.ndarray):
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def repeated_hashes(docs: DataFrame, buckets: int, rate: float) -> DataFrame:
+def repeated_hashes(docs: DataFrame, buckets: int, rate: float, big: int) -> DataFrame:
     """``bucket``, ``hashes`` (sorted 64-bit prefix hashes that occur twice or more in the corpus and in documents of the
-    bucket); rows with bucket -1 hold a sample of the suffixes' first bytes instead."""
+    bucket), ``many`` (those that occur over ``big`` times); rows with bucket -1 hold a sample of the suffixes' first bytes
+    instead."""
     cut = int(rate * 2**32)
 
     def send(batches):
@@ -131,23 +136,30 @@ def repeated_hashes(docs: DataFrame, buckets: int, rate: float) -> DataFrame:
             third[2:] = same[1:] & same[:-1]
             drawn = np.flatnonzero((h * np.uint64(_MIX) >> np.uint64(32)).astype(np.int64) < cut)
             some = [data[x: x + SPLITTER].tobytes() for x in s[drawn[:: max(1, len(drawn) // (16 * SAMPLE))]].tolist()]
+            more, times = np.unique(h[third], return_counts=True)
             h, own = h[~third], own[~third]
-            place = ((h >> np.uint64(32)).astype(np.int64) * buckets) >> 32
-            edge = np.searchsorted(place, np.arange(buckets + 1))
+            edge, edge_2 = (np.searchsorted(((x >> np.uint64(32)).astype(np.int64) * buckets) >> 32, np.arange(buckets + 1)) for x in (h, more))
             rows = [k for k in range(buckets) if edge[k] < edge[k + 1]]
             blobs = [h[edge[k]: edge[k + 1]].tobytes() + own[edge[k]: edge[k + 1]].tobytes() for k in rows]
+            left_out = [more[edge_2[k]: edge_2[k + 1]].tobytes() + times[edge_2[k]: edge_2[k + 1]].tobytes() for k in rows]
             if some:
-                rows, blobs = [*rows, -1], [*blobs, b"".join(x.ljust(SPLITTER, b"\0") for x in some)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(blobs, pa.binary())], names=["place", "blob"])
+                rows, blobs, left_out = [*rows, -1], [*blobs, b"".join(x.ljust(SPLITTER, b"\0") for x in some)], [*left_out, b""]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(blobs, pa.binary()), pa.array(left_out, pa.binary())],
+                                             names=["place", "blob", "left_out"])
 
     def count(key, table):
         blobs = table["blob"].to_pylist()
         if key[0].as_py() < 0:
-            return pa.table({"bucket": pa.array([-1] * len(blobs), pa.int32()), "hashes": pa.array(blobs, pa.binary())})
+            return pa.table({"bucket": pa.array([-1] * len(blobs), pa.int32()), "hashes": pa.array(blobs, pa.binary()),
+                             "many": pa.nulls(len(blobs), pa.binary())})
         h = np.concatenate([np.frombuffer(x, np.uint64, len(x) // 12) for x in blobs])
         own = np.concatenate([np.frombuffer(x, np.int32, len(x) // 12, len(x) // 12 * 8) for x in blobs])
         order = np.argsort(h, kind="stable")
         h, own = h[order], own[order]
+        kinds, times = np.unique(h, return_counts=True)
+        for x in table["left_out"].to_pylist():
+            times[np.searchsorted(kinds, np.frombuffer(x, np.uint64, len(x) // 16))] += np.frombuffer(x, np.int64, len(x) // 16, len(x) // 2)
+        many = kinds[times > big]
         same = h[1:] == h[:-1]
         twice = np.zeros(len(h), bool)
         twice[1:] |= same
@@ -156,11 +168,12 @@ def repeated_hashes(docs: DataFrame, buckets: int, rate: float) -> DataFrame:
         order = np.lexsort((h, own))
         h, own = h[order], own[order]
         edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]])) if len(own) else np.zeros(1, np.int64)
-        return pa.table({"bucket": pa.array(own[edge[:-1]], pa.int32()),
-                         "hashes": pa.array([np.unique(h[a:b]).tobytes() for a, b in zip(edge[:-1], edge[1:])], pa.binary())})
+        found = [np.unique(h[a:b]) for a, b in zip(edge[:-1], edge[1:])]
+        return pa.table({"bucket": pa.array(own[edge[:-1]], pa.int32()), "hashes": pa.array([x.tobytes() for x in found], pa.binary()),
+                         "many": pa.array([x[np.isin(x, many)].tobytes() for x in found], pa.binary())})
 
-    sent = docs.select("bucket", "text").mapInArrow(send, "place int, blob binary")
-    return sent.groupBy("place").applyInArrow(count, "bucket int, hashes binary")
+    sent = docs.select("bucket", "text").mapInArrow(send, "place int, blob binary, left_out binary")
+    return sent.groupBy("place").applyInArrow(count, "bucket int, hashes binary, many binary")
 
 
 def texts_of(table: pa.Table):
@@ -186,7 +199,7 @@ def pack_run(entries: list[tuple], shared: list[int]) -> bytes:
     n = len(entries)
     head = np.array([n], np.int64).tobytes()
     sizes = np.array([[k, len(e[0]), len(e[1])] for e, k in zip(entries, shared)], np.uint8).tobytes()
-    where = np.array([e[2:] for e in entries], np.int64).tobytes()
+    where = np.array([e[2:4] for e in entries], np.int64).tobytes()
     return b"".join([head, sizes, where, *[e[0][k:] for e, k in zip(entries, shared)], *[e[1] for e in entries]])
 
 
@@ -314,9 +327,37 @@ def windows_shared(group: list[tuple]) -> list[tuple[int, int, int]]:
     return list(zip(k.tolist(), a.tolist(), (b - 1).tolist()))
 
 
-def covered(docs: DataFrame, buckets: int, rate: float, ranges: int) -> DataFrame:
+def firsts(digest: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of windows by hash, id and place, and which of them (in it) aren't the first of their hash."""
+    order = np.lexsort((where[:, 1], where[:, 0], digest[:, 1], digest[:, 0]))
+    again = np.zeros(len(order), bool)
+    again[1:] = (digest[order[1:]] == digest[order[:-1]]).all(1)
+    return order, again
+
+
+def hashed_windows(entries: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different windows of (suffix, bytes before, id, place) as hashes and (id, place) of the first, by hash, and
+    (id, first and last place) of the others.  Equal windows lie at the same offset before their start."""
+    digests, wheres, repeats = [np.zeros((0, 2), np.uint64)], [np.zeros((0, 2), np.int64)], [np.zeros((0, 3), np.int64)]
+    for o in range(HALF + 1):
+        there = [e for e in entries if len(e[0]) >= LENGTH - o and len(e[1]) >= o]
+        if not there:
+            continue
+        digest = np.frombuffer(b"".join([hashlib.blake2b(e[1][len(e[1]) - o:] + e[0][: LENGTH - o], digest_size=16).digest() for e in there]), np.uint64).reshape(-1, 2)
+        where = np.array([(e[2], e[3] - o) for e in there], np.int64)
+        order, again = firsts(digest, where)
+        digests.append(digest[order[~again]])
+        wheres.append(where[order[~again]])
+        rest = where[order[again]]
+        repeats.append(np.column_stack([rest, rest[:, 1] + LENGTH]))
+    digest, where = np.concatenate(digests), np.concatenate(wheres)
+    order = np.argsort(digest[:, 0], kind="stable")
+    return digest[order], where[order], np.concatenate(repeats)
+
+
+def covered(docs: DataFrame, buckets: int, rate: float, ranges: int, big: int) -> DataFrame:
     """``bucket``, ``spans`` (packed id, first and last place covered)."""
-    found = materialize(repeated_hashes(docs.select("bucket", "text"), buckets, rate))
+    found = materialize(repeated_hashes(docs.select("bucket", "text"), buckets, rate, big))
     drawn = sorted(x[k: k + SPLITTER] for r in found.where("bucket < 0").select("hashes").collect() for x in [bytes(r[0])] for k in range(0, len(x), SPLITTER))
     splitters = sorted({drawn[len(drawn) * k // ranges] for k in range(1, ranges)}) if drawn else []
     shared = docs.sparkSession.sparkContext.broadcast(splitters)  # bounded: SPLITTER * RANGES bytes
@@ -326,24 +367,30 @@ def covered(docs: DataFrame, buckets: int, rate: float, ranges: int) -> DataFram
         number, _, nth, text, end = texts_of(left)
         whole = b"".join(text)
         known = [np.frombuffer(x, np.uint64) for x in right["hashes"].to_pylist()]
-        rows, blobs, local = [], [], []
+        rows, blobs, local, crowd = [], [], [], []
         if known and whole:
             known = np.sort(np.concatenate(known))
             s, first, last, h = suffixes(np.frombuffer(whole, np.uint8), end, byte_codes())
             at = np.minimum(np.searchsorted(known, h), len(known) - 1)
             keep = known[at] == h
             s, first, last = s[keep], first[keep], last[keep]
+            many = np.isin(h[keep], np.frombuffer(b"".join(right["many"].to_pylist()), np.uint64))
             doc = np.searchsorted(end, first, "right")
             begin = (end - np.array([len(t) for t in text], np.int64))[doc]
             place = (s - begin) + (nth[doc] << 40)
-            entries = [(whole[a: c + LENGTH], whole[b:a], i, p) for a, b, c, i, p in zip(s.tolist(), first.tolist(), last.tolist(), number[doc].tolist(), place.tolist())]
+            entries = [(whole[a: c + LENGTH], whole[b:a], i, p, m)
+                       for a, b, c, i, p, m in zip(s.tolist(), first.tolist(), last.tolist(), number[doc].tolist(), place.tolist(), many.tolist())]
             entries.sort()
             kept, lengths, cuts, cut = [], [], shared.value, 0
-            bounds = []
+            bounds, before = [], (b"", b"")
             for e in entries:
-                if kept and kept[-1][0] == e[0] and kept[-1][1] == e[1]:
+                if before[0] == e[0] and before[1] == e[1]:
                     local.append((e[2], e[3] - len(e[1]), e[3] - (LENGTH - len(e[0])) + LENGTH))
                     continue
+                before = e
+                if e[4]:
+                    crowd.append(e)
+                    continue
                 while cut < len(cuts) and cuts[cut] <= e[0][:SPLITTER]:
                     cut += 1
                 if not bounds or bounds[-1][0] != cut:
@@ -356,6 +403,13 @@ def covered(docs: DataFrame, buckets: int, rate: float, ranges: int) -> DataFram
                 rows.append(cut)
                 blobs.append(pack_run(kept[a:b], lengths[a:b]))
         spans = [np.array(local, np.int64).tobytes()] if local else []
+        if crowd:
+            digest, where, repeats = hashed_windows(crowd)
+            spans = [b"".join([*spans, repeats.tobytes()])]
+            edge = np.searchsorted(((digest[:, 0] >> np.uint64(32)).astype(np.int64) * buckets) >> 32, np.arange(buckets + 1))
+            for k in np.flatnonzero(np.diff(edge)).tolist():
+                rows.append(ranges + k)
+                blobs.append(digest[edge[k]: edge[k + 1]].tobytes() + where[edge[k]: edge[k + 1]].tobytes())
         return pa.table({"range": pa.array(rows + [-1 - bucket] * len(spans), pa.int32()), "bucket": pa.array([bucket] * (len(rows) + len(spans)), pa.int32()),
                          "blob": pa.array(blobs + spans, pa.binary())})
 
@@ -363,6 +417,15 @@ def covered(docs: DataFrame, buckets: int, rate: float, ranges: int) -> DataFram
         buckets_of, blobs = table["bucket"].to_pylist(), table["blob"].to_pylist()
         if key[0].as_py() < 0:
             return table.select(["bucket", "blob"]).rename_columns(["bucket", "spans"])
+        if key[0].as_py() >= ranges:
+            digest = np.concatenate([np.frombuffer(x, np.uint64, len(x) // 16).reshape(-1, 2) for x in blobs])
+            where = np.concatenate([np.frombuffer(x, np.int64, len(x) // 16, len(x) // 2).reshape(-1, 2) for x in blobs])
+            order, again = firsts(digest, where)
+            order = np.sort(order[again])
+            edge = np.searchsorted(order, np.cumsum([0, *[len(x) // 32 for x in blobs]]))
+            parts = [where[order[a:b]] for a, b in zip(edge[:-1], edge[1:])]
+            return pa.table({"bucket": pa.array(buckets_of, pa.int32()),
+                             "spans": pa.array([np.column_stack([x, x[:, 1] + LENGTH]).tobytes() for x in parts], pa.binary())})
         out: dict[int, list[tuple]] = {}
 
         def put(e, run, a, b):
@@ -392,7 +455,7 @@ def covered(docs: DataFrame, buckets: int, rate: float, ranges: int) -> DataFram
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False,
-                   bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+                   bucket_bytes: int = BUCKET_BYTES, big: int = BIG) -> DataFrame:
     """``id``, ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs) and ``kept`` (the remaining bytes) for every row, or
     with ``digest`` the SHA-256 of these instead (``kept_sha256``)."""
     spark = docs.sparkSession
@@ -401,7 +464,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / bucket_bytes))
     docs = docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket"))
     ranges = min(buckets, RANGES)
-    spans = covered(docs, buckets, min(1.0, SAMPLE * ranges * 26 / max(1, size)), ranges)
+    spans = covered(docs, buckets, min(1.0, SAMPLE * ranges * 26 / max(1, size)), ranges, big)
 
     def cut(key, left, right):
         number, known, nth, text, _ = texts_of(left)

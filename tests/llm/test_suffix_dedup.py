@@ -92,3 +92,31 @@ def test_merge_equals_sorting():
         assert [e[:4] for e, _, _ in got] == want
         assert [k for _, k, _ in got][1:] == [sd.common(a[0], b[0]) for a, b in zip(want, want[1:])]
         assert all(e[:4] in runs[r] for e, _, r in got)
+
+
+def crowded(rng, n):
+    """Texts that share passages, each time in other surroundings."""
+    passages = [say(rng, k) for k in (66, 80, 110, 320)]
+    def around(): return say(rng, rng.randint(40, 80))
+    texts = [around() + passages[k % 4] + around() + passages[rng.randrange(4)] + around() for k in range(n)]
+    return [*texts, texts[0], texts[1], passages[3] * 2, passages[2] + around()]
+
+
+def test_windows_of_crowded_starts_are_dealt_out(lspark, make_docs):
+    rng = random.Random(12)
+    rows = [(k - 20, t) for k, t in enumerate(crowded(rng, 70))]
+    for big in (0, 5, 60):
+        check(lspark, make_docs, rows, big=big)
+    texts = [t for _, t in rows]
+    check(lspark, make_docs, [(k, t) for k, t in enumerate(["a" * 300, "ab" * 200, "é" * 90, *texts[:20], *texts[:20]])], big=3, bucket_bytes=3000)
+
+
+def test_crowded_starts_leave_the_merge(lspark, make_docs):
+    """No range gets more than ``big`` suffixes of one start, however many documents share it."""
+    rows = [(k, t) for k, t in enumerate(crowded(random.Random(13), 120))]
+    docs = make_docs(rows).selectExpr("0 bucket", "text")
+    many = [np.frombuffer(r["many"], np.uint64) for r in sd.repeated_hashes(docs, 1, 0.0, 40).collect() if r["bucket"] >= 0]
+    raw = [t.encode() for _, t in rows]
+    h = sd.suffixes(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(t) for t in raw]), sd.byte_codes())[3]
+    kinds, times = np.unique(h, return_counts=True)
+    assert times.max() > 40 and sorted(np.concatenate(many)) == sorted(kinds[times > 40])
