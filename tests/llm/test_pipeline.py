@@ -87,3 +87,10 @@ def test_queries_run_on_empty_tables(lspark, tmp_path, name):
     lspark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
     lspark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     assert queries()[name](lspark, folder).collect() == []
+
+
+def test_lettered_texts_stay_without_a_model(lspark, make_docs):
+    docs = make_docs(["the end", None, "", "12 ?!", "дом", "a1"], lang=None)
+    kept = cp.language_id(lspark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 4, 5]
