@@ -1,6 +1,6 @@
 """Embedding near-dedup by iterative quantisation (ITQ) and multi-index Hamming tables.
 
-ITQ learns, on a sample bounded by ``SAMPLE`` vectors, a rotation of the principal directions for which the signs
+ITQ learns, on a sample bounded by ``SAMPLE`` vectors of each length, a rotation of the principal directions for which the signs
 are balanced binary codes near the vectors.  Cosine has its origin at zero, so vectors are not centred: a
 mean drawn to one large group would cut the group by its noise.  Every vector is coded and entered into ``TABLES`` Hamming
 tables, each keyed by a substring of ``BITS`` bits of the code (the substrings start at even distances around
@@ -33,7 +33,7 @@ from shopmetrics.llm.common import materialize, salted_join
 from shopmetrics.llm.components import connected_components
 
 COSINE = 0.98
-#: Vectors the rotation is learned from, at most; bits of a code, at most; rounds of ITQ.
+#: Vectors of a length its rotation is learned from, at most; bits of a code, at most; rounds of ITQ.
 SAMPLE, CODE, ROUNDS = 10_000, 64, 30
 #: Hamming tables, bits of their substrings, and rows of a bucket beyond which it is dealt over tiles.
 TABLES, BITS, TILE = 10, 12, 512
@@ -54,10 +54,7 @@ def learn(x: np.ndarray, code: int = CODE, rounds: int = ROUNDS, seed: int = 7)
 
 
 def codes(x: np.ndarray, model: dict) -> np.ndarray:
-    """A row of 0/1 for each unit vector (cut, or filled up with zeros, to the learned length)."""
-    d = len(model["projection"])
-    if x.shape[1] != d:
-        x = np.hstack([x, np.zeros((len(x), max(0, d - x.shape[1])))])[:, :d]
+    """A row of 0/1 for each unit vector of the learned length."""
     return (x @ model["projection"] >= 0).astype(np.uint8)
 
 
@@ -88,20 +85,20 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> Dat
 
 
 def learn_codes(distinct: DataFrame, sample: int = SAMPLE) -> dict | None:
-    """The rotation, from the ``sample`` vectors with the smallest hashes (of the most frequent length)."""
-    rows = distinct.select("vec", "k1").orderBy("k1").limit(sample).collect()
-    sizes = [len(r["vec"]) for r in rows]
-    if not sizes:
-        return None
-    d = max(set(sizes), key=lambda s: (sizes.count(s), s))
-    x = np.array([r["vec"] for r in rows if len(r["vec"]) == d], np.float64)
-    return learn(x / np.sqrt((x * x).sum(1))[:, None])
+    """The rotation of each length of vectors, from the ``sample`` vectors of it with the smallest hashes."""
+    sizes = sorted(r[0] for r in distinct.select(F.size("vec")).distinct().collect())
+    out = {}
+    for d in sizes:
+        rows = distinct.where(F.size("vec") == d).select("vec", "k1").orderBy("k1").limit(sample).collect()
+        x = np.array([r["vec"] for r in rows], np.float64)
+        out[d] = learn(x / np.sqrt((x * x).sum(1))[:, None])
+    return out or None
 
 
 def entries(distinct: DataFrame, model: dict) -> DataFrame:
     """``table``, ``key``, ``label``, ``size`` (length), ``node``, ``n``, ``vec`` and ``keys`` (in all tables): a row for each
     vector and table."""
-    shared = distinct.sparkSession.sparkContext.broadcast(model)  # bounded: two small matrices
+    shared = distinct.sparkSession.sparkContext.broadcast(model)  # a matrix of CODE columns for each length of vectors
 
     def run(batches):
         own = shared.value
@@ -109,7 +106,7 @@ def entries(distinct: DataFrame, model: dict) -> DataFrame:
             length = np.diff(b.column(3).offsets.to_numpy())
             for size in np.unique(length):
                 some = b.take(pa.array(np.flatnonzero(length == size)))
-                keys = table_keys(codes(unit(some.column(3))[1], own))
+                keys = table_keys(codes(unit(some.column(3))[1], own[int(size)]))
                 n = len(keys)
                 again = some.take(pa.array(np.repeat(np.arange(n), TABLES)))
                 every = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * TABLES, TABLES), pa.int32()), pa.array(keys.astype(np.int32).ravel()))

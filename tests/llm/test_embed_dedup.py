@@ -86,3 +86,16 @@ def test_recall_on_random_directions():
 def test_empty_and_nothing_usable(lspark):
     assert got(lspark.createDataFrame([], SCHEMA)) == {}
     assert got(lspark.createDataFrame([(1, None, 1), (2, [0.0], 1)], SCHEMA)) == {1: (0, 1), 2: (0, 2)}
+
+
+def test_every_length_has_its_own_rotation(lspark):
+    """Long vectors whose first components, as many as the most frequent length has, tell nothing."""
+    rng = np.random.default_rng(8)
+    rows = [rng.normal(size=16) for _ in range(150)]
+    for _ in range(30):
+        base = rng.normal(size=48)
+        rows += [np.concatenate([0.01 * rng.normal(size=16), near(rng, base, 0.999)]) for _ in range(2)]
+    rows = [(i, [float(np.float32(x)) for x in v], 1) for i, v in enumerate(rows)]
+    want, found = plain(rows), got(lspark.createDataFrame(rows, SCHEMA))
+    assert sum(n for n, _ in want.values()) >= 40
+    assert sum(want[i] != found[i] for i in want) <= 0.02 * len(want)
