@@ -1,0 +1,97 @@
+"""Embedding whitening against numpy's eigenvalues and exact integers."""
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from shopmetrics.llm import whitening as w
+
+SCHEMA = "vec_id long, embedding array<float>, label int"
+
+
+def plain(rows, most=4):
+    """{(id, component): (n, deviation, |whitened|, explained)}"""
+    good = [(i, tuple(math.floor(256 * np.float32(c).astype(float)) for c in v)) for i, v in rows
+            if v is not None and all(c is not None and np.isfinite(np.float32(c)) for c in v)]
+    out = {}
+    for d in {len(x) for _, x in good}:
+        fit = sorted({x for _, x in good if len(x) == d})
+        n, total = len(fit), [sum(c) for c in zip(*fit)]
+        z = np.array(fit, float) - np.array([s / n for s in total])
+        if not d or not z.any():
+            continue
+        e, v = np.linalg.eigh(z.T @ z / n)
+        e, v = e[::-1], v[:, ::-1]
+        for i, x in good:
+            if len(x) == d:
+                for k in range(min(most, int((e > 1e-10 * e.sum()).sum()))):
+                    p = abs((np.array(x) - np.array([s / n for s in total])) @ v[:, k]) / e[k] ** 0.5
+                    out.setdefault((i, k + 1), []).append((n, sum((n * a - s) ** 2 for a, s in zip(x, total)), p, e[k] / e.sum()))
+    return out
+
+
+def got(df, **options):
+    out = {}
+    for r in w.whiten(df, **options).collect():
+        assert r["identity_error"] < 1e-9
+        out.setdefault((r["id"], r["component"]), []).append((r["n"], r["deviation"], abs(r["whitened"]), r["explained"]))
+    return out
+
+
+def same(a, b):
+    assert a.keys() == b.keys()
+    for k in a:
+        for x, y in zip(sorted(a[k]), sorted(b[k]), strict=True):
+            assert x[:2] == y[:2] and x[2:] == pytest.approx(y[2:], rel=1e-7, abs=1e-9), k
+
+
+def test_equals_brute_force(lspark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(400, 24)) * np.exp(-0.2 * np.arange(24)) / 3
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(base)]
+    rows += [(1000 + i, rows[3][1]) for i in range(200)]  # copies count once in the fit
+    same(got(lspark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA).repartition(5)), plain(rows))
+
+
+def test_leading_pairs_of_hard_spectra():
+    rng = np.random.default_rng(2)
+    for d, e in [(1, [3.0]), (2, [1, 1e-9]), (6, [5, 5 - 1e-9, 5 - 2e-9, 1, 1, 0]), (30, np.exp(-np.arange(30.0))), (12, np.ones(12)), (40, 1 + 1e-6 * np.arange(40))]:
+        q = np.linalg.qr(rng.normal(size=(d, d)))[0]
+        v = q @ np.diag(e) @ q.T
+        v = (v + v.T) / 2
+        pairs = w.leading(v)
+        want = np.sort(e)[::-1][: len(pairs)]
+        assert len(pairs) == min(4, int((np.array(e) > 1e-12 * np.sum(e)).sum()))
+        x = np.array([x for _, x in pairs])
+        assert np.allclose([a for a, _ in pairs], want, rtol=0, atol=1e-12 * max(e))
+        assert np.abs(x @ x.T - np.eye(len(x))).max() < 1e-9
+        assert np.abs(v @ x.T - x.T * np.array([a for a, _ in pairs])).max() < 1e-11 * max(e)
+
+
+def test_counts_equal_eigenvalues():
+    rng = np.random.default_rng(4)
+    for d in (1, 2, 3, 17):
+        a = rng.normal(size=(d, d))
+        v = a + a.T
+        e, t = np.linalg.eigvalsh(v), w.tridiagonal(v)
+        for s in [*(e[:-1] + e[1:]) / 2, e[0] - 1, e[-1] + 1]:
+            assert w.above(t, s) == int((e > s).sum())
+
+
+def test_nulls_lengths_ties_and_long_vectors(lspark):
+    rng = np.random.default_rng(6)
+    rows = [(1, None), (2, []), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 0.0]), (None, [0.25, -0.5]), (6, [0.25, -0.5]),
+            (6, [0.25, -0.5]), (7, [1.0, 0.125]), (8, [-0.001, -0.0]), (9, [1e30, 2.0, 3.0]), (10, [0.0, 0.0, 1.0]), (11, [3.0])]
+    rows += [(100 + i, rng.normal(size=300).tolist()) for i in range(6)]
+    df = lspark.createDataFrame([(i, v, None) for i, v in rows], SCHEMA)
+    out = got(df.where("vec_id is null or vec_id != 9").withColumn("id", F.lit("x")).withColumn("component", F.lit(1)).withColumn("v", F.lit(0)))
+    same(out, plain([r for r in rows if r[0] != 9]))
+    assert (None, 1) in out and len(out[(6, 1)]) == 2 and (11, 1) not in out and (10, 1) not in out
+    # Beyond 2^53 / 256 an entry is taken as 2^53, and a deviation beyond 64 bits is null.
+    assert {r["deviation"] for r in w.whiten(df).where("id = 9").collect()} == {None}
+
+
+def test_empty(lspark):
+    assert w.whiten(lspark.createDataFrame([], SCHEMA)).collect() == []
