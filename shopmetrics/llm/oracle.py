@@ -87,3 +87,42 @@ SELECT d.doc_id, CAST(len(d.x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_remov
        CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.x, d.x))) AS kept_sha256
 FROM d LEFT JOIN figures USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+CONVERSATION_TRIE = """
+WITH RECURSIVE own AS (
+    SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+    FROM conversations WHERE conv_id IS NOT NULL),
+bits AS (
+    SELECT c, flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: list_transform(range(8), lambda k: (ascii(s) >> CAST(k AS INTEGER)) & 1))) AS b
+    FROM (SELECT DISTINCT c FROM own)),
+crc(c, b, i, x) AS (
+    SELECT c, b, 1, CAST(4294967295 AS BIGINT) FROM bits
+    UNION ALL
+    SELECT c, b, i + 1, xor(x >> 1, ((x & 1) + b[i]) % 2 * CAST(3988292384 AS BIGINT)) FROM crc WHERE i <= len(b)),
+convs AS (SELECT c, c - c % 5 AS base, xor(x, CAST(4294967295 AS BIGINT)) % 9 AS h FROM crc WHERE i > len(b)),
+whole AS (
+    SELECT convs.c, 0 AS part, pos, role, text FROM convs JOIN own ON own.c = base AND pos <= h
+    UNION ALL
+    SELECT convs.c, 1, pos, role, text FROM convs JOIN own ON own.c = convs.c AND pos > h),
+turns AS (
+    SELECT c, row_number() OVER w AS d, octet_length(encode(text)) AS size,
+           string_agg(sha256(len(role) || ':' || role || text), '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS path
+    FROM whole WINDOW w AS (PARTITION BY c ORDER BY part, pos)),
+places AS (SELECT c, d, size, sha256(path) AS node FROM turns UNION ALL SELECT c, 0, 0, '' FROM convs),
+nodes AS (SELECT node, min(c) AS c, any_value(d) AS d, count(*) AS n, any_value(size) AS size FROM places GROUP BY node),
+up AS (SELECT DISTINCT a.node, b.node AS parent FROM places a JOIN places b ON a.c = b.c AND a.d = b.d + 1),
+children AS (SELECT parent AS node, count(*) AS n FROM up GROUP BY parent),
+above AS (  -- every node with each of its ancestors, itself included
+    SELECT nodes.node, nodes.n, nodes.size, p.node AS over FROM nodes JOIN places p ON p.c = nodes.c AND p.d <= nodes.d),
+subtrees AS (
+    SELECT over AS node, sum((above.n - 1) * size) AS saved, count(*) FILTER (children.n IS NULL) AS leaves
+    FROM above LEFT JOIN children USING (node) GROUP BY over),
+ends AS (
+    SELECT node, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids
+    FROM (SELECT c, arg_max(node, d) AS node FROM places GROUP BY c) GROUP BY node)
+SELECT nodes.c AS conv_id, CAST(nodes.d AS BIGINT) AS depth, p.c AS parent_conv_id, nodes.n AS n_convs, coalesce(children.n, 0) AS n_children,
+       CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes JOIN subtrees USING (node) LEFT JOIN up USING (node) LEFT JOIN nodes p ON p.node = up.parent
+     LEFT JOIN children ON children.node = nodes.node LEFT JOIN ends ON ends.node = nodes.node
+"""

@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopmetrics.llm import decontaminate, embed_dedup, langid, line_dedup, oracle, piece_bpe, pseudonyms, shards, simhash, suffix_dedup, toxicity
+from shopmetrics.llm import (conversation_trie, decontaminate, embed_dedup, langid, line_dedup, oracle, piece_bpe, pseudonyms, quality, shards, simhash,
+                             suffix_dedup, toxicity, whitening)
 
 #: The key of the registered query; a deployment passes its own secret.
 PSEUDONYM_KEY = b"registered query"
@@ -85,6 +86,19 @@ def op10_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode_texts(read(spark, sf_dir, "documents", "doc_id", "text"), piece_model(), digest=True).drop("text")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings", "vec_id", "embedding")).withColumnRenamed("id", "vec_id")
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judge(read(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+    return found.select(F.col("id").alias("doc_id"), *quality.FIGURES, "base_failed", "kept", "perplexity", "lower", "upper")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -97,6 +111,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_simhash": op9_simhash,
         "op10_piece_bpe": op10_piece_bpe,
+        "op11_conversation_trie": op11_conversation_trie,
+        "op12_whitening": op12_whitening,
+        "op13_quality": op13_quality,
     }
 
 
@@ -106,4 +123,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_suffix_dedup": oracle.SUFFIX_DEDUP,
         "op3_embed_dedup": oracle.EMBED_DEDUP,
         "op4_line_dedup": oracle.LINE_DEDUP,
+        "op11_conversation_trie": oracle.CONVERSATION_TRIE,
     }
