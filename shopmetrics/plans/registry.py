@@ -1,7 +1,7 @@
 """Named metrics: ``name -> callable(spark, sf_dir) -> DataFrame``.
 
 Each callable derives the canonical tables from the driver's parquet files in ``sf_dir``
-(lazily; see :class:`shopmetrics.sources.adapters.DriverTables`) and applies one metric.
+(lazily; see :func:`shopmetrics.sources.adapters.driver_tables`) and applies one metric.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from shopmetrics.plans import dashboard as D
 from shopmetrics.plans import funnel as Fn
 from shopmetrics.plans import profile as P
 from shopmetrics.plans import revenue as R
-from shopmetrics.sources.adapters import DriverTables
+from shopmetrics.sources.adapters import DriverTables, driver_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,7 +25,7 @@ FILTER_CHANNEL = "BUILDING"
 
 def _q(fn: Callable[[DriverTables], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(DriverTables(spark, sf_dir))
+        return fn(driver_tables(spark, sf_dir))
 
     run.__doc__ = fn.__doc__
     return run

@@ -22,7 +22,10 @@ Mapping (see FIXTURES.md §3):
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
 from functools import cached_property
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -186,9 +189,11 @@ class DriverTables:
 
     Each property is a logical plan only; nothing is read until an action runs, and
     only the columns a metric touches are scanned.  An object keeps the file listing of its
-    first use; make one per computation to see files added since.
+    first use; ``driver_tables`` gives one that fits the files there now.
     """
 
+    RAW = ("region", "nation", "customer", "part", "orders", "lineitem", "events")
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
@@ -225,3 +230,27 @@ class DriverTables:
 
     def as_dict(self) -> dict[str, DataFrame]:
         return {n: self.table(n) for n in ("users", "products", "sessions", "events", "orders", "order_items")}
+
+
+_TABLES: WeakKeyDictionary[SparkSession, dict[str, tuple[tuple[str, ...], DriverTables]]] = WeakKeyDictionary()
+
+
+def listing(spark: SparkSession, paths: Sequence[str]) -> tuple[str, ...]:
+    """Names, sizes and modification times of the files at each path (a file or a folder; "" if there is none), by the
+    file system Spark reads with."""
+    jvm = spark.sparkContext._jvm
+    at = [jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    fs = at[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    show = jvm.org.apache.commons.lang3.ArrayUtils.toString
+    return tuple(re.sub("access_time=[0-9]+", "", show(fs.listStatus(p))) if fs.exists(p) else "" for p in at)
+
+
+def driver_tables(spark: SparkSession, sf_dir: str) -> DriverTables:
+    """The canonical tables over ``sf_dir``.  Their definitions (schemas read from footers, analysed plans) are built
+    once for a session and folder, and again as soon as a file is added, replaced or removed; no data is kept."""
+    folder = sf_dir.rstrip("/")
+    now = listing(spark, [f"{folder}/{name}.parquet" for name in DriverTables.RAW])
+    known = _TABLES.setdefault(spark, {})
+    if folder not in known or known[folder][0] != now:
+        known[folder] = (now, DriverTables(spark, folder))
+    return known[folder][1]
