@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from shopmetrics.oracle import cohort_sql, dashboard_sql, funnel_sql, profile_sql, revenue_sql
+from shopmetrics.oracle import appended_sql, cohort_sql, dashboard_sql, funnel_sql, profile_sql, revenue_sql
 
 
 def all_sql(months: Sequence[int] = cohort_sql.MONTHS) -> dict[str, str]:
@@ -15,4 +15,5 @@ def all_sql(months: Sequence[int] = cohort_sql.MONTHS) -> dict[str, str]:
     out.update(profile_sql.sql())
     out.update(funnel_sql.sql())
     out.update(revenue_sql.sql())
+    out.update(appended_sql.sql())
     return out

@@ -35,22 +35,35 @@ def cohort_activity(orders: DataFrame, status: str | None = COMPLETED) -> DataFr
         F.count("total_amount").alias("n_amounts"),
         F.sum("total_amount").alias("revenue"),
     )
+    return with_cohort(um)
+
+
+def with_cohort(months: DataFrame) -> DataFrame:
+    """Rows per (user_id, order_start) with the buyer's cohort_start and the month_number."""
     cohort = F.min("order_start").over(Window.partitionBy("user_id"))
-    return um.withColumn("cohort_start", cohort).withColumn(
+    return months.withColumn("cohort_start", cohort).withColumn(
         "month_number", month_diff("cohort_start", "order_start"))
 
 
+def with_size(cells: DataFrame) -> DataFrame:
+    """Cells with the cohort's size (= its month-0 users), a window over the aggregated cells."""
+    size = F.max(F.when(F.col("month_number") == 0, F.col("users"))).over(Window.partitionBy("cohort_start"))
+    return cells.withColumn("cohort_size", size)
+
+
 def _cells(activity: DataFrame) -> DataFrame:
-    """Per observed (cohort, month): users, orders, revenue; plus the cohort's size
-    (= its month-0 users) via a window over the already aggregated cells."""
-    c = activity.groupBy("cohort_start", "order_start", "month_number").agg(
+    """Per observed (cohort, month): users, orders, revenue and the cohort's size."""
+    return with_size(activity.groupBy("cohort_start", "order_start", "month_number").agg(
         F.count(F.lit(1)).alias("users"),
         F.sum("n_orders").alias("orders"),
         F.sum("n_amounts").alias("amounts"),
         F.sum("revenue").alias("revenue"),
-    )
-    size = F.max(F.when(F.col("month_number") == 0, F.col("users"))).over(Window.partitionBy("cohort_start"))
-    return c.withColumn("cohort_size", size)
+    ))
+
+
+def cells_of_months(months: DataFrame) -> DataFrame:
+    """Cells from rows per (user_id, order_start): n_orders, n_amounts, revenue."""
+    return _cells(with_cohort(months))
 
 
 def cohort_cells(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
@@ -257,7 +270,16 @@ def cohort_report(orders: DataFrame, status: str = COMPLETED) -> dict[str, DataF
     cells frame is persisted, and every metric — sizes, retention, revenue, per-user value,
     matrices, LTV — is a cheap projection or aggregate of it."""
     cells = cohort_cells(orders, status).persist()
-    out = {
+    out = report_of(cells)
+    out["retention_matrix_wide"] = pivot_wide(_retention_long(cells), *_BY_CELL, "retention_pct", "M")
+    out["revenue_matrix_wide"] = pivot_wide(_revenue_long(cells), *_BY_CELL, "revenue", "M")
+    out["ltv_matrix_wide"] = pivot_wide(_ltv_long(cells), *_BY_CELL, "ltv", "M")
+    return out
+
+
+def report_of(cells: DataFrame) -> dict[str, DataFrame]:
+    """The metrics of C1–C8 in long form from their cells."""
+    return {
         "cohort_sizes": _sizes(cells),
         "cohort_retention": _retention(cells),
         "cohort_revenue": _revenue(cells),
@@ -268,7 +290,19 @@ def cohort_report(orders: DataFrame, status: str = COMPLETED) -> dict[str, DataF
         "ltv_curve": _ltv(cells),
         "ltv_latest": _ltv_latest(cells),
     }
-    out["retention_matrix_wide"] = pivot_wide(_retention_long(cells), *_BY_CELL, "retention_pct", "M")
-    out["revenue_matrix_wide"] = pivot_wide(_revenue_long(cells), *_BY_CELL, "revenue", "M")
-    out["ltv_matrix_wide"] = pivot_wide(_ltv_long(cells), *_BY_CELL, "ltv", "M")
-    return out
+
+
+def cell_report(cells: DataFrame) -> DataFrame:
+    """C1–C8 side by side, one row per (cohort, month): size, retention, revenue and cumulative value of the cell, and the
+    totals of the whole cohort (windows over the few cells)."""
+    whole = Window.partitionBy("cohort_start")
+    so_far = whole.orderBy("month_number").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    orders, revenue = F.sum("orders").over(whole), F.sum("revenue").over(whole)
+    return cells.select(
+        month_key("cohort_start").alias("cohort_month"), month_key("order_start").alias("purchase_month"), "month_number", "cohort_size",
+        F.col("users").alias("retained_users"), pct("users", "cohort_size", 2).alias("retention_pct"),
+        share_pct("users", "cohort_size", 1).alias("retention_pct_1"), F.col("orders").alias("total_orders"),
+        round_n("revenue", 2).alias("cohort_revenue"), round_n(ratio("revenue", "amounts"), 2).alias("avg_order_value"),
+        round_n(F.sum(round_n("revenue", 0)).over(so_far) / F.col("cohort_size").cast("double"), 2).alias("ltv"),
+        orders.cast("long").alias("cohort_orders"), round_n(ratio(orders, "cohort_size"), 2).alias("avg_orders_per_user"),
+        round_n(revenue, 2).alias("total_revenue"), round_n(ratio(revenue, "cohort_size"), 2).alias("avg_revenue_per_user"))

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shopmetrics.plans import appended as A
 from shopmetrics.plans import cohort as C
 from shopmetrics.plans import dashboard as D
 from shopmetrics.plans import funnel as Fn
@@ -129,6 +130,13 @@ def dashboard_queries() -> dict[str, Query]:
     }
 
 
+def appended_queries() -> dict[str, Query]:
+    return {
+        "cohort_report_appended": _q(lambda t: A.cohort_report_appended(t.orders)),
+        "orders_appended": _q(lambda t: A.orders_appended(t.orders)),
+    }
+
+
 def all_queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(profile_queries())
@@ -136,4 +144,5 @@ def all_queries() -> dict[str, Query]:
     out.update(cohort_queries())
     out.update(funnel_queries())
     out.update(revenue_queries())
+    out.update(appended_queries())
     return out
