@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from shopmetrics.model import STAGES
 from shopmetrics.oracle.cohort_sql import GRID
 from shopmetrics.oracle.prelude import with_prelude
-from shopmetrics.oracle.sqlhelp import div, pct, rnd
+from shopmetrics.oracle.sqlhelp import COMPLETED, div, pct, rnd
 
 
 def sql() -> dict[str, str]:
+    known = "WHERE event_type IN (" + ", ".join(f"'{x}'" for x in STAGES) + ")"
     spring = "coalesce(month(order_date) <= 6, false)"
     return {
         "cohort_report_appended": with_prelude(f"""
@@ -18,6 +20,12 @@ SELECT g.cohort_month, purchase_month, month_number, g.size0 AS cohort_size, buy
        {rnd(div('w.spent', 'w.size0'), 2)} AS avg_revenue_per_user
 FROM (SELECT *, SUM({rnd('spent', 0)}) OVER (PARTITION BY cohort_month ORDER BY month_number ROWS UNBOUNDED PRECEDING) AS running FROM sized) g
 JOIN whole w ON g.cohort_month = w.cohort_month""", GRID),
+        "distinct_users_appended": with_prelude(f"""
+SELECT 'overall' AS dimension, CAST(NULL AS VARCHAR) AS value, event_type AS stage, COUNT(DISTINCT user_id) AS users FROM c_events {known} GROUP BY 3
+UNION ALL SELECT 'week', strftime(ts, '%Y-W%W'), event_type, COUNT(DISTINCT user_id) FROM c_events {known} GROUP BY 2, 3
+UNION ALL SELECT 'device_type', s.device_type, event_type, COUNT(DISTINCT e.user_id) FROM c_events e JOIN c_sessions s USING (session_id) {known} GROUP BY 2, 3
+UNION ALL SELECT 'channel', s.channel, event_type, COUNT(DISTINCT e.user_id) FROM c_events e JOIN c_sessions s USING (session_id) {known} GROUP BY 2, 3
+UNION ALL SELECT 'customers', NULL, 'completed order', COUNT(DISTINCT user_id) FROM c_orders WHERE {COMPLETED} HAVING COUNT(*) > 0"""),
         "orders_appended": with_prelude(f"""
 SELECT status, COUNT(*) AS orders, CAST(SUM(total_amount) AS DOUBLE) AS revenue FROM c_orders WHERE order_id IS NOT NULL GROUP BY status
 UNION ALL SELECT 'refused', COUNT(*) FILTER ({spring}), NULL FROM c_orders"""),

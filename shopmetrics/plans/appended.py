@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from shopmetrics.model import COMPLETED, ORDERS, STATUSES
 from shopmetrics.plans import cohort
 from shopmetrics.plans.cohort_state import CohortState, corrections, signed
+from shopmetrics.plans.user_marks import UserMarks, distinct_report
 from shopmetrics.sources.batches import KeyedTable, work_folder
 
 #: Whether an order is in the first half of its year; orders without a date aren't.
@@ -45,3 +46,13 @@ def orders_appended(orders: DataFrame) -> DataFrame:
     kept = table.read().groupBy("status").agg(F.count(F.lit(1)).alias("orders"), F.sum("total_amount").cast("double").alias("revenue"))
     refused = table.refused("second").agg(F.coalesce(F.sum("rows"), F.lit(0)).cast("long").alias("orders"))
     return kept.unionByName(refused.select(F.lit("refused").alias("status"), "orders", F.lit(None).cast("double").alias("revenue")))
+
+
+def distinct_users_appended(events: DataFrame, sessions: DataFrame, orders: DataFrame) -> DataFrame:
+    """F1, F3, F4, F5 and T3 (``user_marks.distinct_report``) from user bitmaps of two batches: days up to the 15th of each
+    month, and the days after."""
+    store = UserMarks(events.sparkSession, work_folder(events.sparkSession))
+    early, bought = "coalesce(day(ts) <= 15, false)", "coalesce(day(order_date) <= 15, false)"
+    store.add(events.where(early), sessions, orders.where(bought), "first_half")
+    store.add(events.where(f"not {early}"), sessions, orders.where(f"not {bought}"), "second_half")
+    return distinct_report(store.table())

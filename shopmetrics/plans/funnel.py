@@ -149,6 +149,11 @@ def funnel_by_dimension(events: DataFrame, sessions: DataFrame, dim: str, stages
     return _by_dimension_from(_session_dim_counts(events, sessions, dim, stages), dim, stages, style, order_by)
 
 
+def by_dimension(wide: DataFrame, dim: str, stages: Sequence[str] = STAGES) -> DataFrame:
+    """F3/F4 from counted stages: dim and a column per stage."""
+    return _by_dimension_from(wide, dim, stages, "sql", f"{stages[0]}_users" if dim == "device_type" else "overall_conversion_pct")
+
+
 def funnel_by_device(events: DataFrame, sessions: DataFrame, stages: Sequence[str] = STAGES) -> DataFrame:
     """by session device, ordered by page-view users."""
     return funnel_by_dimension(events, sessions, "device_type", stages, "sql", f"{stages[0]}_users")

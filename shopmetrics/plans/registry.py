@@ -133,6 +133,7 @@ def dashboard_queries() -> dict[str, Query]:
 def appended_queries() -> dict[str, Query]:
     return {
         "cohort_report_appended": _q(lambda t: A.cohort_report_appended(t.orders)),
+        "distinct_users_appended": _q(lambda t: A.distinct_users_appended(t.events, t.sessions, t.orders)),
         "orders_appended": _q(lambda t: A.orders_appended(t.orders)),
     }
 
