@@ -89,56 +89,52 @@ def duplicate_keys(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[
 @dataclass(frozen=True)
 class Audit:
     """What one table adds to an audit: its key (with the rule that it is unique), references to other
-    keys, and conditions that count a violation where they hold."""
+    keys, and conditions (SQL) that count a violation where they hold."""
 
     frame: DataFrame
     key: Sequence[str]
     unique: str
     references: Sequence[tuple[str, str, str]]  # (column, unique rule of the key referred to, rule)
-    conditions: Sequence[tuple[Column, str]]
+    conditions: Sequence[tuple[str, str]]
 
 
 def audit(tables: Sequence[Audit]) -> DataFrame:
     """rule, violations for all tables in one pass over each.
 
-    Every row turns into a few entries (kind, k1, k2): its own key, its non-NULL references and the conditions it
-    breaks.  One grouping by entry counts them with map-side partial counts, so a key that a third of
-    all rows refer to is one row a task before the shuffle.  In it, a key's rows beyond the first are
+    Every row turns into a few entries (kind, k1, k2): its own key, its non-NULL references and, if it breaks conditions, one
+    entry with a bit for each of them.  One grouping by entry counts them with map-side partial counts, so a key that
+    a third of all rows refer to is one row a task before the shuffle.  In it, a key's rows beyond the first are
     duplicates (NULL counts as a value, as pandas ``duplicated`` does), and references to a key without a
-    row are orphans.  Keys are whole numbers, of two columns at most."""
-    null = F.lit(None).cast("long")
-    kinds = {t.unique: i for i, t in enumerate(tables)}  # of keys; conditions have kinds of their own
+    row are orphans.  Keys are whole numbers, of two columns at most; a table has at most 63 conditions."""
+    kinds = {t.unique: i for i, t in enumerate(tables)}  # of keys; the conditions of a table have a kind of their own
     slots: dict[str, tuple[int, int]] = {}  # of a reference: kind of the key, and its counter there
     for t in tables:
         for _, unique, rule in t.references:
             slots[rule] = (kinds[unique], sum(k == kinds[unique] for k, _ in slots.values()))
     width = max([0, *(slot + 1 for _, slot in slots.values())])
 
-    def entry(kind: int, k1: Column, k2: Column, counter: int) -> Column:
+    def entry(kind: int, k1: str, k2: str, counter: int) -> str:
         """``counter`` -1: a row of the key itself; else the counter of a reference."""
-        return F.struct(F.lit(kind).alias("kind"), k1.cast("long").alias("k1"), k2.cast("long").alias("k2"), F.lit(counter).alias("counter"))
+        return f"named_struct('kind', {kind}, 'k1', cast({k1} as bigint), 'k2', cast({k2} as bigint), 'counter', {counter})"
 
-    parts = []
-    for t in tables:
-        own = [F.col(c) for c in t.key]
-        entries = [entry(kinds[t.unique], own[0], own[1] if len(own) > 1 else null, -1)]
+    parts, found = [], {t.unique: f"kind = {kinds[t.unique]} then again" for t in tables}
+    found |= {rule: f"kind = {kind} then s{slot}" for rule, (kind, slot) in slots.items()}
+    for i, t in enumerate(tables):
+        entries = [entry(kinds[t.unique], f"`{t.key[0]}`", f"`{t.key[1]}`" if len(t.key) > 1 else "null", -1)]
         for c, _, rule in t.references:
             kind, slot = slots[rule]
-            entries.append(F.when(F.col(c).isNotNull(), entry(kind, F.col(c), null, slot)))
-        for holds, rule in t.conditions:
-            kinds[rule] = len(kinds)
-            entries.append(F.when(holds, entry(kinds[rule], null, null, -1)))
-        parts.append(t.frame.select(F.explode(F.array(*entries)).alias("e")).where("e is not null").select("e.*"))
-    counted = _union(parts).groupBy("kind", "k1", "k2").agg(
-        F.count(F.when(F.col("counter") == -1, 1)).alias("rows"),
-        *[F.count(F.when(F.col("counter") == i, 1)).alias(f"s{i}") for i in range(width)])
-    per_kind = counted.groupBy("kind").agg(
-        F.sum("rows").alias("rows"), F.sum(F.greatest(F.col("rows") - 1, F.lit(0))).alias("again"),
-        *[F.sum(F.when(F.col("rows") == 0, F.col(f"s{i}"))).alias(f"s{i}") for i in range(width)])
-    found = {t.unique: (kinds[t.unique], "again") for t in tables}
-    found |= {rule: (kind, f"s{slot}") for rule, (kind, slot) in slots.items()}
-    found |= {rule: (kinds[rule], "rows") for t in tables for _, rule in t.conditions}
-    totals = per_kind.agg(*[F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col(c))), F.lit(0)).cast("long").alias(f"_r{i}")
-                            for i, (kind, c) in enumerate(found.values())])
+            entries.append(f"if(`{c}` is not null, {entry(kind, f'`{c}`', 'null', slot)}, null)")
+        own = len(tables) + i
+        if t.conditions:
+            broken = " + ".join(f"if({holds}, {1 << k}L, 0L)" for k, (holds, _) in enumerate(t.conditions))
+            entries.append(f"if(({broken}) > 0, {entry(own, broken, 'null', -1)}, null)")
+            found |= {rule: f"kind = {own} and broken & {1 << k} != 0 then rows" for k, (_, rule) in enumerate(t.conditions)}
+        parts.append(t.frame.selectExpr(f"inline(array({', '.join(entries)}))").where("kind is not null"))
+    counts = ["count(if(counter = -1, 1, null)) as rows", *[f"count(if(counter = {i}, 1, null)) as s{i}" for i in range(width)]]
+    counted = _union(parts).groupBy("kind", "k1", "k2").agg(*map(F.expr, counts))
+    orphans = [f"sum(if(rows = 0, s{i}, 0)) as s{i}" for i in range(width)]
+    per_kind = counted.groupBy("kind", F.expr(f"if(kind >= {len(tables)}, k1, 0)").alias("broken")).agg(
+        *map(F.expr, ["sum(rows) as rows", "sum(greatest(rows - 1, 0)) as again", *orphans]))
+    totals = per_kind.selectExpr(*[f"cast(coalesce(sum(case when {what} end), 0) as bigint) as _r{i}" for i, what in enumerate(found.values())])
     args = ", ".join(f"'{rule}', `_r{i}`" for i, rule in enumerate(found))
     return totals.selectExpr(f"stack({len(found)}, {args}) as (rule, violations)")

@@ -166,8 +166,9 @@ def rule_violations(tables: Mapping[str, DataFrame]) -> DataFrame:
 
     audits = []
     for name, df in tables.items():
-        conditions = [(F.col(c).isNull(), f"not_null:{name}.{c}") for c in required(name, df.columns) if c in df.columns]
-        conditions += [(F.col(c).isNotNull() & ~F.col(c).isin(*allowed), f"check:{t}.{c}") for t, c, allowed in CHECKS if t == name]
+        conditions = [(f"`{c}` is null", f"not_null:{name}.{c}") for c in required(name, df.columns) if c in df.columns]
+        conditions += [("`{}` is not null and `{}` not in ({})".format(c, c, ", ".join(f"'{v}'" for v in allowed)), f"check:{t}.{c}")
+                       for t, c, allowed in CHECKS if t == name]
         references = [(c, unique(parent), f"foreign_key:{name}.{c}->{parent}.{pc}")
                       for child, c, parent, pc in FOREIGN_KEYS if child == name and parent in tables]
         audits.append(Q.Audit(df, key_of(name, df.columns), unique(name), references, conditions))
