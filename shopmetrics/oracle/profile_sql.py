@@ -90,6 +90,8 @@ UNION ALL SELECT 'session_to_purchase_pct',
           {pct('(SELECT COUNT(*) FROM c_orders)', '(SELECT COUNT(*) FROM c_sessions)', 1)}
 UNION ALL SELECT 'repeat_buyer_pct', {pct('COUNT(*) FILTER (WHERE n >= 2)', 'COUNT(*)', 1)}
           FROM (SELECT user_id, COUNT(*) AS n FROM c_orders WHERE {COMPLETED} GROUP BY user_id)""")
+    q["footer_row_counts"] = " UNION ALL ".join(f"SELECT '{t}' AS \"table\", COUNT(*) AS rows FROM {t}" for t in (
+        "region", "nation", "customer", "part", "orders", "lineitem", "events"))
     rules: list[str] = []
     for t, k in PRIMARY_KEYS.items():
         rules.append(

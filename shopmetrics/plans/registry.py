@@ -16,6 +16,7 @@ from shopmetrics.plans import dashboard as D
 from shopmetrics.plans import funnel as Fn
 from shopmetrics.plans import profile as P
 from shopmetrics.plans import revenue as R
+from shopmetrics.sources import footers
 from shopmetrics.sources.adapters import DriverTables, driver_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,6 +104,8 @@ def profile_queries() -> dict[str, Query]:
         "project_summary": _q(lambda t: P.project_summary(t.users, t.sessions, t.events, t.orders)),
         "event_type_counts": _q(lambda t: P.event_type_counts(t.events)),
         "products_per_subcategory": _q(lambda t: P.products_per_subcategory(t.products)),
+        "footer_row_counts": lambda spark, sf_dir: footers.row_counts(
+            spark, {n: f"{sf_dir.rstrip('/')}/{n}.parquet" for n in DriverTables.RAW}).select("table", "rows"),
         "rule_violations": _q(lambda t: P.rule_violations(t.as_dict())),
     }
 
