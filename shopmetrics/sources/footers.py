@@ -42,8 +42,8 @@ def row_counts(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
     """Table, rows, columns of the Parquet tables at ``paths``."""
     s = footer_session(spark)
     read = {name: s.read.parquet(path) for name, path in paths.items()}
-    # The pushed count of a table without row groups is NULL.
-    return _union([df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), F.coalesce("rows", F.lit(0)).cast("long").alias("rows"),
+    # The pushed count of a table without row groups is NULL, though Spark takes a count for non-null (coalesce would be dropped).
+    return _union([df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), F.greatest("rows", F.lit(0)).cast("long").alias("rows"),
                                                                   F.lit(len(df.columns)).alias("columns"))
                    for name, df in read.items()])
 
@@ -54,7 +54,7 @@ def null_counts(spark: SparkSession, paths: Mapping[str, str], only_with_nulls:
     for name, path in paths.items():
         df = s.read.parquet(path)
         wide = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(f"`{c}`").alias(f"_n{i}") for i, c in enumerate(df.columns)])
-        args = ", ".join(f"'{c}', _rows - _n{i}" for i, c in enumerate(df.columns))
+        args = ", ".join(f"'{c}', greatest(_rows, 0) - greatest(_n{i}, 0)" for i, c in enumerate(df.columns))
         parts.append(wide.selectExpr(f"'{name}' as table", "_rows as rows", f"stack({len(df.columns)}, {args}) as (`column`, nulls)"))
     u = _union(parts)
     u = u.where("nulls > 0") if only_with_nulls else u
