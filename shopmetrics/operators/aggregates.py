@@ -43,44 +43,38 @@ def value_counts(df: DataFrame, key: str, name: str = "count") -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
 
 
-def equal_width_histogram(df: DataFrame, value: str | Column, bins: int,
-                          extra: dict[str, Column] | None = None) -> DataFrame:
-    """Equal-width histogram over [min, max] with the last bin right-closed.
-
-    Two passes, as a distributed histogram needs: one global aggregate for the range
-    (plus any ``extra`` aggregates over the same rows) returns a single row of scalars
-    to the driver; the values are then binned with those constants and counted in one
-    grouped aggregation keyed by bin number, and a ``bins``-row frame supplies the
-    empty bins.  A degenerate range (min == max) is widened to [min-0.5, max+0.5].
-    Columns: bin (0-based), lo, hi, count, then one column per ``extra`` aggregate.
+def equal_width_histogram(df: DataFrame, value: str, bins: int, mean: str | None = None) -> DataFrame:
+    """Equal-width histogram over [min, max] of the column ``value`` with the last bin right-closed.
+
+    One scan: rows are counted by exact value first (cents, prices: map-side, so a value that a third of the rows has is one
+    row a task), and everything else comes from these counts.  The range is a scalar subquery over them, which shares
+    their exchange with the binning; nothing runs while the query is built.  A ``bins``-row frame supplies
+    the empty bins.  A degenerate range (min == max) is widened to [min-0.5, max+0.5].
+    Columns: bin (0-based), lo, hi, count, then with ``mean`` a column of that name, the exact mean to 2 places.
     """
-    extra = extra or {}
-    v = col(value).cast("double")
-    vals = df.select(v.alias("v")).where(F.col("v").isNotNull())
-    summary = df.withColumn("_v", v).where(F.col("_v").isNotNull()).agg(
-        F.min("_v").alias("mn"), F.max("_v").alias("mx"), *[e.alias(k) for k, e in extra.items()])
-    types = {f.name: f.dataType for f in summary.schema.fields}
-    stats = summary.first()
-    mn, mx = stats["mn"], stats["mx"]
-    if mn is not None and mn == mx:
-        mn, mx = mn - 0.5, mx + 0.5
-    lo0, hi0 = F.lit(mn).cast("double"), F.lit(mx).cast("double")
+    counts = df.select(col(value).alias("v")).where(F.col("v").isNotNull()).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    exact = F.sum(F.col("v") * F.col("n")).cast("double") / F.nullif(F.sum("n"), F.lit(0)).cast("double")
+    stats = counts.agg(F.struct(F.min("v").cast("double").alias("mn"), F.max("v").cast("double").alias("mx"),
+                                round_n(exact, 2).alias("mean")).alias("s")).scalar()
+    mn, mx = stats.getField("mn"), stats.getField("mx")
+    lo0 = F.when(mn == mx, mn - 0.5).otherwise(mn)
+    hi0 = F.when(mn == mx, mx + 0.5).otherwise(mx)
     width = (hi0 - lo0) / F.lit(float(bins))
     # Bin index as numpy computes it: scaled offset, clamped, then nudged by one so that
     # every value lies within the edges of its bin (edges = lo + i * width).
     norm = F.lit(float(bins)) / (hi0 - lo0)
-    b0 = F.least(F.floor((F.col("v") - lo0) * norm), F.lit(bins - 1)).cast("int")
-    b1 = F.when(F.col("v") < lo0 + F.col("b0") * width, F.col("b0") - 1).otherwise(F.col("b0"))
-    b2 = F.when((F.col("v") >= lo0 + (F.col("b1") + 1) * width) & (F.col("b1") != bins - 1), F.col("b1") + 1) \
+    b0 = F.least(F.floor((F.col("v") - F.col("lo0")) * F.col("norm")), F.lit(bins - 1)).cast("int")
+    b1 = F.when(F.col("v") < F.col("lo0") + F.col("b0") * F.col("width"), F.col("b0") - 1).otherwise(F.col("b0"))
+    b2 = F.when((F.col("v") >= F.col("lo0") + (F.col("b1") + 1) * F.col("width")) & (F.col("b1") != bins - 1), F.col("b1") + 1) \
         .otherwise(F.col("b1"))
-    binned = vals.withColumn("b0", b0).withColumn("b1", b1).select(b2.alias("bin")) \
-        .groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
-    frame = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    binned = counts.select(F.col("v").cast("double").alias("v"), "n", lo0.alias("lo0"), norm.alias("norm"), width.alias("width")) \
+        .withColumn("b0", b0).withColumn("b1", b1).select(b2.alias("bin"), "n").groupBy("bin").agg(F.sum("n").alias("count"))
+    frame = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"), lo0.alias("lo0"), hi0.alias("hi0"), width.alias("width"))
     edges = frame.select(
         "bin",
-        (lo0 + F.col("bin") * width).alias("lo"),
-        F.when(F.col("bin") == bins - 1, hi0).otherwise(lo0 + (F.col("bin") + 1) * width).alias("hi"),
+        (F.col("lo0") + F.col("bin") * F.col("width")).alias("lo"),
+        F.when(F.col("bin") == bins - 1, F.col("hi0")).otherwise(F.col("lo0") + (F.col("bin") + 1) * F.col("width")).alias("hi"),
     )
-    extras = [F.lit(stats[k]).cast(types[k]).alias(k) for k in extra]
+    extra = [stats.getField("mean").alias(mean)] if mean else []
     return edges.join(binned, "bin", "left").select(
-        "bin", "lo", "hi", F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"), *extras)
+        "bin", "lo", "hi", F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"), *extra)

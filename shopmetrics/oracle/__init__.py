@@ -15,5 +15,5 @@ def all_sql(months: Sequence[int] = cohort_sql.MONTHS) -> dict[str, str]:
     out.update(profile_sql.sql())
     out.update(funnel_sql.sql())
     out.update(revenue_sql.sql())
-    out.update(appended_sql.sql())
+    out.update(appended_sql.sql(out))
     return out

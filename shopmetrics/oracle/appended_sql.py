@@ -8,7 +8,7 @@ from shopmetrics.oracle.prelude import with_prelude
 from shopmetrics.oracle.sqlhelp import COMPLETED, div, pct, rnd
 
 
-def sql() -> dict[str, str]:
+def sql(others: dict[str, str]) -> dict[str, str]:
     known = "WHERE event_type IN (" + ", ".join(f"'{x}'" for x in STAGES) + ")"
     spring = "coalesce(month(order_date) <= 6, false)"
     return {
@@ -26,6 +26,11 @@ UNION ALL SELECT 'week', strftime(ts, '%Y-W%W'), event_type, COUNT(DISTINCT user
 UNION ALL SELECT 'device_type', s.device_type, event_type, COUNT(DISTINCT e.user_id) FROM c_events e JOIN c_sessions s USING (session_id) {known} GROUP BY 2, 3
 UNION ALL SELECT 'channel', s.channel, event_type, COUNT(DISTINCT e.user_id) FROM c_events e JOIN c_sessions s USING (session_id) {known} GROUP BY 2, 3
 UNION ALL SELECT 'customers', NULL, 'completed order', COUNT(DISTINCT user_id) FROM c_orders WHERE {COMPLETED} HAVING COUNT(*) > 0"""),
+        "load_rejects": with_prelude("""
+SELECT 'total_amount' AS "column", 'cannot read as decimal(18,2): n/a' AS reason, COUNT(*) AS records FROM c_orders WHERE status = 'cancelled' AND order_date IS NOT NULL HAVING COUNT(*) > 0
+UNION ALL SELECT 'order_date', 'no value', COUNT(*) FROM c_orders WHERE status = 'returned' OR order_date IS NULL HAVING COUNT(*) > 0
+UNION ALL SELECT NULL, 'accepted', COUNT(*) FROM c_orders WHERE status = 'completed' AND order_date IS NOT NULL"""),
+        "monthly_span": f"SELECT * FROM ({others['revenue_monthly_completed']}) WHERE month IN ('1996-03', '1996-04')",
         "orders_appended": with_prelude(f"""
 SELECT status, COUNT(*) AS orders, CAST(SUM(total_amount) AS DOUBLE) AS revenue FROM c_orders WHERE order_id IS NOT NULL GROUP BY status
 UNION ALL SELECT 'refused', COUNT(*) FILTER ({spring}), NULL FROM c_orders"""),

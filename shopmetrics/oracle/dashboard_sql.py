@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from shopmetrics.oracle.prelude import with_prelude
-from shopmetrics.oracle.sqlhelp import COMPLETED, avg, div, month, month_diff, rnd
+from shopmetrics.oracle.sqlhelp import COMPLETED, avg, div, month, month_diff, pct, rnd
 
 _X1 = """
 x1 AS (SELECT o.order_id, o.session_id, o.user_id, o.order_date, o.total_amount, o.discount_amount,
@@ -67,4 +67,10 @@ GROUP BY 1, 2""", "fp AS (SELECT user_id, date_trunc('month', MIN(order_date)) A
         "SELECT buyers, repeat_buyers, " + div("repeat_buyers", "buyers") + " AS repeat_buyer_rate FROM "
         "(SELECT COUNT(*) AS buyers, COUNT(*) FILTER (WHERE n >= 2) AS repeat_buyers FROM "
         f"(SELECT user_id, COUNT(*) AS n FROM c_orders WHERE {COMPLETED} GROUP BY user_id))")
+    q["retention_fixed"] = q["retention_lod"]
+    q["channel_payment_share"] = with_prelude(f"""
+SELECT acquisition_channel, payment_method, {rnd('done', 2)} AS revenue, {rnd('whole', 2)} AS channel_revenue, {pct('done', 'whole', 2)} AS share_pct
+FROM (SELECT acquisition_channel, payment_method, SUM(total_amount) FILTER ({COMPLETED}) AS done, COUNT(*) FILTER ({COMPLETED}) AS n,
+             SUM(SUM(total_amount)) OVER (PARTITION BY acquisition_channel) AS whole
+      FROM c_orders LEFT JOIN c_users USING (user_id) GROUP BY acquisition_channel, payment_method) WHERE n > 0""")
     return q

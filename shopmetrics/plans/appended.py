@@ -1,7 +1,7 @@
 """Queries over tables that arrive in batches: the driver's orders, dealt to batches by their date and taken in one after
 the other.
 
-Each batch is stored below the session's checkpoint folder, and the result must equal the metric over the whole table.
+Also loads and partitioned stores of the same orders.  Each batch is stored below the session's checkpoint folder, and the result must equal the metric over the whole table.
 """
 
 from __future__ import annotations
@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopmetrics.model import COMPLETED, ORDERS, STATUSES
-from shopmetrics.plans import cohort
+from shopmetrics.plans import cohort, revenue
 from shopmetrics.plans.cohort_state import CohortState, corrections, signed
 from shopmetrics.plans.user_marks import UserMarks, distinct_report
+from shopmetrics.sources import io, load, monthly
 from shopmetrics.sources.batches import KeyedTable, work_folder
 
 #: Whether an order is in the first half of its year; orders without a date aren't.
@@ -56,3 +57,26 @@ def distinct_users_appended(events: DataFrame, sessions: DataFrame, orders: Data
     store.add(events.where(early), sessions, orders.where(bought), "first_half")
     store.add(events.where(f"not {early}"), sessions, orders.where(f"not {bought}"), "second_half")
     return distinct_report(store.table())
+
+
+def load_rejects(orders: DataFrame) -> DataFrame:
+    """column, reason, records of a CSV export of the orders in which cancelled orders have no number as their total and
+    returned ones no date; accepted records have the reason "accepted"."""
+    spark, root = orders.sparkSession, work_folder(orders.sparkSession)
+    spoiled = orders.select(*ORDERS.names).withColumn("total_amount", F.when(F.col("status") == STATUSES[2], F.lit("n/a")).otherwise(F.col("total_amount").cast("string")))
+    spoiled = spoiled.withColumn("order_date", F.when(F.col("status") != STATUSES[1], F.col("order_date")))
+    io.write_table(spoiled, f"{root}/export", "csv")
+    done = load.load_csv(spark, f"{root}/export", "orders", f"{root}/orders", multiline=False)
+    good = done.rows().agg(F.lit(None).cast("string").alias("column"), F.lit("accepted").alias("reason"), F.count(F.lit(1)).alias("records"))
+    return good.unionByName(done.rejects().groupBy("column", "reason").agg(F.count(F.lit(1)).alias("records")))
+
+
+#: The first and last day of ``monthly_span``.
+SPAN = ("1996-03-01", "1996-04-30")
+
+
+def monthly_span(orders: DataFrame) -> DataFrame:
+    """R1e over two months of orders stored by month: only these months' folders are read."""
+    path = work_folder(orders.sparkSession)
+    monthly.write_monthly(orders.select(*ORDERS.names), "orders", path)
+    return revenue.revenue_monthly_completed(monthly.read_span(orders.sparkSession, "orders", path, *SPAN))

@@ -8,12 +8,13 @@ first order of *any* status, and only the counted users are filtered to complete
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopmetrics.functions.exprs import exact_avg, month_diff, month_key, month_start, ratio, round_n
+from shopmetrics.functions.exprs import exact_avg, month_diff, month_key, month_start, pct, ratio, round_n
 from shopmetrics.model import COMPLETED
 from shopmetrics.operators.aggregates import ordered
+from shopmetrics.operators.lod import Computed, Fixed, view
 
 
 def orders_enriched(orders: DataFrame, sessions: DataFrame, users: DataFrame) -> DataFrame:
@@ -152,6 +153,30 @@ def retention_lod(orders: DataFrame, status: str = COMPLETED, month_part: bool =
         .transform(ordered("cohort_month", "month_number"))
 
 
+def retention_fixed(orders: DataFrame, status: str = COMPLETED) -> DataFrame:
+    """T10 as the worksheet states it, by level-of-detail expressions: the cohort is FIXED per user, its size FIXED per cohort,
+    both before the status filter.  Same result as ``retention_lod``, which reduces orders per (user, month) first."""
+    rows = orders.where(F.col("user_id").isNotNull()).select("user_id", "status", month_start("order_date").alias("order_start")).distinct()
+    steps = [Fixed("cohort_start", ["user_id"], F.min("order_start")),
+             Computed("month_number", month_diff("cohort_start", "order_start")),
+             Fixed("cohort_size", ["cohort_start"], F.count_distinct("user_id"))]
+    c = view(rows, steps, ["cohort_start", "month_number"],
+             {"retained_users": F.count_distinct("user_id"), "cohort_size": F.min("cohort_size")}, where=F.col("status") == status)
+    return c.select(month_key("cohort_start").alias("cohort_month"), "month_number", "retained_users", "cohort_size",
+                    ratio("retained_users", "cohort_size").alias("retention")).transform(ordered("cohort_month", "month_number"))
+
+
+def channel_payment_share(orders: DataFrame, users: DataFrame, status: str = COMPLETED, context: Column | None = None) -> DataFrame:
+    """acquisition_channel, payment_method, revenue of completed orders, channel_revenue (FIXED per channel, all statuses) and
+    share_pct of it; ``context`` filters orders before the FIXED expression."""
+    o = orders.select("user_id", "order_date", "payment_method", "status", "total_amount")
+    rows = o.join(users.select("user_id", "acquisition_channel"), "user_id", "left")
+    c = view(rows, [Fixed("channel_revenue", ["acquisition_channel"], F.sum("total_amount"))], ["acquisition_channel", "payment_method"],
+             {"_rev": F.sum("total_amount"), "_all": F.min("channel_revenue")}, where=F.col("status") == status, context=context)
+    return c.select("acquisition_channel", "payment_method", round_n("_rev", 2).alias("revenue"), round_n("_all", 2).alias("channel_revenue"),
+                    pct("_rev", "_all", 2).alias("share_pct")).transform(ordered("acquisition_channel", "payment_method"))
+
+
 def kpi_conversion(events: DataFrame) -> DataFrame:
     """Purchases, page_views (event counts) and conversion_rate = purchases / page views."""
     g = events.agg(F.count(F.when(F.col("event_type") == "purchase", F.lit(1))).alias("purchases"),

@@ -123,6 +123,8 @@ def dashboard_queries() -> dict[str, Query]:
         "revenue_by_country": _q(lambda t: D.revenue_by_country(t.orders, t.users)),
         "revenue_by_device_all": _q(lambda t: D.revenue_by_device_all(t.orders, t.sessions)),
         "retention_lod": _q(lambda t: D.retention_lod(t.orders)),
+        "retention_fixed": _q(lambda t: D.retention_fixed(t.orders)),
+        "channel_payment_share": _q(lambda t: D.channel_payment_share(t.orders, t.users)),
         "retention_lod_month_part": _q(lambda t: D.retention_lod(t.orders, month_part=True)),
         "revenue_monthly_acq_filtered": _q(lambda t: R.revenue_monthly(
             D.filter_by_acquisition_channel(t.orders, t.users, FILTER_CHANNEL))),
@@ -137,6 +139,8 @@ def appended_queries() -> dict[str, Query]:
     return {
         "cohort_report_appended": _q(lambda t: A.cohort_report_appended(t.orders)),
         "distinct_users_appended": _q(lambda t: A.distinct_users_appended(t.events, t.sessions, t.orders)),
+        "load_rejects": _q(lambda t: A.load_rejects(t.orders)),
+        "monthly_span": _q(lambda t: A.monthly_span(t.orders)),
         "orders_appended": _q(lambda t: A.orders_appended(t.orders)),
     }
 

@@ -58,9 +58,11 @@ def decimal_of(c: Column, dtype) -> Column:
 
 
 def _relabel(c: Column, mapping: dict[str, str]) -> Column:
-    out = None
-    for src, dst in mapping.items():
-        out = F.when(c == src, F.lit(dst)) if out is None else out.when(c == src, F.lit(dst))
+    """Nested IFs, which Catalyst folds under a comparison with a label: ``status = 'completed'`` becomes
+    ``o_orderstatus <=> 'F'`` and is pushed into the scan (a CASE of several branches isn't)."""
+    out = F.lit(None).cast("string")
+    for src, dst in reversed(mapping.items()):
+        out = F.call_function("if", c.eqNullSafe(src), F.lit(dst), out)
     return out
 
 
