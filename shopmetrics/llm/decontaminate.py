@@ -43,9 +43,10 @@ _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8
 _IS_WORD = np.array([48 <= c <= 57 or 97 <= c <= 122 or c >= 128 for c in range(256)])
 
 
-def multipliers() -> np.ndarray:
-    """One odd 64-bit factor for each place in a word (places beyond 4096 start again)."""
-    x = (np.arange(1, 4097, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def multipliers(places: np.ndarray | None = None) -> np.ndarray:
+    """One odd 64-bit factor for each of the first 4096 places in a word, or for ``places``."""
+    places = np.arange(4096) if places is None else places
+    x = (places.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x | np.uint64(1)
@@ -66,7 +67,11 @@ def words_of(data: np.ndarray, at: np.ndarray, factor: np.ndarray):
     size = end - start
     begin = np.cumsum(size) - size
     place = np.arange(int(size.sum())) - np.repeat(begin, size)
-    value = (low[is_word].astype(np.uint64) + np.uint64(1)) * factor[place & 4095]
+    times = factor[place & 4095]
+    far = np.flatnonzero(place > 4095)
+    if len(far):
+        times[far] = multipliers(place[far])
+    value = (low[is_word].astype(np.uint64) + np.uint64(1)) * times
     return low, start, end, np.add.reduceat(value, begin)
 
 
@@ -119,7 +124,7 @@ class TestBlock:
         self.place = np.array([p for x in found.values() for _, p in x], np.int64)
 
     def codes(self, hashes: np.ndarray) -> np.ndarray:
-        """The vocabulary number (from 1) of each word, or 0."""
+        """The vocabulary number (from 1) of the first word of each hash, or 0."""
         out = np.zeros(len(hashes), np.int64)
         some = np.flatnonzero(self.known[hashes >> np.uint64(48)])
         i = np.minimum(np.searchsorted(self.hashes, hashes[some]), len(self.hashes) - 1)
@@ -136,8 +141,10 @@ class TestBlock:
         if not len(keep):
             return none
         for k in keep.tolist():
-            if low[start[k]: end[k]].tobytes() != self.vocabulary[code[k] - 1]:
-                code[k] = 0
+            c, word = int(code[k]), low[start[k]: end[k]].tobytes()
+            while c and word != self.vocabulary[c - 1]:  # then the next word of the same hash, if there is one
+                c = c + 1 if c < len(self.hashes) and self.hashes[c] == self.hashes[c - 1] else 0
+            code[k] = c
         keep = in_runs(code, doc, least)
         if not len(keep):
             return none

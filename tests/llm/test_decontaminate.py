@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from shopmetrics.llm import decontaminate as dec
@@ -91,3 +92,33 @@ def test_suffix_array_is_in_order():
     import numpy as np
     for ids in ([1] * 13, [1, 2] * 7, [2, 1] * 13, [1, 1, 2] * 9, [3, 0, 3, 3], [1, 0, 1, 1, 0, 1]):
         assert dec.suffix_array(np.array(ids), 13).tolist() == sorted((k for k in range(len(ids)) if ids[k]), key=lambda k: ids[k: k + 16])
+
+
+def test_long_words_that_differ_beyond_place_4096(lspark, make_docs):
+    one, two = "a" + 4095 * "x" + "b", "b" + 4095 * "x" + "a"
+    bench = lspark.createDataFrame([(1, one), (2, two)], "item_id long, text string")
+    docs = make_docs([one, two, "a" + 4095 * "x" + "c", f"{two} {one}"])
+    out = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in dec.find_matches(docs, bench).collect()}
+    assert out == {0: (1, 1, ["1"]), 1: (1, 1, ["2"]), 2: (1, 0, []), 3: (2, 2, ["1", "2"])}
+
+
+def test_words_of_one_hash_are_told_apart():
+    block = dec.TestBlock([(["1"], "aa bb cc")], 13)
+    block.hashes = np.full(3, block.hashes[0], np.uint64)  # as if all three words had one hash
+    block.known[:] = True
+    low, at = np.frombuffer(b"cc bb aa cc", np.uint8), np.array([0, 11])
+    low, start, end, h = dec.words_of(low, at, dec.multipliers())
+    h[:] = block.hashes[0]
+    place, _ = block.search(low, start, end, np.zeros(len(start), np.int64), h)
+    assert place.tolist() == []
+    low, at = np.frombuffer(b"cc aa bb cc", np.uint8), np.array([0, 11])
+    low, start, end, h = dec.words_of(low, at, dec.multipliers())
+    h[:] = block.hashes[0]
+    assert block.search(low, start, end, np.zeros(len(start), np.int64), h)[0].tolist() == [1]
+
+
+def test_own_columns_with_the_names_of_the_result(lspark, make_docs):
+    bench = lspark.createDataFrame([(1, "a b")], "item_id long, text string")
+    docs = make_docs(["a b c"]).withColumn("n_hit", F.lit("own")).withColumn("N_WORDS", F.lit("own"))
+    r = dec.find_matches(docs, bench).first()
+    assert (r["n_hit"], r["N_WORDS"], r["n_hit_"], r["n_words_"]) == ("own", "own", 2, 3)
