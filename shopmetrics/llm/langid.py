@@ -25,8 +25,9 @@ from pyspark.sql import types as T
 
 from shopmetrics.llm.common import append_columns, pieces, utf8
 
-#: Training rows of each language, at most (about; hard limit twice as many), and languages, at most.
-PER_CLASS, CLASSES = 800, 256
+#: Training rows of each language, at most (about; hard limit twice as many), and of all: with many languages each has
+#: fewer.  A row takes 8 KB at the driver, so the sample stays near 100 MB however many languages there are.
+PER_CLASS, SAMPLE = 800, 12_800
 #: Hashed n-grams of 1 to 4 bytes; bytes and texts counted at a time.
 DIMS, GRAMS, PIECE_BYTES, PIECE_ROWS = 1 << 12, 4, 2 << 20, 512
 #: Margin of the weighted loss under which a text counts as ambiguous.
@@ -115,14 +116,16 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = docs.where(use & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"),
                        F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")), F.lit(1 << 30)).alias("draw"))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(CLASSES).collect()
+    sizes = rows.groupBy("lang").count().collect()  # a row for each label
     if not sizes:
         return None
+    if len(sizes) > SAMPLE:
+        raise ValueError(f"{len(sizes)} languages are more than the {SAMPLE} rows of the training sample; raise SAMPLE")
     names = sorted(r["lang"] for r in sizes)
-    most = {r["lang"]: min(1 << 30, int((1 << 30) * per_class / r["count"]) + 1) for r in sizes}
-    pick = F.lit(False)
-    for k, v in most.items():
-        pick = pick | ((F.col("lang") == k) & (F.col("draw") < v))
+    number = {k: i for i, k in enumerate(names)}
+    per_class = min(per_class, SAMPLE // len(names))
+    most = [(r["lang"], min(1 << 30, int((1 << 30) * per_class / r["count"]) + 1)) for r in sizes]
+    picked = rows.join(rows.sparkSession.createDataFrame(most, "lang string, most long"), "lang").where("draw < most")
 
     def run(batches):
         for b in batches:
@@ -131,9 +134,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 x = gram_counts(b.column(1), i, j).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
-    got = rows.where(pick).select("lang", "text").mapInArrow(run, "lang string, x binary").limit(2 * per_class * len(names)).collect()
+    got = picked.select("lang", "text").mapInArrow(run, "lang string, x binary").limit(2 * per_class * len(names)).collect()
     x = np.stack([np.frombuffer(r["x"], np.float16) for r in got]).astype(np.float32)
-    y = np.array([names.index(r["lang"]) for r in got])
+    y = np.array([number[r["lang"]] for r in got])
     order = np.lexsort((x @ np.arange(DIMS, dtype=np.float32), y))  # not by the order in which rows came
     return train(x[order], y[order], names)
 

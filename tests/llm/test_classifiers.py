@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from shopmetrics.llm import langid, toxicity
 
@@ -72,3 +73,25 @@ def test_toxicity_nothing_to_learn(lspark, make_docs):
     assert toxicity.learn(docs, labels) is None
     assert {r["score"] for r in toxicity.score(docs, None).collect()} == {0.0}
     assert toxicity.score(make_docs([]), None).collect() == []
+
+
+def test_all_of_300_languages_are_learned(lspark, make_docs):
+    rng = random.Random(2)
+    letters = "bcdfghjklmnpqrstvwz"
+    names = [a + v + b for a in letters for v in "aeiou" for b in letters][:: 6][:300]
+    rows = [(k * 300 + i, " ".join(name * rng.randint(1, 2) for _ in range(30)), f"l{i:03}") for i, name in enumerate(names) for k in range(6)]
+    docs = lspark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    assert len(model["names"]) == 300
+    out = langid.identify(docs, model).collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in out]) > 0.95
+
+
+def test_own_columns_with_the_names_of_the_result(lspark, make_docs):
+    docs = lspark.createDataFrame([(i, t, lang) for i, lang, _, t in corpus(60)], "doc_id long, text string, lang string")
+    docs = docs.withColumn("score", F.lit("own")).withColumn("lang_pred", F.lit("own"))
+    r = langid.identify(docs, langid.learn(docs)).first()
+    assert (r["score"], r["lang_pred"]) == ("own", "own") and 0 <= r["score_"] <= 1 and r["lang_pred_"] in SYLLABLES
+    labels = lspark.createDataFrame([(i, int(bad)) for i, _, bad, _ in corpus(60)], "doc_id long, toxic int")
+    r = toxicity.score(docs, toxicity.learn(docs, labels)).first()
+    assert r["score"] == "own" and 0 <= r["score_"] <= 1
