@@ -59,16 +59,17 @@ def simhash(text: bytes, shingle: int = 3, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                  seed: int = 42) -> DataFrame:
-    """``id``, ``fp`` (the fingerprint's bits as a signed long) for every row; no shuffle."""
+    """``id``, ``t`` (a hash of the text), ``fp`` (the fingerprint's bits as a signed long) for every row; no shuffle."""
     def run(batches):
         for b in batches:
             data, at = utf8(b.column(1))
             raw = data.tobytes()
             fp = np.fromiter((simhash(raw[s:e], shingle, seed) for s, e in zip(at[:-1], at[1:])), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp.view(np.int64))], names=["id", "t", "fp"])
 
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("t", T.LongType()), T.StructField("fp", T.LongType())])
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("t")).mapInArrow(run, schema)
 
 
 def anchors_of(fp: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
@@ -188,25 +189,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     row of ``docs``.  ``threshold`` is at most 3, the bound the two parts stand for."""
     if not 0 <= threshold <= 3:
         raise ValueError("the two parts of one covering radius find distances up to 3")
+    return _grouped(docs, id_col, text_col, shingle, threshold, seed).select("id", "fp", "component")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshold: int, seed: int) -> DataFrame:
+    """``id``, ``t`` (hash of the text), ``fp``, ``root`` (a fingerprint of the component), ``component``."""
     fps = materialize(fingerprints(docs, id_col, text_col, shingle, seed))
     distinct = materialize(fps.groupBy("fp").agg(F.min("id").alias("low")))
     star = connected_components(links(replicas(distinct), threshold))
     root = distinct.join(star, distinct.fp == star.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     low = root.groupBy("root").agg(F.min("low").alias("component"))
-    of = salted_join(root.select("fp", "root"), low, ["root"], ["fp"]).select("fp", "component")
-    return salted_join(fps, of, ["fp"], ["id"]).select("id", "fp", "component")
+    of = salted_join(root.select("fp", "root"), low, ["root"], ["fp"]).select("fp", "root", "component")
+    return salted_join(fps, of, ["fp"], ["id"]).select("id", "t", "fp", "root", "component")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: the one with the smallest id, and of
-    several rows with that id one.  Rows whose id is null stay."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    rest = materialize(found.where(F.col("id") == F.col("component")).groupBy("id").agg(F.count(F.lit(1)).alias("n")))
-    k, n = free_name(docs, "kept_id"), free_name(docs, "kept_n")
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: int = THRESHOLD,
+             seed: int = 42) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: the one with the smallest id, and of several rows of the
+    group with that id one.  Rows of one id with unlike texts are of different groups, and each group keeps its own.  Rows
+    whose id is null stay."""
+    if not 0 <= threshold <= 3:
+        raise ValueError("the two parts of one covering radius find distances up to 3")
+    found = _grouped(docs, id_col, text_col, shingle, threshold, seed)
+    first = found.where(F.col("id") == F.col("component")).groupBy("root", "id", "t").agg(F.count(F.lit(1)).alias("n"))
+    rest = materialize(first.groupBy("root").agg(F.min(F.struct("id", "t", "n")).alias("m")).select("m.*"))
+    own, k, t, n = (free_name(docs, f"kept_{x}") for x in ("own", "id", "t", "n"))
+    named = docs.where(F.col(id_col).isNotNull()).withColumn(own, F.xxhash64(F.col(text_col).cast("string")))
     # The ids grow with the documents, so they are merged at every size and never broadcast at some.
-    kept = (docs.join(rest.select(F.col("id").alias(k), F.col("n").alias(n)).hint("merge"), F.col(id_col) == F.col(k), "left")
-            .where(F.col(k).isNotNull() | F.col(id_col).isNull()))
+    kept = named.join(rest.select(F.col("id").alias(k), F.col("t").alias(t), F.col("n").alias(n)).hint("merge"),
+                      (F.col(id_col) == F.col(k)) & (F.col(own) == F.col(t)))
     if rest.where("n > 1").limit(1).count():
-        single = F.col(n).isNull() | (F.col(n) == 1)
-        kept = kept.where(single).union(kept.where(~single).dropDuplicates([id_col]))
-    return kept.drop(k, n)
+        kept = kept.where(F.col(n) == 1).union(kept.where(F.col(n) > 1).dropDuplicates([k, t]))
+    return kept.drop(own, k, t, n).union(docs.where(F.col(id_col).isNull()))

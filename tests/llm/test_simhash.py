@@ -97,6 +97,14 @@ def test_keep_one_and_clashing_columns(lspark, make_docs):
     assert sorted((r["doc_id"] for r in out.collect()), key=str) == [3, 9, None]
 
 
+def test_keep_one_of_one_id_with_unlike_texts(lspark, make_docs):
+    a, b = "x y z a b c", "q w e r t y u i o p"
+    docs = make_docs([(3, a), (3, b), (7, b)])
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(docs).collect()) == sorted([(3, a), (3, b)])
+    docs = make_docs([(1, a), (3, a), (3, b), (3, b), (None, a)])
+    assert sorted(((r["doc_id"], r["text"]) for r in simhash.keep_one(docs).collect()), key=str) == sorted([(1, a), (3, b), (None, a)], key=str)
+
+
 def test_empty(lspark, make_docs):
     assert simhash.near_duplicates(make_docs([])).collect() == []
     assert simhash.keep_one(make_docs([])).collect() == []
