@@ -107,8 +107,15 @@ def pieces(offsets: np.ndarray, most: int) -> list[tuple[int, int]]:
 def append_columns(df: DataFrame, fields: Sequence[T.StructField],
                    fn: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]]) -> DataFrame:
     """``df`` with more columns, computed batch by batch in Arrow with no shuffle.  ``fn`` is
-    called once a task and returns the function of a batch."""
-    schema = T.StructType([*df.schema.fields, *fields])
+    called once a task and returns the function of a batch.  A new column whose name ``df`` has already gets underscores."""
+    taken, new = {c.lower() for c in df.columns}, []
+    for f in fields:
+        name = f.name
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        new.append(T.StructField(name, f.dataType, f.nullable))
+    schema = T.StructType([*df.schema.fields, *new])
     names = [f.name for f in schema.fields]
 
     def run(batches):

@@ -57,7 +57,7 @@ def covered_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW,
                     count: bool = False) -> DataFrame:
     """``docs`` with the covered lines removed from ``text_col``; with ``count`` also ``n_lines``, ``n_removed``
-    and ``n_spans`` (runs removed), whose names ``docs`` must not have."""
+    and ``n_spans`` (runs removed), with underscores where ``docs`` has such a column."""
     names = {k: free_name(docs, f"dedup_{k}") for k in ("id", "t", "starts", "ends", "own")}
     runs = covered_runs(docs, id_col, text_col, size).select(*[F.col(k).alias(names[k]) for k in ("id", "t", "starts", "ends")])
     own, starts, ends = names["own"], names["starts"], names["ends"]
@@ -74,8 +74,8 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = []
     if count:
         gone = F.aggregate(F.zip_with(starts, ends, lambda a, b: b - a), F.lit(0), lambda x, y: x + y)
-        more = [F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-                F.coalesce(gone, F.lit(0)).cast("long").alias("n_removed"),
-                F.when(F.col(starts).isNull(), 0).otherwise(F.size(starts)).cast("long").alias("n_spans")]
+        more = [F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long").alias(free_name(docs, "n_lines")),
+                F.coalesce(gone, F.lit(0)).cast("long").alias(free_name(docs, "n_removed")),
+                F.when(F.col(starts).isNull(), 0).otherwise(F.size(starts)).cast("long").alias(free_name(docs, "n_spans"))]
     text = F.when(F.col(starts).isNull(), F.col(text_col)).otherwise(rest).alias(text_col)
     return both.select(*[text if c == text_col else F.col(f"`{c}`") for c in docs.columns], *more)

@@ -50,3 +50,9 @@ def test_repeated_rows_null_ids_and_clashing_columns(lspark, make_docs):
 
 def test_empty(lspark, make_docs):
     assert line_dedup.remove_repeated(make_docs([])).collect() == []
+
+
+def test_own_columns_with_the_names_of_the_figures(lspark, make_docs):
+    docs = make_docs([(1, "a\nb\nc"), (2, "a\nb\nc\nd")]).withColumn("n_lines", F.lit("own"))
+    out = {r["doc_id"]: (r["n_lines"], r["n_lines_"], r["n_removed"]) for r in line_dedup.remove_repeated(docs, count=True).collect()}
+    assert out == {1: ("own", 3, 0), 2: ("own", 4, 3)}

@@ -77,7 +77,7 @@ def test_stages_keep_columns_and_survive_odd_tables(lspark, tmp_path):
 
 def test_names():
     assert [n for n, _ in cp.STAGES] == ["language_id", "line_dedup", "simhash_near_dedup", "benchmark_decontamination", "sentencepiece"]
-    assert sorted(int(k[2:].split("_")[0]) for k in queries()) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries()) == list(range(1, 14))
     assert set(oracle_sql()) <= set(queries())
 
 
@@ -86,6 +86,7 @@ def test_queries_run_on_empty_tables(lspark, tmp_path, name):
     folder = write(lspark, tmp_path, [], [])
     lspark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
     lspark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    lspark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
     assert queries()[name](lspark, folder).collect() == []
 
 
