@@ -42,15 +42,19 @@ SMALL = 6
 
 
 def learn(x: np.ndarray, code: int = CODE, rounds: int = ROUNDS, seed: int = 7) -> dict:
-    """The projection (principal directions, then the learned rotation) from unit vectors."""
+    """The projection (principal directions, then the learned rotation) from unit vectors.  Vectors with fewer components than
+    the code has bits get several rotations, each from a start of its own and after the first with one round only: more
+    rounds would bring them all to the same rotation, and the tables would share their bits."""
     _, vectors = np.linalg.eigh(x.T @ x)
     basis = vectors[:, ::-1][:, : min(code, x.shape[1])]
-    v = x @ basis
-    r = np.linalg.qr(np.random.default_rng(seed).normal(size=(v.shape[1],) * 2))[0]
-    for _ in range(rounds):
-        u, _, t = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
-        r = (u @ t).T
-    return {"projection": basis @ r}
+    v, parts = x @ basis, []
+    for start in range(-(-code // basis.shape[1])):
+        r = np.linalg.qr(np.random.default_rng(seed + start).normal(size=(v.shape[1],) * 2))[0]
+        for _ in range(1 if start else rounds):
+            u, _, t = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
+            r = (u @ t).T
+        parts.append(basis @ r)
+    return {"projection": np.hstack(parts)[:, :code]}
 
 
 def codes(x: np.ndarray, model: dict) -> np.ndarray:
@@ -58,10 +62,10 @@ def codes(x: np.ndarray, model: dict) -> np.ndarray:
     return (x @ model["projection"] >= 0).astype(np.uint8)
 
 
-def table_keys(code: np.ndarray) -> np.ndarray:
-    """(rows, TABLES) substrings of the code as numbers."""
+def table_keys(code: np.ndarray, components: int = CODE) -> np.ndarray:
+    """(rows, TABLES) substrings of the code as numbers, of three bits for each component of the vectors at most."""
     n = code.shape[1]
-    bits = min(BITS, n)
+    bits = min(BITS, n, 3 * components)
     at = (np.arange(TABLES)[:, None] * n // TABLES + np.arange(bits)) % n
     return code[:, at].astype(np.int64) @ (1 << np.arange(bits))
 
@@ -106,7 +110,7 @@ def entries(distinct: DataFrame, model: dict) -> DataFrame:
             length = np.diff(b.column(3).offsets.to_numpy())
             for size in np.unique(length):
                 some = b.take(pa.array(np.flatnonzero(length == size)))
-                keys = table_keys(codes(unit(some.column(3))[1], own[int(size)]))
+                keys = table_keys(codes(unit(some.column(3))[1], own[int(size)]), int(size))
                 n = len(keys)
                 again = some.take(pa.array(np.repeat(np.arange(n), TABLES)))
                 every = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * TABLES, TABLES), pa.int32()), pa.array(keys.astype(np.int32).ravel()))
