@@ -155,25 +155,33 @@ class TestBlock:
         ids[to] = code[keep]
         array = suffix_array(ids, self.n)
         padded = np.concatenate([ids, np.zeros(self.n, np.int64)])
-        lower, upper = self.bound(array, padded, False), self.bound(array, padded, True)
+        live = self.possible(code[keep])
+        lower, upper = self.bound(array, padded, live, False), self.bound(array, padded, live, True)
         count = upper - lower
         window = np.repeat(np.arange(len(count)), count)
         nth = np.arange(len(window)) - np.repeat(np.cumsum(count) - count, count)
         back = np.zeros(len(ids), np.int64)
         back[to] = keep
-        return back[array[lower[window] + nth]], window
-
-    def bound(self, array, padded, upper: bool) -> np.ndarray:
-        """Binary search of every window at once, comparing as many words as it has."""
-        lo, hi = np.zeros(len(self.size), np.int64), np.full(len(self.size), len(array))
+        return back[array[lower[window] + nth]], live[window]
+
+    def possible(self, codes: np.ndarray) -> np.ndarray:
+        """The windows all of whose words are in a shard; others needn't be searched."""
+        there = np.zeros(len(self.vocabulary) + 1, bool)
+        there[codes] = there[0] = True  # 0 fills up short windows
+        live = np.flatnonzero(there[self.windows[:, 0]])
+        return live[there[self.windows[live]].all(1)]
+
+    def bound(self, array, padded, live, upper: bool) -> np.ndarray:
+        """Binary search of the windows ``live`` at once, comparing as many words as each has."""
+        lo, hi, windows = np.zeros(len(live), np.int64), np.full(len(live), len(array)), self.windows[live]
         cols = np.arange(self.n)
-        used, rows = cols[None, :] < self.size[:, None], np.arange(len(self.size))
+        used, rows = cols[None, :] < self.size[live, None], np.arange(len(live))
         while (lo < hi).any():
             mid = (lo + hi) // 2
             there = padded[array[np.minimum(mid, len(array) - 1)][:, None] + cols]
-            differs = (there != self.windows) & used
+            differs = (there != windows) & used
             at = differs.argmax(1)
-            right = there[rows, at] < self.windows[rows, at]
+            right = there[rows, at] < windows[rows, at]
             if upper:
                 right |= ~differs.any(1)
             right &= lo < hi
