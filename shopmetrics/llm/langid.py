@@ -16,6 +16,8 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -124,8 +126,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     names = sorted(r["lang"] for r in sizes)
     number = {k: i for i, k in enumerate(names)}
     per_class = min(per_class, SAMPLE // len(names))
-    most = [(r["lang"], min(1 << 30, int((1 << 30) * per_class / r["count"]) + 1)) for r in sizes]
-    picked = rows.join(rows.sparkSession.createDataFrame(most, "lang string, most long"), "lang").where("draw < most")
+    most = json.dumps({r["lang"]: min(1 << 30, int((1 << 30) * per_class / r["count"]) + 1) for r in sizes})
+    # A literal map, so that the texts are neither joined nor shuffled.
+    picked = rows.where(F.col("draw") < F.element_at(F.from_json(F.lit(most), "map<string, bigint>"), F.col("lang")))
 
     def run(batches):
         for b in batches:
