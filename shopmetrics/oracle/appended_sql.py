@@ -26,10 +26,15 @@ UNION ALL SELECT 'week', strftime(ts, '%Y-W%W'), event_type, COUNT(DISTINCT user
 UNION ALL SELECT 'device_type', s.device_type, event_type, COUNT(DISTINCT e.user_id) FROM c_events e JOIN c_sessions s USING (session_id) {known} GROUP BY 2, 3
 UNION ALL SELECT 'channel', s.channel, event_type, COUNT(DISTINCT e.user_id) FROM c_events e JOIN c_sessions s USING (session_id) {known} GROUP BY 2, 3
 UNION ALL SELECT 'customers', NULL, 'completed order', COUNT(DISTINCT user_id) FROM c_orders WHERE {COMPLETED} HAVING COUNT(*) > 0"""),
+        # The first fault of a record in the order of its columns.
         "load_rejects": with_prelude("""
-SELECT 'total_amount' AS "column", 'cannot read as decimal(18,2): n/a' AS reason, COUNT(*) AS records FROM c_orders WHERE status = 'cancelled' AND order_date IS NOT NULL HAVING COUNT(*) > 0
-UNION ALL SELECT 'order_date', 'no value', COUNT(*) FROM c_orders WHERE status = 'returned' OR order_date IS NULL HAVING COUNT(*) > 0
-UNION ALL SELECT NULL, 'accepted', COUNT(*) FROM c_orders WHERE status = 'completed' AND order_date IS NOT NULL"""),
+SELECT fault[1] AS "column", fault[2] AS reason, COUNT(*) AS records
+FROM (SELECT CASE WHEN order_id IS NULL THEN ['order_id', 'no value'] WHEN session_id IS NULL THEN ['session_id', 'no value']
+                  WHEN user_id IS NULL THEN ['user_id', 'no value']
+                  WHEN order_date IS NULL OR status IS NULL OR status = 'returned' THEN ['order_date', 'no value']
+                  WHEN status = 'cancelled' THEN ['total_amount', 'cannot read as decimal(18,2): n/a']
+                  WHEN total_amount IS NULL THEN ['total_amount', 'no value'] WHEN payment_method IS NULL THEN ['payment_method', 'no value']
+                  ELSE [NULL, 'accepted'] END AS fault FROM c_orders) GROUP BY 1, 2"""),
         "monthly_span": f"SELECT * FROM ({others['revenue_monthly_completed']}) WHERE month IN ('1996-03', '1996-04')",
         "orders_appended": with_prelude(f"""
 SELECT status, COUNT(*) AS orders, CAST(SUM(total_amount) AS DOUBLE) AS revenue FROM c_orders WHERE order_id IS NOT NULL GROUP BY status
