@@ -9,7 +9,8 @@ key undoes it.
 
 Kinds: payment cards (13 to 19 digits, Luhn; first digit kept), North American phones, IPv4 addresses,
 social security numbers, IBANs (modulo 97; country kept), dates (year-month-day or day/month/year, month/day/year where only
-that is valid; years 1900 to 2099), and e-mail addresses, whose local part is permuted letter by letter and digit
+that is valid; years 1900 to 2099; days up to the 12th and later ones are permuted among themselves, so a date reads as the
+same day in every order it can be written in), and e-mail addresses, whose local part is permuted letter by letter and digit
 by digit within its pattern while the domain stays.
 
 Phones with an area code or exchange under 200 and addresses from 224.0.0.0 are classes of their own: valid values stay
@@ -27,7 +28,9 @@ an empty result.
 
 from __future__ import annotations
 
+import bisect
 import datetime
+import functools
 import hashlib
 import hmac
 import re
@@ -167,24 +170,34 @@ def iban(f, text, back):
     return fill(text, country + iban_check(country, body) + body)
 
 
+@functools.cache
+def late_days() -> list[int]:
+    """The days after the 12th of their month, in order."""
+    return [k for k in range(FIRST_DAY, LAST_DAY + 1) if datetime.date.fromordinal(k).day > 12]
+
+
+def permute_day(f, day: datetime.date, back: bool) -> datetime.date:
+    """Days up to the 12th, which can be read with the month first as well, and later days are two classes, each closed."""
+    if day.day > 12:
+        late = late_days()
+        return datetime.date.fromordinal(late[f.permute("late date", len(late), bisect.bisect_left(late, day.toordinal()), back)])
+    first, years = datetime.date.fromordinal(FIRST_DAY).year, datetime.date.fromordinal(LAST_DAY).year + 1
+    x = f.permute("early date", (years - first) * 144, (day.year - first) * 144 + (day.month - 1) * 12 + day.day - 1, back)
+    return datetime.date(first + x // 144, x // 12 % 12 + 1, x % 12 + 1)
+
+
 def date(f, text, back):
     sep = re.search(r"\D", text)[0]
     parts = text.split(sep)
     orders = [(0, 1, 2)] if len(parts[0]) == 4 else [(2, 1, 0), (2, 0, 1)]
     for order in orders:
         try:
-            y, m, d = (int(parts[k]) for k in order)
-            day = datetime.date(y, m, d).toordinal()
+            day = datetime.date(*(int(parts[k]) for k in order))
         except ValueError:
             continue
-        if not FIRST_DAY <= day <= LAST_DAY:
+        if not FIRST_DAY <= day.toordinal() <= LAST_DAY:
             return None
-        # A date that reads as valid either way must still do so, or restoring would take the other order.
-        while True:
-            day = f.permute("date", LAST_DAY - FIRST_DAY + 1, day - FIRST_DAY, back) + FIRST_DAY
-            new = datetime.date.fromordinal(day)
-            if len(orders) == 1 or order == orders[0] or new.day > 12:
-                break
+        new = permute_day(f, day, back)
         wide = all(len(p) >= 2 for p in parts)
         out = [""] * 3
         for k, v in zip(order, (new.year, new.month, new.day)):
