@@ -1,9 +1,9 @@
 """The corpus pipeline: documents pass five stages, each written as Parquet and read again as
 the next one's input.
 
-1. language ID: documents whose language can't be told (null texts, or none of whose characters is a letter) go; the
-   classifier names a language for every other text, so the stage's decision is the letter test, also where no
-   model can be learned (no document with a language);
+1. language ID: documents whose language can't be told go: null texts, texts without a letter, and texts of which no language
+   has ``LEAST_SCORE`` of the score, as two-letter texts or even mixtures of three languages; where no model can be learned (no
+   document with a language) the letter test decides alone;
 2. line dedup: later occurrences of repeated three-line windows are cut out of the texts;
 3. SimHash near-dedup: one document of each group stays, the one with the smallest id;
 4. benchmark decontamination: documents go if 1 of 20 of their words or more is in a benchmark window;
@@ -25,14 +25,18 @@ from shopmetrics.llm.common import free_prefix, shared_folder
 from shopmetrics.llm.queries import piece_model
 
 
+#: The score, a share, with which a language counts as told: no other one can have more.
+LEAST_SCORE = 0.5
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a language; an ambiguous text, as a very short one may be, stays."""
+    """Drops texts without a language; a text that is ambiguous between two languages stays with the better one."""
     prefix = free_prefix(docs, "found_", langid.FIELDS)
     names = [prefix + f.name for f in langid.FIELDS]
     model = langid.learn(docs)
     found = langid.identify(docs, model, prefix=prefix)
     # Without a model every text is undetermined, and only those without a letter are ambiguous.
-    told = F.col(names[0]) != langid.UNDETERMINED if model else ~F.col(names[2])
+    told = (F.col(names[0]) != langid.UNDETERMINED) & (F.col(names[1]) >= LEAST_SCORE) if model else ~F.col(names[2])
     return found.where(told).drop(*names)
 
 
