@@ -7,8 +7,8 @@ loaded of ``BINS`` bins.  The bins of all buckets, ``BUCKETS * BINS`` numbers at
 to the least loaded shard.  Shards differ by about the size of the smallest bins, unless a single group
 is larger than a shard's share.
 
-Every row gets a slot, gapless from 0 in its shard: rows are dealt by a hash of their id to pieces of each shard,
-numbered inside a piece, and moved up by the sizes of the pieces before it.
+Every row gets a slot, gapless from 0 in its shard: rows are dealt by a hash of id, size and checksum to pieces of each
+shard, numbered inside a piece, and moved up by the sizes of the pieces before it.
 
 A group may hold a third of all rows: sizes are pre-aggregated map-side, the rows meet their group's shard in
 a salted join, and slots don't depend on groups.
@@ -75,7 +75,9 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shar
     shard_of = pack(rows.groupBy("g1", "g2").agg(F.sum("size").alias("bytes")), shards)
     pieces = max(1, math.ceil(math.sqrt(rows.count())))
     placed = salted_join(rows, shard_of, ["g1", "g2"], ["id", "size"]).drop("g1", "g2")
-    placed = materialize(placed.withColumn("piece", F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("slot")), F.lit(pieces)).cast("int")))
+    # Pieces by the whole row, so that rows without an id, or of one id, don't meet in one piece.
+    of_row = F.xxhash64(F.col("id").cast("string"), F.lit("slot"), "size", "text_crc32")
+    placed = materialize(placed.withColumn("piece", F.pmod(of_row, F.lit(pieces)).cast("int")))
     # One row for each piece of each shard: a short table, whatever the number of rows.
     before = Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = (placed.groupBy("shard", "piece").agg(F.count(F.lit(1)).alias("n"))

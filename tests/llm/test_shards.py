@@ -45,5 +45,16 @@ def test_one_group_larger_than_a_share_and_repeated_rows(lspark, make_docs):
     assert len(rows) == 4 and all(sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows))) for s in (0, 1))
 
 
+def test_rows_without_an_id_are_numbered_in_many_pieces(lspark, make_docs):
+    texts = ["w" * n for n in range(1500)]
+    rows = shards.assign(make_docs([(None, t) for t in texts])).collect()
+    assert sorted(r["size"] for r in rows) == list(range(1, 1501))
+    for s in range(8):
+        own = sorted((r["slot"], r["size"]) for r in rows if r["shard"] == s)
+        assert [slot for slot, _ in own] == list(range(len(own)))
+        # Numbered in one piece, they would stand by size.
+        assert sum(b < a for (_, a), (_, b) in zip(own, own[1:])) > 5
+
+
 def test_empty(lspark, make_docs):
     assert shards.assign(make_docs([])).collect() == []
