@@ -4,10 +4,11 @@ Base rules look at one text alone: too few words, or too many words in windows o
 Texts that pass are judged by an interpolated modified Kneser-Ney model of order ``ORDER`` and by bands of
 their language: a perplexity above the upper bound is noise, one below the lower bound is boilerplate.
 
-Symbols.  The model reads a text as UTF-8 bytes in 62 classes (A-Z as a-z, digits as one class, runs of white space as
-one space and none at the start, other bytes by their remainder; ``CLASSES`` is the rule), with ``ORDER`` - 1 start symbols before it.  An n-gram of four
-symbols is a 24-bit number, so the model has a proven bound: 64^4 = 16.8 million n-grams whatever the
-corpus, 12 bytes each (typically under a million).  That is why it may be collected and broadcast.
+Symbols.  The model reads the words of a text as they stand, one space between them: every UTF-8 byte is a symbol of its own
+(``BYTES``; runs of white space are one space, and none at the start), with ``ORDER`` - 1 start symbols before it.  Upper and lower case, digits, signs
+and the letters of every script are told apart.  An n-gram of four symbols is a 32-bit number.  The model grows with
+the kinds of n-grams, not with the corpus, and takes 12 bytes for each; it is collected and broadcast.  ``FOLDED`` is a coarser
+alphabet of 62 classes for callers of ``measure``; ``judge`` doesn't use it.
 
 Counting.  Every task counts the n-grams of its whole texts and Spark adds the counts up (one row for each n-gram
 and task is shuffled).  No text is scored by a model that has seen it: texts are dealt to two
@@ -32,6 +33,8 @@ uniform distribution there; an empty table gives no rows.  A text lies in one ta
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -74,6 +77,21 @@ CLASSES = np.array([class_of(b) for b in range(256)], np.uint8)
 VOCABULARY = 61
 
 
+@dataclass(frozen=True, eq=False)
+class Alphabet:
+    """The symbol of each byte (0 is the start, ``space`` any white space), the bits of a symbol, and how many can follow."""
+
+    code: np.ndarray
+    space: int
+    bits: int
+    size: int
+
+
+FOLDED = Alphabet(CLASSES, SPACE, BITS, VOCABULARY)
+#: Each byte is its own symbol; white space is 32, and byte 0 takes the place of the tab, which that leaves free.
+BYTES = Alphabet(np.array([32 if _SEPARATOR[b] else b or 9 for b in range(256)], np.uint8), 32, 8, 251)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -126,12 +144,12 @@ def figures(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def grams(data: np.ndarray, at: np.ndarray, alphabet: Alphabet = FOLDED) -> tuple[np.ndarray, np.ndarray]:
     """The packed n-gram that ends at each symbol of each text, and the number of the text."""
     size = np.diff(at)
     doc = np.repeat(np.arange(len(size)), size)
-    symbol = CLASSES[data]
-    space = symbol == SPACE
+    symbol = alphabet.code[data]
+    space = symbol == alphabet.space
     keep = ~space
     keep[1:] |= ~space[:-1] & (doc[1:] == doc[:-1])
     symbol, doc = symbol[keep], doc[keep]
@@ -143,11 +161,11 @@ def grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     s[to] = symbol
     key = s.copy()
     for k in range(1, ORDER):
-        key[k:] |= s[:-k] << np.uint32(BITS * k)
+        key[k:] |= s[:-k] << np.uint32(alphabet.bits * k)
     return key[to], doc
 
 
-def counts(texts: DataFrame, text_col: str, half_col: str) -> DataFrame:
+def counts(texts: DataFrame, text_col: str, half_col: str, alphabet: Alphabet = FOLDED) -> DataFrame:
     """``half``, ``gram``, ``n``: how often each n-gram occurs in the texts of each half."""
     def run(batches):
         total: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -155,7 +173,7 @@ def counts(texts: DataFrame, text_col: str, half_col: str) -> DataFrame:
             data, at = utf8(b.column(0))
             half = np.asarray(b.column(1))
             for i, j in pieces(at, PIECE):
-                key, doc = grams(data[at[i]: at[j]], at[i: j + 1] - at[i])
+                key, doc = grams(data[at[i]: at[j]], at[i: j + 1] - at[i], alphabet)
                 for k in (0, 1):
                     own, n = np.unique(key[half[i:j][doc] == k], return_counts=True)
                     if k in total:
@@ -165,10 +183,10 @@ def counts(texts: DataFrame, text_col: str, half_col: str) -> DataFrame:
         for k, (key, n) in total.items():
             for i in range(0, len(key), 1 << 16):
                 part = key[i: i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), k, np.int32)), pa.array(part.astype(np.int32)),
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), k, np.int32)), pa.array(part.astype(np.int64)),
                                                   pa.array(n[i: i + (1 << 16)])], names=["half", "gram", "n"])
 
-    each = texts.select(text_col, half_col).mapInArrow(run, "half int, gram int, n long")
+    each = texts.select(text_col, half_col).mapInArrow(run, "half int, gram long, n long")
     return each.groupBy("half", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -185,27 +203,32 @@ def discounts(n: np.ndarray) -> np.ndarray:
 class Model:
     """Sorted arrays of packed n-grams with log probabilities, and of contexts with log back-off weights, for each order."""
 
-    def __init__(self, key: np.ndarray, n: np.ndarray):
+    def __init__(self, key: np.ndarray, n: np.ndarray, alphabet: Alphabet = FOLDED):
         """``key``: the n-grams of the highest order, sorted; ``n``: their counts."""
-        levels = [(key.astype(np.int64), n.astype(np.int64))]
+        self.bits, self.size = alphabet.bits, alphabet.size
+        levels = [(key.astype(np.uint32), n.astype(np.int64))]
         for order in range(ORDER - 1, 0, -1):  # continuation counts: different symbols before
-            levels.append(tuple(np.unique(levels[-1][0] & ((1 << BITS * order) - 1), return_counts=True)))
+            levels.append(tuple(np.unique(self.suffix(levels[-1][0], order), return_counts=True)))
         self.grams, self.logp, self.contexts, self.weight = [], [], [], []
         for order, (key, n) in enumerate(reversed(levels), 1):
             d = discounts(n)
-            context, of = np.unique(key >> BITS, return_inverse=True)
+            context, of = np.unique(key >> np.uint32(self.bits), return_inverse=True)
             total = np.bincount(of, n, len(context))
             off = np.bincount(of, d[np.minimum(n, 3)], len(context))
             if order == 1:
-                lower = np.full(len(key), 1 / VOCABULARY)
+                lower = np.full(len(key), 1 / self.size)
             else:
-                lower = np.exp(self.log_probability(key & ((1 << BITS * (order - 1)) - 1), order - 1))
+                lower = np.exp(self.log_probability(self.suffix(key, order - 1), order - 1))
             p = (n - d[np.minimum(n, 3)]) / total[of] + off[of] / total[of] * lower
             self.grams.append(key)
             self.logp.append(np.log(p))
             self.contexts.append(context)
             self.weight.append(np.log(off / total))
 
+    def suffix(self, key: np.ndarray, order: int) -> np.ndarray:
+        """The last ``order`` symbols of packed n-grams."""
+        return key & np.uint32((1 << self.bits * order) - 1)
+
     @staticmethod
     def find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(keys):
@@ -216,37 +239,37 @@ class Model:
     def log_probability(self, key: np.ndarray, order: int = ORDER) -> np.ndarray:
         """The log probability of the last symbol of each packed n-gram after the others."""
         if order == 0:
-            return np.full(len(key), -np.log(VOCABULARY))
-        key = key.astype(np.int64)
+            return np.full(len(key), -np.log(self.size))
+        key = key.astype(np.uint32)
         i, there = self.find(self.grams[order - 1], key)
         out = np.zeros(len(key))
         out[there] = self.logp[order - 1][i[there]]
         rest = key[~there]
         if len(rest):
-            i, known = self.find(self.contexts[order - 1], rest >> BITS)
+            i, known = self.find(self.contexts[order - 1], rest >> np.uint32(self.bits))
             back = np.zeros(len(rest))
             back[known] = self.weight[order - 1][i[known]]
-            out[~there] = back + self.log_probability(rest & ((1 << BITS * (order - 1)) - 1), order - 1)
+            out[~there] = back + self.log_probability(self.suffix(rest, order - 1), order - 1)
         return out
 
 
-def learn(texts: DataFrame, text_col: str, half_col: str) -> list[Model]:
-    """The model of each half: at most 64^4 counts a half come to the driver, sorted by n-gram."""
-    found = materialize(counts(texts, text_col, half_col)).toArrow()
+def learn(texts: DataFrame, text_col: str, half_col: str, alphabet: Alphabet = FOLDED) -> list[Model]:
+    """The model of each half: one count for each kind of n-gram in it comes to the driver, and is sorted by n-gram."""
+    found = materialize(counts(texts, text_col, half_col, alphabet)).toArrow()
     half, key, n = (found.column(k).to_numpy() for k in ("half", "gram", "n"))
     out = []
     for k in (0, 1):
         own = np.flatnonzero(half == k)
         own = own[np.argsort(key[own], kind="stable")]
-        out.append(Model(key[own], n[own]))
+        out.append(Model(key[own], n[own], alphabet))
     return out
 
 
-def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def measure(docs: DataFrame, text_col: str = "text", alphabet: Alphabet = FOLDED) -> DataFrame:
     """``docs`` with ``FIGURES``, ``n_symbols_read`` (symbols the model reads) and ``log_perplexity`` (null without symbols)."""
     half = free_name(docs, "half")
     dealt = docs.withColumn(half, F.pmod(F.xxhash64(text_col), F.lit(2)).cast("int"))
-    models = docs.sparkSession.sparkContext.broadcast(learn(dealt, text_col, half))
+    models = docs.sparkSession.sparkContext.broadcast(learn(dealt, text_col, half, alphabet))
     text_at, half_at = docs.columns.index(text_col), len(docs.columns)
     fields = [T.StructField(k, T.LongType()) for k in [*FIGURES, "n_symbols_read"]] + [T.StructField("log_perplexity", T.DoubleType())]
 
@@ -260,7 +283,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
             for i, j in pieces(at, PIECE):
                 part, offsets = data[at[i]: at[j]], at[i: j + 1] - at[i]
                 figure.append(figures(part, offsets))
-                key, doc = grams(part, offsets)
+                key, doc = grams(part, offsets, alphabet)
                 logp = np.zeros(len(key))
                 for k in (0, 1):
                     here = np.flatnonzero(halves[i:j][doc] == k)
@@ -302,7 +325,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
           least: float = LEAST) -> DataFrame:
     """``id``, ``lang``, ``FIGURES``, ``base_failed``, ``perplexity``, ``lower`` and ``upper`` (the band for this text) and ``kept``."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    measured = measure(own).drop("text")
+    measured = measure(own, alphabet=BYTES).drop("text")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED * F.col("n_words"))
     # A null language is a language of its own.
     named = F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit(""))
